@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, pii, quality, simhash
 from .common import read_table
 
 
@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
 
@@ -33,8 +38,12 @@ def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_entities", "entity_kinds")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_pigeonring, op5_bpe_trie, op6_min_bin_slack, op8_extendible_dedup)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op3_simhash_pigeonring, op5_bpe_trie, op6_min_bin_slack, op8_extendible_dedup, op10_surrogates)}
 
 
 #: White space as the contracts name it.
