@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, pii, quality, simhash
+from . import bpe, exact_dedup, huffman, licenses, multiset_hash, packing, pii, quality, secrets, simhash
 from .common import read_table
 
 
@@ -22,10 +22,18 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False, decoded=False)
 
@@ -34,16 +42,30 @@ def op6_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(read_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_entities", "entity_kinds")
 
 
+_QUERIES = (
+    op1_rule_ensemble, op2_markov_secrets, op3_simhash_pigeonring, op4_multiset_hash, op5_bpe_trie, op6_min_bin_slack, op7_huffman_files,
+    op8_extendible_dedup, op9_license_join, op10_surrogates,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op3_simhash_pigeonring, op5_bpe_trie, op6_min_bin_slack, op8_extendible_dedup, op10_surrogates)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 #: White space as the contracts name it.
