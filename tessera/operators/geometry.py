@@ -29,7 +29,7 @@ def _fetched(grid: DataFrame, px: DataFrame, sy: Column, sx: Column) -> DataFram
     """The grid with the source value ``s``, null where none is read."""
     values = px.select(F.col("img_id").alias("_i"), F.col("c").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("s"))
     sought = grid.withColumns({"_sy": sy, "_sx": sx})
-    found = (sought["img_id"] == values["_i"]) & (sought["c"] == values["_c"]) & (sought["_sy"] == values["_y"]) & (sought["_sx"] == values["_x"])
+    found = (F.col("img_id") == F.col("_i")) & (F.col("c") == F.col("_c")) & (F.col("_sy") == F.col("_y")) & (F.col("_sx") == F.col("_x"))
     return sought.join(values, found, "left").drop("_i", "_c", "_y", "_x")
 
 

@@ -36,9 +36,9 @@ def gathered(px: DataFrame, taps: Taps, border: str = DEFAULT, keep: str = "left
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("weight")) for k, (dy, dx, w) in enumerate(taps)])
     each = px.select(*KEY, F.explode(table).alias("t"))
     sought = each.select(*KEY, "t.k", "t.weight", source(F.col("y") + F.col("t.dy"), F.col("h"), border).alias("_sy"), source(F.col("x") + F.col("t.dx"), F.col("w"), border).alias("_sx"))
-    values = px.select("img_id", F.col("c").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("s"))
-    found = (sought["img_id"] == values["img_id"]) & (sought["c"] == values["_c"]) & (sought["_sy"] == values["_y"]) & (sought["_sx"] == values["_x"])
-    return sought.join(values, found, keep).select(*[sought[c] for c in KEY], "k", "weight", "s")
+    values = px.select(F.col("img_id").alias("_i"), F.col("c").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("s"))
+    found = (F.col("img_id") == F.col("_i")) & (F.col("c") == F.col("_c")) & (F.col("_sy") == F.col("_y")) & (F.col("_sx") == F.col("_x"))
+    return sought.join(values, found, keep).select(*KEY, "k", "weight", "s")
 
 
 def _summed(px: DataFrame, taps: Taps, border: str) -> DataFrame:
