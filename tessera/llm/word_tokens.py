@@ -8,18 +8,23 @@ remembers the packed ids, within a bound.  Ids come as little-endian unsigned
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
+import numpy as np
+
 #: Memory bound of a worker's memo of words.
 MEMO_WORDS = 600_000
+#: Words joined to one text for the library.
+JOINED = 64
 
 #: Characters that ``str.split`` takes for white space though the vocabulary does not, and those for
 #: which lower case or composed form depends on more than the character itself.
 _OTHER = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
 _SPACE = re.compile("[ \t\n\r\f\v]+")
-#: The vocabulary's pattern cuts between a letter and marks; here only where white space follows.
-_MARKS = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \n]|$)")
+#: After letters alone, one of these is a token of its own.
+_MARKS = frozenset(".,;:!?")
 
 
 class WordTokens:
@@ -28,28 +33,73 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        gc.disable()  # the memo has no cycles, and walking it is what collections would do
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> None:
+        """Remembers words of lower-case letters alone: each ends at its only token that ends a word."""
+        found = self._encode([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        flat = np.fromiter((i for x in found for i in x), np.uint32)
+        ends = (np.flatnonzero(self._ends_word[flat]) + 1) * 4
+        if len(ends) != len(words):
+            self._memo.update((w, array("I", x).tobytes()) for w, x in zip(words, self._encode(words), strict=True))
+            return
+        packed, ends = flat.astype("<u4").tobytes(), ends.tolist()
+        self._memo.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _remember(self, words: set[str]) -> None:
+        memo, letters, marked, others = self._memo, set(), [], []
+        for w in words:
+            if w.isalpha() and not _OTHER.search(w) and w.islower():
+                letters.add(w)
+            elif w[-1:] in _MARKS and w[:-1].isalpha() and not _OTHER.search(w) and w[:-1].islower():
+                marked.append(w)
+            else:
+                others.append(w)
+        cores = {x for w in marked for x in (w[:-1],)} - memo.keys()
+        others += {w[-1] for w in marked} - memo.keys()
+        if letters := list(letters | cores):
+            self._letters(letters)
+        memo.update((w, array("I", x).tobytes()) for w, x in zip(others, self._encode(others), strict=True))
+        for w in marked:
+            memo[w] = memo[w[:-1]] + memo[w[-1]]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        words = [_words(t) for t in texts]
-        missing = list(set().union(*words) - memo.keys())
-        encoded = self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        memo.update(zip(missing, [array("I", x.ids).tobytes() for x in encoded], strict=True))
-        return [b"".join([memo[w] for w in x]) for x in words]
+        if len(self._memo) > MEMO_WORDS:
+            self._memo.clear()
+        get, missing, parts, gaps = self._memo.get, set(), [], []
+        for text in texts:
+            words = _words(text)
+            found = list(map(get, words))
+            if None in found:
+                open_ = [i for i, x in enumerate(found) if x is None]
+                lost = [words[i] for i in open_]
+                missing.update(lost)
+                gaps.append((found, open_, lost))
+            parts.append(found)
+        if missing:
+            self._remember(missing)
+            for found, open_, lost in gaps:
+                for i, w in zip(open_, lost, strict=True):
+                    found[i] = get(w)
+        return [b"".join(x) for x in parts]
 
 
 def _words(text: str) -> list[str]:
     """Parts of a text that encode on their own."""
     if _OTHER.search(text):
         return _SPACE.split(text)
-    return _MARKS.sub(r" \1", text if "<|" in text else text.lower()).split()
+    return (text if "<|" in text else text.lower()).split()
 
 
 _LOADED: dict[str, WordTokens] = {}
