@@ -77,9 +77,9 @@ def _as_flags(found: DataFrame, flags: int) -> DataFrame:
     places = F.when(F.col("h") * F.col("w") > 0, F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).otherwise(F.array().cast("array<int>"))
     if flags == GRAYSCALE:
         gray = F.transform(places, lambda i: F.when(F.col("cn") == 1, at(i, 0)).otherwise(F.shiftright(at(i, 0) * 7471 + at(i, 1) * 38470 + at(i, 2) * 19595 + 32768, 16)))
-        return found.select("path", "h", "w", F.when(F.col("cn") > 0, 1).otherwise(0).alias("cn"), gray.alias("data"))
+        return found.withColumn("data", gray).withColumn("cn", F.when(F.col("cn") > 0, 1).otherwise(0))
     three = F.flatten(F.transform(places, lambda i: F.array(*[F.when(F.col("cn") == 1, at(i, 0)).otherwise(at(i, k)) for k in range(3)])))
-    return found.select("path", "h", "w", F.when(F.col("cn") > 0, 3).otherwise(0).alias("cn"), three.alias("data"))
+    return found.withColumn("data", three).withColumn("cn", F.when(F.col("cn") > 0, 3).otherwise(0))
 
 
 def encode_png(h: int, w: int, cn: int, data: bytes) -> bytes:
