@@ -25,9 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import in_chunks
 from .common import table_path, text_of
-from .word_tokens import load
+from .word_tokens import load, slices, with_end
 
 #: Longest code in bits; also the decoding table's width.
 LIMIT = 20
@@ -133,22 +132,26 @@ def token_table(docs: DataFrame, tokenizer_path: str, path: str, id_column: str
     frame = docs.select(F.col(id_column).alias("_id"), text_of(docs, text_column).alias("_text"))
 
     def run(batches):
-        tokens, end = load(tokenizer_path), end_id.to_bytes(4, "little")
+        tokens = load(tokenizer_path)
         for batch in batches:
-            done = 0
-            for rows in in_chunks(enumerate(batch.column(1).to_pylist())):
-                packed = [p + end for p in tokens.encode_batch([t for _, t in rows])]
-                narrow = np.frombuffer(b"".join(packed), "<u4").astype("<u2").tobytes()
-                cuts = np.concatenate(([0], np.cumsum([len(p) // 2 for p in packed]))).tolist()
-                ids = pa.array([narrow[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(rows)), ids], ["id", "ids"])
-                done += len(rows)
+            for first, last in slices(batch.column(1)):
+                n = last - first
+                flat, at = with_end(*tokens.encode_array(batch.column(1).slice(first, n)), end_id)
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), ids], ["id", "ids"])
 
     made = frame.mapInArrow(run, f"id {kind}, ids binary")
     made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
+def joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column in one array, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    ids = np.frombuffer(column.buffers()[2] or b"", "<u2", offset=0)[: offsets[-1]]
+    return ids[offsets[0] :], np.diff(offsets)
+
+
 def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     """How often each id occurs in all documents; one row an id reaches the driver."""
     import pyarrow as pa
@@ -156,8 +159,7 @@ def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=vocabulary)
+            total += np.bincount(joined(batch.column(0))[0], minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["s", "n"])
 
@@ -182,16 +184,19 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, id_column: str
 
     def code(batches):
         for batch in batches:
+            ids, sizes = joined(batch.column(1))
+            ends = np.cumsum(sizes)
             done = 0
-            for rows in in_chunks(((i, x) for i, x in enumerate(batch.column(1).to_pylist())), most=4_000_000):
-                ids = np.frombuffer(b"".join([x for _, x in rows]), "<u2")
-                sizes = np.array([len(x) // 2 for _, x in rows])
-                payload, firsts, inside = encode(ids, sizes, codes, lengths)
-                begins = np.concatenate(([0], np.cumsum(sizes)))
+            while done < len(sizes):
+                # about a million ids together, whole documents
+                last = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20))))
+                part, own = ids[ends[done] - sizes[done] : ends[last - 1]], sizes[done:last]
+                payload, firsts, inside = encode(part, own, codes, lengths)
+                begins = np.concatenate(([0], np.cumsum(own)))
                 marks = [inside[a:b:STRIDE].tolist() for a, b in zip(begins, begins[1:], strict=False)]
                 parts = [payload[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(rows)), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "payload", "marks"])
-                done += len(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, last - done), pa.array(own, pa.int64()), pa.array(parts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "payload", "marks"])
+                done = last
 
     def block(batches):
         part, before, number = TaskContext.get().partitionId(), 0, 0

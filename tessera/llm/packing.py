@@ -23,9 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import in_chunks
 from .common import text_of
-from .word_tokens import load
+from .word_tokens import load, slices, with_end
 
 #: Ids of a full sequence.
 CAPACITY = 2048
@@ -104,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
     schema = f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
 
     def run(batches):
-        tokens, end, width = load(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
+        tokens, width = load(tokenizer_path), 4 * capacity
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         key_type = None
         pieces: list[list] = []
@@ -128,12 +127,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
 
         for batch in batches:
             key_type = batch.column(0).type
-            for rows in in_chunks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                for (key, _), packed in zip(rows, tokens.encode_batch([t for _, t in rows]), strict=True):
-                    packed += end
-                    for at in range(0, len(packed), width):
-                        part = packed[at : at + width]
-                        pieces.append([key, at // 4, len(part) // 4, zlib.crc32(part), len(packed) // 4, 0, 0, *[part] * ids])
+            texts = batch.column(1)
+            for first, last in slices(texts):
+                flat, at = with_end(*tokens.encode_array(texts.slice(first, last - first)), end_id)
+                packed, bounds = flat.astype("<u4").tobytes(), (at * 4).tolist()
+                for key, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), bounds, bounds[1:], strict=False):
+                    for p in range(a, b, width):
+                        part = packed[p : min(p + width, b)]
+                        pieces.append([key, (p - a) // 4, len(part) // 4, zlib.crc32(part), (b - a) // 4, 0, 0, *[part] * ids])
                 if len(pieces) >= WINDOW_PIECES:
                     yield flush()
         if pieces:

@@ -1,39 +1,44 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
 
 The word vocabulary drops white space and never merges across it, so a text's ids
-are the joined ids of its words.  Each worker asks the library once for a word and
-remembers the packed ids, within a bound.  Ids come as little-endian unsigned
-32-bit integers.
+are the joined ids of its words.  Arrow splits a batch of texts and finds its distinct
+words; each worker asks the library once for a word and remembers the packed ids, within
+a bound; the ids of all texts are then gathered at once.  Ids are unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import gc
-import re
+import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Memory bound of a worker's memo of words.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 #: Words joined to one text for the library.
 JOINED = 64
+#: Bytes of text looked at together.
+CHUNK_BYTES = 8_000_000
 
-#: Characters that ``str.split`` takes for white space though the vocabulary does not, and those for
-#: which lower case or composed form depends on more than the character itself.
-_OTHER = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
-_SPACE = re.compile("[ \t\n\r\f\v]+")
-#: After letters alone, one of these is a token of its own.
-_MARKS = frozenset(".,;:!?")
+#: Marks that are a token of their own after letters.
+_MARKS = ".,;:!?"
+#: Words of lower-case letters whose lower case and composed form are themselves, and one mark at most.
+_PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,;:!?]?$"
+
+
+def _strings(words) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordTokens:
     """Encoding of texts whose words are encoded on their own by the tokenizer file at *path*."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        gc.disable()  # the memo has no cycles, and walking it is what collections would do
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
@@ -56,50 +61,85 @@ class WordTokens:
         packed, ends = flat.astype("<u4").tobytes(), ends.tolist()
         self._memo.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
-    def _remember(self, words: set[str]) -> None:
-        memo, letters, marked, others = self._memo, set(), [], []
-        for w in words:
-            if w.isalpha() and not _OTHER.search(w) and w.islower():
-                letters.add(w)
-            elif w[-1:] in _MARKS and w[:-1].isalpha() and not _OTHER.search(w) and w[:-1].islower():
-                marked.append(w)
-            else:
-                others.append(w)
-        cores = {x for w in marked for x in (w[:-1],)} - memo.keys()
-        others += {w[-1] for w in marked} - memo.keys()
-        if letters := list(letters | cores):
-            self._letters(letters)
-        memo.update((w, array("I", x).tobytes()) for w, x in zip(others, self._encode(others), strict=True))
-        for w in marked:
-            memo[w] = memo[w[:-1]] + memo[w[-1]]
+    def _remember(self, words) -> list[bytes]:
+        """The ids of an Arrow array of new words, which are remembered."""
+        import pyarrow.compute as pc
+
+        memo = self._memo
+        plain = pc.match_substring_regex(words, _PLAIN)
+        others = _strings(words.filter(pc.invert(plain)))
+        plain = words.filter(plain)
+        core = pc.utf8_rtrim(plain, _MARKS)
+        mark = _strings(pc.utf8_slice_codeunits(plain, -1).dictionary_encode().dictionary)
+        alone = [w for w in {*others, *mark} if w not in memo]
+        memo.update((w, array("I", x).tobytes()) for w, x in zip(alone, self._encode(alone), strict=True))
+        if cores := [w for w in _strings(core.dictionary_encode().dictionary) if w not in memo]:
+            self._letters(cores)
+        marked = pc.not_equal(core, plain)
+        for w, c in zip(_strings(plain.filter(marked)), _strings(core.filter(marked)), strict=True):
+            memo[w] = memo[c] + memo[w[-1]]
+        return [memo[w] for w in _strings(words)]
+
+    def encode_array(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts, joined, and the place in them at which each text begins, with the end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
         if len(self._memo) > MEMO_WORDS:
             self._memo.clear()
-        get, missing, parts, gaps = self._memo.get, set(), [], []
-        for text in texts:
-            words = _words(text)
-            found = list(map(get, words))
-            if None in found:
-                open_ = [i for i, x in enumerate(found) if x is None]
-                lost = [words[i] for i in open_]
-                missing.update(lost)
-                gaps.append((found, open_, lost))
-            parts.append(found)
-        if missing:
-            self._remember(missing)
-            for found, open_, lost in gaps:
-                for i, w in zip(open_, lost, strict=True):
-                    found[i] = get(w)
-        return [b"".join(x) for x in parts]
-
-
-def _words(text: str) -> list[str]:
-    """Parts of a text that encode on their own."""
-    if _OTHER.search(text):
-        return _SPACE.split(text)
-    return (text if "<|" in text else text.lower()).split()
+        if pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.string())
+        # a special token's text in capitals is not that token
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        words = _strings(coded.dictionary)
+        on = gc.isenabled()
+        gc.disable()  # the lists here have no cycles, and collections would walk them again and again
+        try:
+            found = list(map(self._memo.get, words))
+            if missing := [i for i, x in enumerate(found) if x is None]:
+                for i, x in zip(missing, self._remember(coded.dictionary.take(pa.array(missing))), strict=True):
+                    found[i] = x
+        finally:
+            if on:
+                gc.enable()
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = lengths[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table[np.repeat(firsts[which] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        return ids, np.concatenate(([0], ends))[bounds - bounds[0]]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        import pyarrow as pa
+
+        ids, at = self.encode_array(pa.array(texts, pa.string()))
+        packed, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
+        return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joined ids with *end_id* after each text, and the new places."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
+def slices(texts, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """First and last row of parts of an Arrow array of texts, each of about *most* bytes."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(sizes):
+        base = sizes[start - 1] if start else 0
+        end = min(len(sizes), int(np.searchsorted(sizes, base + most)) + 1)
+        yield start, end
+        start = end
 
 
 _LOADED: dict[str, WordTokens] = {}
