@@ -6,7 +6,7 @@ modulo a power of two.  So the order of paragraphs does not matter, and a paragr
 inserted or deleted by adding or subtracting its vector (:func:`combine`).
 
 The vector has two parts.  ``EXACT`` places of 32 bits hash the paragraph as a whole and
-tell documents apart.  ``SKETCH`` places of 20 bits are sums of +1 and -1 from the bits of
+tell documents apart.  ``SKETCH`` places of 16 bits are sums of +1 and -1 from the bits of
 the hashes of the paragraph's word shingles; the squared distance of two documents' places
 estimates how many shingles they do not share, which gives the likeness::
 
@@ -29,9 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import text_of, written
 
-EXACT = 8
+EXACT = 4
 SKETCH = 64
-SKETCH_MOD = 1 << 20
+SKETCH_MOD = 1 << 16
+_WORD = (1 << 32) - 1
 SHINGLE = 3
 #: Rows of a range of neighbouring ids, and most ranges; their bounds are part of the plan.
 RANGE_ROWS = 2000
@@ -44,44 +45,56 @@ def shingle_hashes(words: Column, paragraph: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, many).otherwise(F.array(F.xxhash64(paragraph)))
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The *keys* columns and ``exact`` and ``sketch`` arrays, one row for each key; empty texts have no row."""
-    lines = rows.select(*keys, F.explode(F.split(text, "\n")).alias("p")).filter("p <> ''")
-    exact = [F.xxhash64(F.lit(i), F.col("p")).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"x{i}") for i in range(EXACT)]
+def vectors(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """The *keys* columns, and ``exact0``, ``sketch0`` of the first text column, ``exact1``, ``sketch1`` of the second, and so on.
+
+    *keys* name a row.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(t).alias("text")) for i, t in enumerate(texts)]))
+    lines = F.filter(F.split("v.text", "\n"), lambda p: p != "")
+    # an empty text has one paragraph without shingles, so that it has a row
+    paragraphs = rows.select(*keys, each.alias("v")).select(*keys, "v.which", F.explode(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))).alias("p"))
+    whole = F.array(*[F.when(F.col("p") == "", F.lit(0)).otherwise(F.xxhash64(F.lit(i), F.col("p")).bitwiseAND(F.lit(_WORD))) for i in range(EXACT)])
     # words and whole-paragraph hashes once a paragraph, shingles after that
-    words = lines.select(*keys, "p", F.split("p", r"\s+").alias("words"), F.array(*exact).alias("x"))
-    each = words.select(*keys, "x", F.posexplode(shingle_hashes(F.col("words"), F.col("p"))).alias("k", "h"))
+    words = paragraphs.select(*keys, "which", "p", F.split("p", r"\s+").alias("words"), whole.alias("x"))
+    none = F.array(F.lit(None).cast("long"))
+    found = words.select(*keys, "which", "x", F.posexplode(F.when(F.col("p") == "", none).otherwise(shingle_hashes(F.col("words"), F.col("p")))).alias("k", "h"))
     # two counters of 32 bits in one sum: how often bit i and bit i + 32 are set
-    pair = (1 << 32) | 1
-    counts = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(pair))).alias(f"c{i}") for i in range(SKETCH // 2)]
-    firsts = [F.sum(F.when(F.col("k") == 0, F.get("x", F.lit(i))).otherwise(F.lit(0))).alias(f"x{i}") for i in range(EXACT)]
-    summed = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *counts, *firsts)
-    low = [F.col(f"c{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(SKETCH // 2)]
-    high = [F.shiftrightunsigned(F.col(f"c{i}"), 32) for i in range(SKETCH // 2)]
-    sketch = F.array(*[F.pmod(2 * c - F.col("n"), F.lit(SKETCH_MOD)).cast("int") for c in low + high])
-    return summed.select(*keys, F.array(*[F.col(f"x{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(EXACT)]).alias("exact"), sketch.alias("sketch"))
-
-
-def zero(places: int, kind: str = "long") -> Column:
-    """The vector of an empty text."""
-    return F.array_repeat(F.lit(0).cast(kind), places)
+    pair, sums = F.lit((1 << 32) | 1), []
+    for t in range(len(texts)):
+        here = F.col("which") == t
+        sums.append(F.count(F.when(here, F.col("h"))).alias(f"n{t}"))
+        sums += [F.sum(F.when(here, F.shiftrightunsigned("h", i).bitwiseAND(pair))).alias(f"c{t}_{i}") for i in range(SKETCH // 2)]
+        sums += [F.sum(F.when(here & (F.col("k") == 0), F.get("x", F.lit(i)))).alias(f"x{t}_{i}") for i in range(EXACT)]
+    summed = found.groupBy(*keys).agg(*sums)
+    out = []
+    for t in range(len(texts)):
+        counts = [F.coalesce(f"c{t}_{i}", F.lit(0)) for i in range(SKETCH // 2)]
+        sides = [c.bitwiseAND(F.lit(_WORD)) for c in counts] + [F.shiftrightunsigned(c, 32) for c in counts]
+        out.append(F.array(*[_small(F.coalesce(f"x{t}_{i}", F.lit(0)), 1 << 32).cast("int") for i in range(EXACT)]).alias(f"exact{t}"))
+        out.append(F.array(*[_small(2 * c - F.col(f"n{t}"), SKETCH_MOD).cast("smallint") for c in sides]).alias(f"sketch{t}"))
+    return summed.select(*keys, *out)
+
+
+def _small(v: Column, mod: int) -> Column:
+    """The number of least magnitude that is *v* modulo *mod*."""
+    return F.pmod(v + mod // 2, F.lit(mod)) - mod // 2
 
 
 def combine(a: Column, b: Column, mod: int, sign: int = 1) -> Column:
     """Sum (or, with *sign* -1, difference) of two vectors modulo *mod*: paragraphs inserted or deleted."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(mod)))
+    return F.zip_with(a, b, lambda x, y: _small(x.cast("long") + sign * y.cast("long"), mod))
 
 
 def encoded(exact: Column, sketch: Column) -> Column:
     """A fingerprint as hexadecimal digits."""
-    wide = F.transform(exact, lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 5, "0")), "")))
+    digits = lambda v, mod, n: F.array_join(F.transform(v, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(mod))), n, "0")), "")
+    return F.lower(F.concat(digits(exact, 1 << 32, 8), digits(sketch, SKETCH_MOD, 4)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two sketches, 0 to 1."""
-    signed = lambda x: F.when(x >= SKETCH_MOD // 2, x - SKETCH_MOD).otherwise(x)
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + signed(x).cast("double") * signed(x).cast("double"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total = square(a) + square(b)
     apart = square(combine(a, b, SKETCH_MOD, -1))
     return F.when(total == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / total))
@@ -121,29 +134,24 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Id, ``exact`` and ``sketch`` for each row of documents whose ids are unique."""
+    """Id, ``exact`` and ``sketch`` for each id of documents; rows that share an id are taken together."""
     rows = docs.select(F.col(id_column), text_of(docs, text_column).alias("text"))
-    found = vectors(rows, [id_column]).withColumnRenamed(id_column, "_id")
-    return rows.select(id_column).join(found, F.col(id_column).eqNullSafe(F.col("_id")), "left").select(id_column, F.coalesce("exact", zero(EXACT)).alias("exact"), F.coalesce("sketch", zero(SKETCH, "int")).alias("sketch"))
+    return vectors(rows, [id_column], ["text"]).withColumnsRenamed({"exact0": "exact", "sketch0": "sketch"})
 
 
 def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likenesses.
 
     The edited text has the last half of the code points replaced by the first as many of the next document.
+    Texts are shuffled once; what follows carries vectors.
     """
     rows = with_next(docs, id_column, text_column)
     half = F.floor(F.length("text") / 2).cast("int")
     new = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    both = rows.select("at", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), new.alias("text")))).alias("v")).select("at", "v.which", "v.text")
-    made = written(vectors(both, ["at", "which"]), "vectors")
-    part = lambda w, to: made.filter(F.col("which") == w).select(F.col("at").alias(f"{to}_at"), F.col("exact").alias(f"{to}_exact"), F.col("sketch").alias(f"{to}_sketch"))
-    light = rows.select("id", "at", "next_at", F.length("text").cast("long").alias("n_chars"), F.sha2(new, 256).alias("edited_sha256"))
-    full = light
-    for w, to, key in ((0, "own", "at"), (1, "new", "at"), (0, "after", "next_at")):
-        full = full.join(part(w, to), F.col(key) == F.col(f"{to}_at"), "left")
-    none = {"exact": zero(EXACT), "sketch": zero(SKETCH, "int")}
-    filled = full.select("id", "n_chars", "edited_sha256", *[F.coalesce(f"{to}_{c}", none[c]).alias(f"{to}_{c}") for to in ("own", "new", "after") for c in none])
-    own, fresh, after = (F.col(f"{to}_sketch") for to in ("own", "new", "after"))
-    prints = [encoded(F.col("own_exact"), own).alias("fingerprint"), encoded(F.col("new_exact"), fresh).alias("edited_fingerprint")]
-    return filled.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", *prints, likeness(own, fresh).alias("near_edited"), likeness(own, after).alias("near_next"))
+    both = rows.select("at", "next_at", "id", F.length("text").cast("long").alias("n_chars"), "text", new.alias("new")).withColumn("digest", F.unhex(F.sha2("new", 256)))
+    made = written(vectors(both, ["at", "next_at", "id", "n_chars", "digest"], ["text", "new"]), "vectors")
+    after = made.select(F.col("at").alias("after_at"), F.col("sketch0").alias("after"))
+    full = made.join(after, F.col("next_at") == F.col("after_at"))
+    own, fresh = F.col("sketch0"), F.col("sketch1")
+    prints = [encoded(F.col("exact0"), own).alias("fingerprint"), encoded(F.col("exact1"), fresh).alias("edited_fingerprint")]
+    return full.select(F.col("id").alias(id_column), "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), *prints, likeness(own, fresh).alias("near_edited"), likeness(own, F.col("after")).alias("near_next"))
