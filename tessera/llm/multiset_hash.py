@@ -35,8 +35,8 @@ SKETCH_MOD = 1 << 16
 _WORD = (1 << 32) - 1
 SHINGLE = 3
 #: Rows of a range of neighbouring ids, and most ranges; their bounds are part of the plan.
-RANGE_ROWS = 2000
-MOST_RANGES = 1024
+RANGE_ROWS = 1000
+MOST_RANGES = 4096
 
 
 def shingle_hashes(words: Column, paragraph: Column) -> Column:

@@ -170,7 +170,7 @@ def test_surrogates(spark):
     for r in rows():
         got = by[r[0]][0]
         if r[1] is None or "john.doe" not in r[1].lower():
-            assert got.text == r[1] or "0123456789abcdef0123" in r[1]
+            assert got.text == r[1] or "0123456789abcdef0123" in r[1] or "+1578" in r[1]
     first, second = ([x for k in by for x in by[k] if x.text and x.text.startswith(start)][0] for start in ("Mail", "again"))
     assert first.entity_kinds == "card,email,ip,name,phone,ssn" and second.n_entities == 2
     mail = re.search(r"Mail (\S+) or", first.text)[1]
@@ -181,7 +181,7 @@ def test_surrogates(spark):
     assert re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4},", first.text) and "555-6437" not in first.text and "10.20.30.40" not in first.text
     woman, man = re.search(r"Mrs (\w+) \w+ met Mr\. (\w+) \w+\.", first.text).groups()
     assert woman in pii.GIVEN["latin", "f"] and man in pii.GIVEN["latin", "m"]
-    assert "version 2.0.1 costs 1234" in second.text
+    assert "version 2.0.1 costs 1234" in second.text and not any("5785556437" in (x.text or "") for v in by.values() for x in v)
     assert pii.replace(empty(spark)).count() == 0
     other = by_id(pii.replace(documents(spark), key="another"))
     assert mail not in "".join(x.text or "" for v in other.values() for x in v)
