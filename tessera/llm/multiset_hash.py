@@ -6,7 +6,7 @@ modulo a power of two.  So the order of paragraphs does not matter, and a paragr
 inserted or deleted by adding or subtracting its vector (:func:`combine`).
 
 The vector has two parts.  ``EXACT`` places of 32 bits hash the paragraph as a whole and
-tell documents apart.  ``SKETCH`` places of 16 bits are sums of +1 and -1 from the bits of
+tell documents apart.  ``SKETCH`` places of 32 bits are sums of +1 and -1 from the bits of
 the hashes of the paragraph's word shingles; the squared distance of two documents' places
 estimates how many shingles they do not share, which gives the likeness::
 
@@ -29,9 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import text_of, written
 
-EXACT = 4
+EXACT = 8
 SKETCH = 64
-SKETCH_MOD = 1 << 16
+#: Sums of fewer than 2^31 shingles do not wrap.
+SKETCH_MOD = 1 << 32
 _WORD = (1 << 32) - 1
 SHINGLE = 3
 #: Rows of a range of neighbouring ids, and most ranges; their bounds are part of the plan.
@@ -72,7 +73,7 @@ def vectors(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
         counts = [F.coalesce(f"c{t}_{i}", F.lit(0)) for i in range(SKETCH // 2)]
         sides = [c.bitwiseAND(F.lit(_WORD)) for c in counts] + [F.shiftrightunsigned(c, 32) for c in counts]
         out.append(F.array(*[_small(F.coalesce(f"x{t}_{i}", F.lit(0)), 1 << 32).cast("int") for i in range(EXACT)]).alias(f"exact{t}"))
-        out.append(F.array(*[_small(2 * c - F.col(f"n{t}"), SKETCH_MOD).cast("smallint") for c in sides]).alias(f"sketch{t}"))
+        out.append(F.array(*[_small(2 * c - F.col(f"n{t}"), SKETCH_MOD).cast("int") for c in sides]).alias(f"sketch{t}"))
     return summed.select(*keys, *out)
 
 
@@ -89,7 +90,7 @@ def combine(a: Column, b: Column, mod: int, sign: int = 1) -> Column:
 def encoded(exact: Column, sketch: Column) -> Column:
     """A fingerprint as hexadecimal digits."""
     digits = lambda v, mod, n: F.array_join(F.transform(v, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(mod))), n, "0")), "")
-    return F.lower(F.concat(digits(exact, 1 << 32, 8), digits(sketch, SKETCH_MOD, 4)))
+    return F.lower(F.concat(digits(exact, 1 << 32, 8), digits(sketch, SKETCH_MOD, 8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
