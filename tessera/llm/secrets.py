@@ -1,8 +1,8 @@
 """Secret scans: patterns, and Markov models of random strings against ordinary identifiers.
 
 Two models of character pairs are trained from labelled samples, one on random strings
-and one on ordinary identifiers.  A token is a secret where the log-likelihood ratio of the
-two, a character, passes a threshold.  The counts that a model needs are one row for
+and one on ordinary identifiers.  A run of a token's characters is a secret where it has the
+largest sum of log-likelihood ratios of the two, and the mean a character passes a threshold.  The counts that a model needs are one row for
 each pair of characters and class, so what reaches the driver is bounded by the alphabet.
 
 Scanning is one pass over whole texts, without a shuffle.  Places are code points, ends
@@ -10,7 +10,8 @@ exclusive.
 
 Defined results: a null text counts as empty and has no spans; the digest of no spans is that
 of an empty string.  Repeated rows repeat results; null ids stay null; only the id and text
-columns are read.  Tokens of any length are scored whole.
+columns are read.  Tokens of any length are searched whole; of a token that base
+spans meet, the parts outside them are searched.
 """
 
 from __future__ import annotations
@@ -35,11 +36,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 _ASSIGN_HINT = re.compile(r"[:=]")
 
 #: Tokens that the models score: of the alphabet, this long, and not letters of one case alone.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Pieces that a token is made of; a secret begins and ends where one does.
+_PIECE = re.compile(r"[A-Za-z0-9+]+|[/_=-]")
 _PLAIN = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio a character from which a token counts as random.
 THRESHOLD = 0.5
+#: Fall of the summed ratio after which a run has ended.
+DROP = 10.0
 
 # Parts of ordinary identifiers for the labelled sample.
 PARTS = """get set is has add remove update delete create make build load save read write open close start stop init run test check find
@@ -87,6 +93,45 @@ class MarkovRatio:
         at = "^" + token
         return sum(self.ratio[at[i : i + 2]] for i in range(len(token))) / max(1, len(token))
 
+    def runs(self, token: str) -> list[tuple[int, int]]:
+        """Runs of characters with the largest sums of ratios, in order; linear time."""
+        at, out = "^" + token, []
+        start, total, best, end = 0, 0.0, 0.0, 0
+        for i in range(len(token)):
+            total += self.ratio[at[i : i + 2]]
+            if total > best:
+                best, end = total, i + 1
+            # no suffix of what is left behind here has a positive sum
+            elif total <= 0 or best - total >= DROP:
+                if end > start:
+                    out.append((start, end))
+                start, total, best, end = i + 1, 0.0, 0.0, i + 1
+        return [*out, (start, end)] if end > start else out
+
+    def secrets(self, token: str, threshold: float) -> list[tuple[int, int]]:
+        """Runs widened or narrowed to whole pieces, by which side has more of the piece, that pass the threshold."""
+        pieces, out = [m.span() for m in _PIECE.finditer(token)], []
+        for s, e in self.runs(token):
+            if e - s < LEAST // 2:
+                continue
+            held = [(a, b) for a, b in pieces if a < e and s < b]
+            while held and 2 * (min(held[0][1], e) - max(held[0][0], s)) < held[0][1] - held[0][0]:
+                held = held[1:]
+            while held and 2 * (min(held[-1][1], e) - max(held[-1][0], s)) < held[-1][1] - held[-1][0]:
+                held = held[:-1]
+            # a separator at an end is not part of a secret, but for padding
+            while held and token[held[0][0]] in "/_=-":
+                held = held[1:]
+            while held and token[held[-1][0]] in "/_-":
+                held = held[:-1]
+            if not held:
+                continue
+            a, b = held[0][0], held[-1][1]
+            part = token[a:b]
+            if b - a >= LEAST and not _PLAIN.fullmatch(part) and self.score(part) >= threshold:
+                out.append((a, b))
+        return out
+
 
 def train(spark: SparkSession, samples: DataFrame | None = None) -> MarkovRatio:
     """Models from a table of ``text`` and ``label`` (1 random, 0 ordinary), or from the made samples."""
@@ -107,14 +152,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, model: MarkovRatio, base: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Spans of random tokens that no base span meets."""
+    """Spans of random runs in tokens, outside the base spans."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if _PLAIN.fullmatch(token) or not any(c.isdigit() for c in token):
+        if _PLAIN.fullmatch(m[0]):
             continue
-        if model.score(token) >= threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
+        at, parts = m.start(), []
+        for s, _, e in base:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = e
+        for a, b in [*parts, (at, m.end())]:
+            if b - a >= LEAST:
+                out += [(a + s, 3, a + e) for s, e in model.secrets(text[a:b], threshold)]
     return out
 
 
