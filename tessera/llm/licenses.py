@@ -1,7 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-Blocks are the lines of a text.  A template is found in a block if at least ``CONTAINMENT`` of
-the template's distinct words are among the block's.  Words are put in one global order,
+Blocks are the lines of a text, and, as notices are wrapped, every window of words about as long
+as the template, across line breaks.  A template is found in a block if at least ``CONTAINMENT``
+of the template's distinct words are among the block's, and all of those that tell it from
+similar notices (``TELLING``).  Words are put in one global order,
 rarest first, by their document frequency over the whole corpus, and filters leave only blocks
 that can reach the threshold, losing none:
 
@@ -51,6 +53,11 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Words of a template that a block has to hold, as notices of other licenses have the rest.
+TELLING = {b"apache", b"mit", b"3", b"lesser", b"affero", b"mozilla", b"nc", b"sharealike"}
+#: Words of a window for each word of the template.
+WINDOW = 1.25
+
 #: Bytes that separate words: ASCII besides digits and lower-case letters.
 _WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -65,6 +72,7 @@ class TemplateIndex:
 
     def __init__(self, frequency: dict[bytes, int], templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT):
         sets = [(label, set(words_of(t.encode()))) for label, t in templates]
+        self.spans = [math.ceil(WINDOW * len(words_of(t.encode()))) for _, t in templates]
         self.rank = {w: i for i, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix = [], {}
         for label, s in sets:
@@ -75,8 +83,8 @@ class TemplateIndex:
             self.templates.append((label, order, s, need))
         self.least = min(need for *_, need in self.templates)
 
-    def find(self, block: set[bytes]) -> dict[str, float]:
-        """Labels of the templates that the block holds, each with the largest containment."""
+    def find(self, block: set[bytes], telling: set[bytes] | frozenset[bytes] = frozenset()) -> dict[str, float]:
+        """Labels of the templates that the block holds, with all their words among *telling*, each with the largest containment."""
         known = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
         found: dict[str, float] = {}
         if len(known) < self.least:
@@ -90,10 +98,32 @@ class TemplateIndex:
                 label, order, words, need = self.templates[t]
                 if len(known) >= need and min(len(order) - place, len(known) - at) >= need:
                     share = len(words & block)
-                    if share >= need:
+                    if share >= need and words & telling <= block:
                         found[label] = max(found.get(label, 0.0), share / len(order))
         return found
 
+    def find_windows(self, words: list[bytes], telling: set[bytes] | frozenset[bytes] = frozenset()) -> dict[str, float]:
+        """As :meth:`find` with every window of *words* as a block, each template with its own window length."""
+        held, found = set(words), {}
+        for (label, order, own, need), span in zip(self.templates, self.spans, strict=True):
+            must = own & telling
+            if len(own & held) < need or not must <= held:
+                continue
+            places = [i for i, w in enumerate(words) if w in own]
+            counts: dict[bytes, int] = {}
+            first = 0
+            for at in places:
+                counts[words[at]] = counts.get(words[at], 0) + 1
+                while places[first] <= at - span:
+                    w = words[places[first]]
+                    counts[w] -= 1
+                    if not counts[w]:
+                        del counts[w]
+                    first += 1
+                if len(counts) >= need and must <= counts.keys():
+                    found[label] = max(found.get(label, 0.0), len(counts) / len(order))
+        return found
+
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """Starts, in words, of the base phrases and their labels."""
@@ -138,8 +168,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         base = {label for _, label in places}
         more: dict[str, float] = {}
         if not index.prefix.keys().isdisjoint(words):
-            for line in text.split(b"\n"):
-                for label, share in index.find(set(words_of(line))).items():
+            blocks = [index.find(set(words_of(line)), TELLING) for line in text.split(b"\n")]
+            for found in [*blocks, index.find_windows(words, TELLING)]:
+                for label, share in found.items():
                     more[label] = max(share, more.get(label, 0.0))
         starts = [at for at, _ in places]
         score = 1.0 if base else max(more.values(), default=0.0)
