@@ -3,8 +3,10 @@
 A surrogate depends on a key, the entity's kind and its canonical form alone, so an
 entity gets the same surrogate in every document and in every way of writing it
 (coreference).  It keeps the way of writing: separators, digit groups and letter
-shape of a mention stay; a name keeps its title, and gets a given name of the title's
-gender and a family name in the mention's script; a card number that passes the check
+shape of a mention stay; a telephone number keeps its country code or leading zero, and the
+digits after it depend on the canonical digits alone; a name keeps its title, and gets a given
+name of its gender and a family name in its script, where the gender is that of all titles which
+the entity has in the corpus (open if they differ or say nothing); a card number that passes the check
 digit test gets one that passes it.  Distinct entities stay distinct: surrogates that
 meet each other, or some entity of the corpus, are drawn again until none meet.
 
@@ -31,7 +33,13 @@ KEY = "surrogates"
 # Patterns of entities, most particular first.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"
+PHONE = "|".join([
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
+    # international, in groups
+    r"(?<![\w+])(?:\+\d|00[1-9]\d{0,2}[ /-]\(?\d)(?:(?:[ ./-]|\)[ -]?|[ -]?\()?\d){7,13}(?!\w)",
+    # national, with a leading zero
+    r"(?<![\w+.-])\(?0(?=(?:\D?\D?\d){8,11}(?!\d))\d{2,4}\)?[ /-]\d{2,8}(?:[ -]\d{2,4}){0,3}(?!\w)|(?<![\w+.-])0[1-9](?:[ .]\d{2}){4}(?![\w]|\.\d)",
+])
 CARD = r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
@@ -55,7 +63,7 @@ SYLLABLES = {
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OPEN_TITLES])
 NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 
-ANY = "|".join([EMAIL, IP, SSN, PHONE, CARD, IBAN, NAME])
+ANY = "|".join([EMAIL, IP, SSN, CARD, PHONE, IBAN, NAME])
 #: A text without a match of this has no entity; cheaper than the patterns.
 HINT = rf"@|\d\d|\d\.\d|(?:{_TITLES})\.? \p{{Lu}}"
 
@@ -78,6 +86,7 @@ def canonical(mention: Column, kind: Column) -> Column:
     """Kind and form without the way of writing; equal for mentions of one entity."""
     plain = (
         F.when(kind == "email", F.lower(mention)).when(kind == "name", F.lower(F.regexp_replace(mention, r"^\p{L}+\.? ", "")))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(mention, r"^(?:\+|00)", "p"), r"[^\dp]", ""))
         .when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(mention, r"\D", ""))
     )
     return F.concat(kind, F.lit(":"), plain)
@@ -93,13 +102,17 @@ def _number(digest: Column, at: Column) -> Column:
     return F.conv(F.substring(digest, (at * 3 % 61 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
-def _shaped(mention: Column, digest: Column) -> Column:
-    """The mention with digits and letters replaced in their places, by their order among digits and letters alone."""
+def _shaped(mention: Column, digest: Column, phone: Column) -> Column:
+    """The mention with digits and letters replaced in their places, by their order among digits and letters alone.
+
+    The first and fourth digit of a telephone number are 2 to 9.
+    """
     chars = F.split(mention, "")
 
     def swap(c: Column, i: Column) -> Column:
         place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), r"[^\p{L}\p{N}]", ""))
         n = _number(digest, place)
+        n = F.when(phone & place.isin(1, 4), n % 8 + 2).otherwise(n)
         return F.when(c.rlike(r"^\d$"), (n % 10).cast("string")).when(c.rlike(r"^\p{Ll}$"), F.chr(97 + n % 26)).when(c.rlike(r"^\p{Lu}$"), F.chr(65 + n % 26)).otherwise(c)
 
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), swap), "")
@@ -116,12 +129,18 @@ def _pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
-def _name(mention: Column, digest: Column) -> Column:
+def _gender(mention: Column) -> Column:
+    """The gender of a name's title: m, f, or x where it is open."""
     title = F.regexp_extract(mention, r"^(\p{L}+)", 1)
-    cyrillic = mention.rlike(r"\p{IsCyrillic} \p{Lu}|\p{IsCyrillic}$")
+    return F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("x")
+
+
+def _name(mention: Column, digest: Column, gender: Column) -> Column:
+    cyrillic = mention.rlike(r"\p{IsCyrillic}$")  # of the name, whatever the title's script
 
     def in_script(script: str) -> Column:
-        given = F.when(title.isin(MALE_TITLES), _pick(GIVEN[script, "m"], _number(digest, F.lit(0)))).when(title.isin(FEMALE_TITLES), _pick(GIVEN[script, "f"], _number(digest, F.lit(0)))).otherwise(_pick(GIVEN[script, "x"], _number(digest, F.lit(0))))
+        number = _number(digest, F.lit(0))
+        given = F.when(gender == "m", _pick(GIVEN[script, "m"], number)).when(gender == "f", _pick(GIVEN[script, "f"], number)).otherwise(_pick(GIVEN[script, "x"], number))
         family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _number(digest, F.lit(i))) for i in range(1, 7)]))
         both = mention.rlike(r"^\S+ \S+ \S+$")
         return F.when(both, F.concat_ws(" ", given, family)).otherwise(family)
@@ -129,23 +148,31 @@ def _name(mention: Column, digest: Column) -> Column:
     return F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), F.when(cyrillic, in_script("cyrillic")).otherwise(in_script("latin")))
 
 
-#: A leading country code of a telephone number, which stays.
-_LEAD = r"^(\+\d{1,3}[ .-]?)?"
+# Country codes of telephone numbers; none is the start of another.
+CODES = """1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98
+211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 246 247 248 249
+250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 350 351 352 353 354 355 356 357 358 359
+370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 500 501 502 503 504 505 506 507 508 509
+590 591 592 593 594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692
+800 808 850 852 853 855 856 870 878 880 881 882 883 886 888 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 979
+992 993 994 995 996 998""".split()
+#: The head of a telephone number that stays: a country code, or the zero before a national number.
+_LEAD = r"^((?:\+|00)[ .()/-]*(?:" + "|".join(r"[ .()/-]*".join(c) for c in CODES) + r")|00|\(?0)?"
 
 
 def _made(s: Column) -> Column:
-    """The surrogate, from a mention's ``m``, ``kind``, ``digest`` and ``shaped``."""
+    """The surrogate, from a mention's ``m``, ``kind``, ``digest``, ``gender`` and ``shaped``."""
     m, kind, digest, shaped = s["m"], s["kind"], s["digest"], s["shaped"]
     email = F.concat(shaped, F.lit("@"), F.translate(F.substring(digest, 50, 6), "0123456789", "ghijklmnop"), F.lit(".example.org"))
     ip = F.concat_ws(".", *[(_number(digest, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    phone = F.concat(F.regexp_extract(m, _LEAD, 1), F.regexp_replace(F.regexp_replace(shaped, r"(?<!\d)0", "8"), r"(?<!\d)1", "7"))
+    phone = F.concat(F.regexp_extract(m, _LEAD, 1), shaped)
     # a card keeps its first digit, and its last one makes the check sum 0 if it was 0
     digits = F.concat(F.substring(m, 1, 1), F.substring(shaped, F.lit(2), F.length(shaped) - 1))
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     check = (10 - _luhn(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0")))) % 10
     card = F.when(_luhn(F.regexp_replace(m, r"\D", "")) == 0, F.concat(body, check.cast("string"))).otherwise(digits)
     iban = F.concat(F.substring(m, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped) - 2))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(m, digest)).otherwise(shaped)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(m, digest, s["gender"])).otherwise(shaped)
 
 
 def described(found: Column) -> Column:
@@ -154,33 +181,41 @@ def described(found: Column) -> Column:
     return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("entity")))
 
 
-def surrogates(found: Column, key: str, tries) -> Column:
-    """The surrogates of described mentions; *tries* gives, for an entity, how often it was drawn again."""
+def surrogates(found: Column, key: str, tries, gender=lambda _: F.lit(None).cast("string")) -> Column:
+    """The surrogates of described mentions.
+
+    *tries* gives, for an entity, how often it was drawn again, and *gender* its gender where that is not its mention's.
+    """
     part = lambda s: F.when(s["kind"] == "email", F.regexp_extract(s["m"], "^([^@]+)@", 1)).when(s["kind"] == "phone", F.regexp_replace(s["m"], _LEAD, "")).otherwise(s["m"])
-    digests = F.transform(found, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), part(s).alias("part"), _digest(key, s["entity"], tries(s["entity"])).alias("digest")))
-    shapes = F.transform(digests, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["digest"].alias("digest"), _shaped(s["part"], s["digest"]).alias("shaped")))
+    own = lambda s: F.when(s["kind"] == "name", F.coalesce(gender(s["entity"]), _gender(s["m"])))
+    digests = F.transform(found, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), part(s).alias("part"), own(s).alias("gender"), _digest(key, s["entity"], tries(s["entity"])).alias("digest")))
+    shapes = F.transform(digests, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["digest"].alias("digest"), s["gender"].alias("gender"), _shaped(s["part"], s["digest"], s["kind"] == "phone").alias("shaped")))
     return F.transform(shapes, _made)
 
 
 def redraws(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
-    """Entities whose surrogate has to be drawn again so that all stay distinct: ``entity``, ``tries``.
+    """Entities whose surrogate does not follow from a mention: ``entity``, ``tries``, ``gender``.
 
-    Mentions of an entity differ in writing only, so one of them stands for all.
+    They have to be drawn again so that all stay distinct, or have titles that differ in gender.
+    Every distinct writing of an entity is looked at.
     """
-    found = docs.select(F.explode(described(mentions(F.col(text_column)))).alias("s")).select("s.entity", "s.m")
-    drawn = cut(found.groupBy("entity").agg(F.min("m").alias("m"))).withColumn("tries", F.lit(0))
+    found = docs.select(F.explode(described(mentions(F.col(text_column)))).alias("s")).select("s.kind", "s.entity", "s.m")
+    writings = cut(found.distinct()).withColumn("own", F.when(F.col("kind") == "name", _gender(F.col("m"))))
+    men, women = F.max(F.col("own") == "m"), F.max(F.col("own") == "f")
+    mixed = writings.groupBy("entity").agg(F.when(men & ~women, "m").when(women & ~men, "f").otherwise("x").alias("gender"), F.count_distinct("own").alias("n")).filter("n > 1").drop("n")
+    drawn = cut(writings.join(mixed, "entity", "left").select("entity", "m", "gender", F.lit(0).alias("tries")))
     known = drawn.select(F.col("entity").alias("taken"))
     while True:
-        made = drawn.select("entity", "m", "tries", F.element_at(surrogates(described(F.array("m")), key, lambda _: F.col("tries")), 1).alias("s"))
-        made = made.select("entity", "m", "tries", F.element_at(described(F.array("s")), 1)["entity"].alias("made"))
+        made = drawn.select("entity", "m", "gender", "tries", F.element_at(surrogates(described(F.array("m")), key, lambda _: F.col("tries"), lambda _: F.col("gender")), 1).alias("s"))
+        made = made.select("entity", "m", "gender", "tries", F.element_at(described(F.array("s")), 1)["entity"].alias("made"))
         made = cut(made)
         first = made.groupBy("made").agg(F.min(F.struct("tries", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         meets = made.join(first, "made").filter(F.col("entity") != F.col("first.entity")).select("entity")
         meets = cut(meets.union(made.join(known, made["made"] == known["taken"], "left_semi").select("entity")).distinct())
         if meets.isEmpty():
-            return made.filter("tries > 0").select("entity", "tries")
+            return made.filter("tries > 0 or gender is not null").select("entity", "tries", "gender").distinct()
         again = meets.withColumnRenamed("entity", "met")
-        drawn = cut(made.join(again, made["entity"] == again["met"], "left").select("entity", "m", F.when(F.col("met").isNull(), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries")))
+        drawn = cut(made.join(again, made["entity"] == again["met"], "left").select("entity", "m", "gender", F.when(F.col("met").isNull(), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries")))
 
 
 def replace(docs: DataFrame, key: str = KEY, text_column: str = "text", id_column: str = "doc_id", counts: bool = False) -> DataFrame:
@@ -190,14 +225,15 @@ def replace(docs: DataFrame, key: str = KEY, text_column: str = "text", id_colum
     if not again.isEmpty():
         redrawn = True
         each = docs.select(F.col(id_column).alias("_row"), F.explode(described(mentions(F.col(text_column)))).alias("s")).select("_row", "s.entity").distinct()
-        by_row = each.join(again, "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tries"))).alias("_redrawn"))
+        by_row = each.join(again, "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("tries", "gender")))).alias("_redrawn"))
         rows = docs.join(by_row, docs[id_column].eqNullSafe(by_row["_row"]), "left")
     text = F.col(f"`{text_column}`")
     own = [F.col(f"`{c}`") for c in docs.columns]
     parts = rows.select(*own, *[F.col("_redrawn")] * redrawn, described(mentions(text)).alias("_found"))
-    tries = (lambda e: F.coalesce(F.try_element_at(F.col("_redrawn"), e), F.lit(0))) if redrawn else (lambda _: F.lit(0))
+    tries = (lambda e: F.coalesce(F.try_element_at(F.col("_redrawn"), e)["tries"], F.lit(0))) if redrawn else (lambda _: F.lit(0))
+    gender = (lambda e: F.try_element_at(F.col("_redrawn"), e)["gender"]) if redrawn else (lambda _: F.lit(None).cast("string"))
     gaps = F.split(text, ANY, -1)
-    made = F.concat(surrogates(F.col("_found"), key, tries), F.array(F.lit("")))
+    made = F.concat(surrogates(F.col("_found"), key, tries, gender), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, s)), "")
     changed = F.when(F.size("_found") > 0, joined).otherwise(text)
     extra = [F.size("_found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.col("_found.kind"))), ",").alias("entity_kinds")] if counts else []
