@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder is set.
+    Only where that setting is missing and tasks run in the driver's process (local tests) a
+    temporary folder is set; on a cluster a missing setting is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tessera-shared-")
     if not known.isDefined():
         context.setCheckpointDir(at)
@@ -55,3 +59,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def text_of(df: DataFrame, column: str = "text"):
     """The text column, a null counting as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def _at(spark: SparkSession, path: str):
+    """The Hadoop file system of *path*, and the path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark reaches."""
+    system, place = _at(spark, path)
+    return system.exists(place)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    system, place = _at(spark, path)
+    system.delete(place, True)
