@@ -14,6 +14,7 @@ from tessera.llm.components import components
 from tessera.llm.queries import oracle_sql, queries
 
 from .cases import SCHEMA, by_id, documents, empty, prose, rows
+from .test_near_copies import brute_groups
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -216,8 +217,9 @@ def test_pipeline_stages(spark):
         best[body] = min(best.get(body, (1, 0)), (-len(r.text), r.doc_id))
     assert {r.doc_id for r in seen[2].collect()} == {k for _, k in best.values()}
     left = sorted(seen[2].collect(), key=lambda r: r.doc_id)
-    groups = brute_components([brute_fingerprint(r.text) for r in left])
-    assert {r.doc_id for r in seen[3].collect()} == {left[g].doc_id for g in set(groups)}
+    # five words and a similarity of 0.8, as the stage's rule says
+    groups = brute_groups([(r.doc_id, r.text) for r in left])
+    assert {r.doc_id for r in seen[3].collect()} == set(groups) and len(set(groups)) < len(left)
     assert {r.doc_id for r in seen[4].collect()} == {r.doc_id for r in seen[3].collect()}
     assert {r.doc_id for r in seen[5].collect()} == {r.doc_id for r in seen[4].collect()}
     assert corpus_pipeline.run(spark, sf).count() == seen[5].count()
