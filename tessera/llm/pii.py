@@ -4,14 +4,22 @@ A surrogate depends on a key, the entity's kind and its canonical form alone, so
 entity gets the same surrogate in every document and in every way of writing it
 (coreference).  It keeps the way of writing: separators, digit groups and letter
 shape of a mention stay; a telephone number keeps its country code or leading zero, and the
-digits after it depend on the canonical digits alone; a name keeps its title, and gets a given
-name of its gender and a family name in its script, where the gender is that of all titles which
-the entity has in the corpus (open if they differ or say nothing); a card number that passes the check
-digit test gets one that passes it.  Distinct entities stay distinct: surrogates that
-meet each other, or some entity of the corpus, are drawn again until none meet.
+digits after it depend on the canonical digits alone; a card number that passes the check digit
+test gets one that passes it, and so does an IBAN, which keeps its country.
+
+A name is found by its title, which stays.  Its family name is an entity of its own, so all who share it
+share its surrogate, whether a given name stands before it or not; the given name gets one of its gender, where the
+gender is that of all titles which the name has in the corpus (open if they differ or say nothing).
+Both are in the script of the name: Latin, Greek or Cyrillic.  In a text that has a name with its title, the same
+full name or family name without one is replaced too.  Names in other scripts, names that never have a title in
+their text, and given names alone are left as they are.
+
+Distinct entities stay distinct: surrogates that meet each other, or some entity of the corpus, are drawn
+again until none meet, from wider forms as rounds go on; after ``ROUNDS`` rounds an error is raised.
 
 All of it is DataFrame functions.  A text is taken apart into its mentions and the gaps
-between them and joined again, so there is no Python on the executors.
+between them and joined again, so there is no Python on the executors.  All patterns take time in
+proportion to the text, and none recurses over it; local parts of addresses have at most 64 characters.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are
 unchanged.  Repeated rows are treated alike.  Null ids are allowed.  All columns are kept;
@@ -31,7 +39,7 @@ from .common import cut
 KEY = "surrogates"
 
 # Patterns of entities, most particular first.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
 PHONE = "|".join([
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
@@ -42,12 +50,15 @@ PHONE = "|".join([
 ])
 CARD = r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+# Countries that have IBANs.
+IBAN_COUNTRIES = """AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ
+LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE""".split()
+IBAN = rf"(?<!\w)(?:{'|'.join(IBAN_COUNTRIES)})\d{{2}}(?: ?[A-Z0-9]{{4}}){{2}}(?: ?[A-Z0-9]{{3}}|(?: ?[A-Z0-9]{{4}}){{1,5}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)"
 # Titles by gender, which go before a name.
-MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
+MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος", "κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Κυρία", "κυρία"]
 OPEN_TITLES = ["Mx", "Dr", "Prof"]
-# Given names by script and gender, and syllables of family names by script.
+# Given names by script and gender, endings of made given names, and syllables by script.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Paul", "Robert", "Simon", "Victor"],
     ("latin", "f"): ["Ada", "Bella", "Clara", "Diana", "Emma", "Flora", "Helena", "Irene", "Julia", "Lena", "Maria", "Nora", "Olivia", "Paula", "Sofia", "Vera"],
@@ -55,13 +66,23 @@ GIVEN = {
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Николай", "Олег", "Павел", "Роман", "Сергей", "Юрий"],
     ("cyrillic", "f"): ["Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Софья", "Юлия"],
     ("cyrillic", "x"): ["Саша", "Женя", "Валя", "Шура", "Слава", "Юля", "Паша", "Миша", "Коля", "Толя", "Витя", "Лёша", "Гриша", "Стася", "Тоша", "Никита"],
+    ("greek", "m"): ["Γιώργος", "Νίκος", "Πέτρος", "Παύλος", "Ανδρέας", "Κώστας", "Λουκάς", "Μάρκος", "Στέφανος", "Αλέξης", "Θωμάς", "Σπύρος", "Φίλιππος", "Ιάσονας", "Δημήτρης", "Βασίλης"],
+    ("greek", "f"): ["Μαρία", "Ελένη", "Άννα", "Σοφία", "Κατερίνα", "Ειρήνη", "Δήμητρα", "Ζωή", "Ιωάννα", "Λυδία", "Νίκη", "Ρένα", "Χριστίνα", "Θάλεια", "Δανάη", "Αγγελική"],
+    ("greek", "x"): ["Αλεξ", "Άρτεμις", "Αριέλ", "Ηλέκ", "Κιμ", "Λη", "Μορφώ", "Νοέλ", "Πατ", "Ραφ", "Σαμ", "Τζο", "Φοίβη", "Χάρις", "Χρύσω", "Ωρ"],
 }
+ENDINGS = {"latin": {"m": "n", "f": "a", "x": "e"}, "cyrillic": {"m": "н", "f": "а", "x": "е"}, "greek": {"m": "ς", "f": "α", "x": "ο"}}
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wa", "ze"],
     "cyrillic": ["ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "ша", "зе"],
+    "greek": ["βα", "δε", "φι", "γο", "χυ", "κα", "λε", "μι", "νο", "πυ", "ρα", "σε", "τι", "ζο", "ξα", "ψε"],
 }
+#: Rounds of drawing again, those after which made given names take the place of listed ones, and those after which names are longer.
+ROUNDS, MADE_AFTER, LONG_AFTER = 64, 6, 12
+#: Entities to draw again that are sent to all tasks; more are joined by a shuffle, dealt out by so many salts.
+SENT, SALTS = 1_000_000, 16
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OPEN_TITLES])
-NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+_WORD = "|".join(rf"[\p{{Lu}}&&\p{{Is{x}}}][\p{{Ll}}&&\p{{Is{x}}}]++" for x in ("Latin", "Cyrillic", "Greek"))
+NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:{_WORD})(?: (?:{_WORD}))?(?!\p{{L}})"
 
 ANY = "|".join([EMAIL, IP, SSN, CARD, PHONE, IBAN, NAME])
 #: A text without a match of this has no entity; cheaper than the patterns.
@@ -82,14 +103,24 @@ def kind_of(mention: Column) -> Column:
     )
 
 
+def untitled(mention: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(mention, r"^\p{L}+\.? ", "")
+
+
+def family_of(mention: Column) -> Column:
+    """The family name of a name."""
+    return F.regexp_extract(mention, r"(\p{L}+)$", 1)
+
+
 def canonical(mention: Column, kind: Column) -> Column:
     """Kind and form without the way of writing; equal for mentions of one entity."""
     plain = (
-        F.when(kind == "email", F.lower(mention)).when(kind == "name", F.lower(F.regexp_replace(mention, r"^\p{L}+\.? ", "")))
+        F.when(kind == "email", F.lower(mention)).when(kind == "name", F.lower(untitled(mention)))
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(mention, r"^(?:\+|00)", "p"), r"[^\dp]", ""))
         .when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(mention, r"\D", ""))
     )
-    return F.concat(kind, F.lit(":"), plain)
+    return F.concat(F.when((kind == "name") & ~plain.contains(" "), "family").otherwise(kind), F.lit(":"), plain)
 
 
 def _digest(key: str, entity: Column, tries: Column) -> Column:
@@ -135,17 +166,38 @@ def _gender(mention: Column) -> Column:
     return F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("x")
 
 
-def _name(mention: Column, digest: Column, gender: Column) -> Column:
-    cyrillic = mention.rlike(r"\p{IsCyrillic}$")  # of the name, whatever the title's script
+def _in_script(word: Column, make) -> Column:
+    """What *make* gives for the script of the word."""
+    return F.when(word.rlike(r"\p{IsCyrillic}$"), make("cyrillic")).when(word.rlike(r"\p{IsGreek}$"), make("greek")).otherwise(make("latin"))
+
+
+def _syllables(script: str, digest: Column, n: int) -> Column:
+    return F.concat(*[_pick(SYLLABLES[script], _number(digest, F.lit(i))) for i in range(1, n + 1)])
+
+
+def _family(word: Column, digest: Column, tries: Column) -> Column:
+    """The surrogate of a family name."""
+    return _in_script(word, lambda script: F.initcap(F.when(tries < LONG_AFTER, _syllables(script, digest, 6)).otherwise(_syllables(script, digest, 10))))
+
 
-    def in_script(script: str) -> Column:
-        number = _number(digest, F.lit(0))
-        given = F.when(gender == "m", _pick(GIVEN[script, "m"], number)).when(gender == "f", _pick(GIVEN[script, "f"], number)).otherwise(_pick(GIVEN[script, "x"], number))
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _number(digest, F.lit(i))) for i in range(1, 7)]))
-        both = mention.rlike(r"^\S+ \S+ \S+$")
-        return F.when(both, F.concat_ws(" ", given, family)).otherwise(family)
+def _given(word: Column, digest: Column, gender: Column, tries: Column) -> Column:
+    """The surrogate of a given name; a listed name at first."""
 
-    return F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), F.when(cyrillic, in_script("cyrillic")).otherwise(in_script("latin")))
+    def make(script: str) -> Column:
+        listed, ending = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for g in ("m", "f", "x"):
+            listed = F.when(gender == g, _pick(GIVEN[script, g], _number(digest, F.lit(0)))).otherwise(listed)
+            ending = F.when(gender == g, ENDINGS[script][g]).otherwise(ending)
+        made = F.initcap(F.concat(F.when(tries < LONG_AFTER, _syllables(script, digest, 3)).otherwise(_syllables(script, digest, 8)), ending))
+        return F.when(tries < MADE_AFTER, listed).otherwise(made)
+
+    return _in_script(word, make)
+
+
+def _mod97(compact: Column) -> Column:
+    """The remainder of an IBAN, written without spaces, with its first four characters behind the rest; 1 where it is valid."""
+    chars = F.filter(F.split(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
 
 
 # Country codes of telephone numbers; none is the start of another.
@@ -171,14 +223,25 @@ def _made(s: Column) -> Column:
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     check = (10 - _luhn(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0")))) % 10
     card = F.when(_luhn(F.regexp_replace(m, r"\D", "")) == 0, F.concat(body, check.cast("string"))).otherwise(digits)
-    iban = F.concat(F.substring(m, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped) - 2))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(m, digest, s["gender"])).otherwise(shaped)
+    # an IBAN keeps its country, and gets check digits that are right if they were
+    rest = F.substring(shaped, F.lit(5), F.length(shaped))
+    zero = F.replace(F.concat(F.substring(m, 1, 2), F.lit("00"), rest), F.lit(" "), F.lit(""))
+    check = F.lpad((98 - _mod97(zero)).cast("string"), 2, "0")
+    iban = F.concat(F.substring(m, 1, 2), F.when(_mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1, check).otherwise(F.substring(shaped, 3, 2)), rest)
+    family = _family(m, s["family_digest"], s["family_tries"])
+    given = F.when(s["entity"].startswith("name:"), F.concat(_given(F.regexp_extract(m, r"(\p{L}+) \p{L}+$", 1), digest, s["gender"], s["tries"]), F.lit(" "))).otherwise("")
+    name = F.concat(F.regexp_extract(m, r"^(\p{L}+\.? )", 1), given, family)
+    return (
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
+        .when(kind == "name", name).when(kind == "family", family).otherwise(shaped)
+    )
 
 
 def described(found: Column) -> Column:
-    """Mentions as structs of ``m``, ``kind`` and ``entity``."""
+    """Mentions as structs of ``m``, ``kind``, ``entity`` and, of a name, the ``family`` entity."""
     kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("entity")))
+    family = lambda s: F.when(s["kind"] == "name", F.concat(F.lit("family:"), F.lower(family_of(s["m"]))))
+    return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("entity"), family(s).alias("family")))
 
 
 def surrogates(found: Column, key: str, tries, gender=lambda _: F.lit(None).cast("string")) -> Column:
@@ -186,55 +249,92 @@ def surrogates(found: Column, key: str, tries, gender=lambda _: F.lit(None).cast
 
     *tries* gives, for an entity, how often it was drawn again, and *gender* its gender where that is not its mention's.
     """
-    part = lambda s: F.when(s["kind"] == "email", F.regexp_extract(s["m"], "^([^@]+)@", 1)).when(s["kind"] == "phone", F.regexp_replace(s["m"], _LEAD, "")).otherwise(s["m"])
+    part = lambda s: F.when(s["kind"] == "email", F.regexp_extract(s["m"], "^([^@]+)@", 1)).when(s["kind"] == "phone", F.regexp_replace(s["m"], _LEAD, "")).when(s["kind"].isin("name", "family"), "").otherwise(s["m"])
     own = lambda s: F.when(s["kind"] == "name", F.coalesce(gender(s["entity"]), _gender(s["m"])))
-    digests = F.transform(found, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), part(s).alias("part"), own(s).alias("gender"), _digest(key, s["entity"], tries(s["entity"])).alias("digest")))
-    shapes = F.transform(digests, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["digest"].alias("digest"), s["gender"].alias("gender"), _shaped(s["part"], s["digest"], s["kind"] == "phone").alias("shaped")))
+    drawn = F.transform(found, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["entity"].alias("entity"), s["family"].alias("family"), part(s).alias("part"), own(s).alias("gender"), tries(s["entity"]).alias("tries"), tries(s["family"]).alias("family_tries")))
+    keep = ("m", "kind", "entity", "gender", "tries", "family_tries")
+    digests = F.transform(drawn, lambda s: F.struct(*[s[k].alias(k) for k in keep], s["part"].alias("part"), _digest(key, s["entity"], s["tries"]).alias("digest"), _digest(key, s["family"], s["family_tries"]).alias("family_digest")))
+    shapes = F.transform(digests, lambda s: F.struct(*[s[k].alias(k) for k in keep], s["digest"].alias("digest"), s["family_digest"].alias("family_digest"), _shaped(s["part"], s["digest"], s["kind"] == "phone").alias("shaped")))
     return F.transform(shapes, _made)
 
 
+def _writings(docs: DataFrame, text_column: str) -> DataFrame:
+    """Every distinct writing ``m`` of every entity: ``kind``, ``entity``, ``family``.  A family name is a writing of its own."""
+    found = docs.select(F.explode(described(mentions(F.col(f"`{text_column}`")))).alias("s")).select("s.*").distinct()
+    families = found.filter("kind = 'name'").select(family_of(F.col("m")).alias("m"), F.lit("family").alias("kind"), F.col("family").alias("entity"), "family")
+    return cut(found.filter("entity not like 'family:%'").union(families.distinct()))
+
+
 def redraws(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     """Entities whose surrogate does not follow from a mention: ``entity``, ``tries``, ``gender``.
 
     They have to be drawn again so that all stay distinct, or have titles that differ in gender.
-    Every distinct writing of an entity is looked at.
+    Every distinct writing of an entity is looked at.  Names are compared within their family.
     """
-    found = docs.select(F.explode(described(mentions(F.col(text_column)))).alias("s")).select("s.kind", "s.entity", "s.m")
-    writings = cut(found.distinct()).withColumn("own", F.when(F.col("kind") == "name", _gender(F.col("m"))))
+    writings = _writings(docs, text_column).withColumn("own", F.when(F.col("kind") == "name", _gender(F.col("m"))))
     men, women = F.max(F.col("own") == "m"), F.max(F.col("own") == "f")
     mixed = writings.groupBy("entity").agg(F.when(men & ~women, "m").when(women & ~men, "f").otherwise("x").alias("gender"), F.count_distinct("own").alias("n")).filter("n > 1").drop("n")
-    drawn = cut(writings.join(mixed, "entity", "left").select("entity", "m", "gender", F.lit(0).alias("tries")))
-    known = drawn.select(F.col("entity").alias("taken"))
-    while True:
-        made = drawn.select("entity", "m", "gender", "tries", F.element_at(surrogates(described(F.array("m")), key, lambda _: F.col("tries"), lambda _: F.col("gender")), 1).alias("s"))
-        made = made.select("entity", "m", "gender", "tries", F.element_at(described(F.array("s")), 1)["entity"].alias("made"))
-        made = cut(made)
-        first = made.groupBy("made").agg(F.min(F.struct("tries", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    drawn = cut(writings.join(mixed, "entity", "left").select("entity", "kind", "family", "m", "gender", F.lit(0).alias("tries")))
+    known = drawn.select(F.col("entity").alias("taken")).distinct()
+    columns = ("entity", "kind", "family", "m", "gender", "tries")
+    for _ in range(ROUNDS):
+        one = F.array(F.struct("m", "kind", "entity", "family"))
+        made = drawn.select(*columns, F.element_at(surrogates(one, key, lambda e: F.when(e == F.col("entity"), F.col("tries")).otherwise(0), lambda _: F.col("gender")), 1).alias("s"))
+        given = F.concat(F.lit("name:"), F.lower(F.regexp_extract("s", r"(\p{L}+) \p{L}+$", 1)), F.lit(" "), F.substring_index("family", ":", -1))
+        meets_as = F.when(F.col("kind") == "family", F.concat(F.lit("family:"), F.lower("s"))).when(F.col("kind") == "name", given).otherwise(F.element_at(described(F.array("s")), 1)["entity"])
+        made = cut(made.select(*columns, meets_as.alias("made")))
+        first = made.groupBy("made").agg(F.min(F.struct("tries", "entity")).alias("first"), F.min("entity").alias("low"), F.max("entity").alias("high")).filter("low < high").select("made", "first")
         meets = made.join(first, "made").filter(F.col("entity") != F.col("first.entity")).select("entity")
         meets = cut(meets.union(made.join(known, made["made"] == known["taken"], "left_semi").select("entity")).distinct())
         if meets.isEmpty():
             return made.filter("tries > 0 or gender is not null").select("entity", "tries", "gender").distinct()
         again = meets.withColumnRenamed("entity", "met")
-        drawn = cut(made.join(again, made["entity"] == again["met"], "left").select("entity", "m", "gender", F.when(F.col("met").isNull(), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries")))
+        drawn = cut(made.join(again, made["entity"] == again["met"], "left").select("entity", "kind", "family", "m", "gender", F.when(F.col("met").isNull(), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries")))
+    raise RuntimeError(f"surrogates of {meets.count()} entities still meet others after {ROUNDS} rounds")
+
+
+def _redrawn(docs: DataFrame, again: DataFrame, text_column: str, id_column: str) -> DataFrame:
+    """``_row``, ``_hash`` of a row's text, and ``_redrawn``: its entities among *again*, by entity."""
+    found = described(mentions(F.col(f"`{text_column}`")))
+    each = docs.select(F.col(f"`{id_column}`").alias("_row"), F.xxhash64(f"`{text_column}`").alias("_hash"), F.explode(found).alias("s"))
+    each = each.select("_row", "_hash", F.explode(F.array_compact(F.array("s.entity", "s.family"))).alias("entity")).distinct()
+    if again.count() <= SENT:
+        met = each.join(F.broadcast(again), "entity")  # bounded by SENT
+    else:
+        # an entity that very many texts hold is dealt out over all salts
+        salted = again.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        met = each.withColumn("_salt", F.pmod(F.xxhash64("_row", "_hash"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "_salt"])
+    return met.groupBy("_row", "_hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", F.struct("tries", "gender")))).alias("_redrawn"))
 
 
 def replace(docs: DataFrame, key: str = KEY, text_column: str = "text", id_column: str = "doc_id", counts: bool = False) -> DataFrame:
     """The rows with surrogates in their texts; with *counts*, also ``n_entities`` and ``entity_kinds`` (distinct, sorted, comma-joined)."""
     again = redraws(docs, key, text_column)
-    rows, redrawn = docs, False
-    if not again.isEmpty():
-        redrawn = True
-        each = docs.select(F.col(id_column).alias("_row"), F.explode(described(mentions(F.col(text_column)))).alias("s")).select("_row", "s.entity").distinct()
-        by_row = each.join(again, "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("tries", "gender")))).alias("_redrawn"))
-        rows = docs.join(by_row, docs[id_column].eqNullSafe(by_row["_row"]), "left")
     text = F.col(f"`{text_column}`")
+    rows, redrawn = docs, not again.isEmpty()
+    if redrawn:
+        by_row = _redrawn(docs, again, text_column, id_column)
+        rows = docs.join(by_row, docs[id_column].eqNullSafe(by_row["_row"]) & (F.xxhash64(docs[text_column]) == by_row["_hash"]), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     parts = rows.select(*own, *[F.col("_redrawn")] * redrawn, described(mentions(text)).alias("_found"))
     tries = (lambda e: F.coalesce(F.try_element_at(F.col("_redrawn"), e)["tries"], F.lit(0))) if redrawn else (lambda _: F.lit(0))
     gender = (lambda e: F.try_element_at(F.col("_redrawn"), e)["gender"]) if redrawn else (lambda _: F.lit(None).cast("string"))
+    parts = parts.withColumn("_made", surrogates(F.col("_found"), key, tries, gender))
+    # the same names without a title: full names and family names, with what stands for them
+    pairs = F.filter(F.arrays_zip(F.col("_found"), F.col("_made")), lambda p: p["_found"]["kind"] == "name")
+    full = F.transform(pairs, lambda p: F.struct(untitled(p["_found"]["m"]).alias("k"), untitled(p["_made"]).alias("v")))
+    short = F.transform(pairs, lambda p: F.struct(family_of(p["_found"]["m"]).alias("k"), family_of(p["_made"]).alias("v")))
+    parts = parts.withColumn("_names", F.map_from_entries(F.array_distinct(F.concat(full, short))))
+    longest = F.reverse(F.array_sort(F.transform(F.map_keys("_names"), lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
+    parts = parts.withColumn("_sought", F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(longest, lambda s: s["k"]), "|"), F.lit(r")(?![\p{L}\p{N}])")))
+
+    def renamed(gap: Column) -> Column:
+        held = F.transform(F.regexp_extract_all(gap, F.col("_sought"), F.lit(0)), lambda k: F.element_at(F.col("_names"), k))
+        return F.array_join(F.zip_with(F.split(gap, F.col("_sought"), -1), F.concat(held, F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
+
     gaps = F.split(text, ANY, -1)
-    made = F.concat(surrogates(F.col("_found"), key, tries, gender), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, s)), "")
+    gaps = F.when(F.size(F.map_keys("_names")) > 0, F.transform(gaps, renamed)).otherwise(gaps)
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.col("_made"), F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
     changed = F.when(F.size("_found") > 0, joined).otherwise(text)
     extra = [F.size("_found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.col("_found.kind"))), ",").alias("entity_kinds")] if counts else []
     return parts.select(*[(changed if c == text_column else F.col(f"`{c}`")).alias(c) for c in docs.columns], *extra)

@@ -44,3 +44,50 @@ def test_a_name_is_one_under_all_titles(spark):
     assert bare[0] == bare[1] and bare[0].split()[0] in pii.GIVEN["latin", "f"]
     assert bare[2] == bare[3] and bare[2].split()[0] in pii.GIVEN["latin", "m"]
     assert bare[4] == bare[5] == bare[6] and len({bare[0], bare[2], bare[4]}) == 3
+
+
+def test_untitled_names_and_shared_families(spark):
+    found = replaced(spark, ["Mrs Anna Smith came. Anna Smith left. Mrs. Smith too; Smith's and Smithson.", "Dr Anna Jones and Anna Smith", "no Anna Smith here"])
+    first = re.fullmatch(r"Mrs (\w+) (\w+) came\. (\w+) (\w+) left\. Mrs\. (\w+) too; (\w+)'s and Smithson\.", found[0].text).groups()
+    assert first[0] == first[2] and len({first[1], first[3], first[4], first[5]}) == 1 and "Smith" not in first and "Anna" not in first
+    assert found[0].n_entities == 2 and found[2].text == "no Anna Smith here"
+    assert re.fullmatch(r"Dr \w+ \w+ and Anna Smith", found[1].text) and "Jones" not in found[1].text
+
+
+def test_scripts_are_kept(spark):
+    found = replaced(spark, ["Κυρία Ελένη Παπαδοπούλου", "господин Иван Петров", "Frau Ute Bauer", "Mr Հայկ Սարգսյան"])
+    for i, (script, own) in enumerate([("greek", "Παπαδοπούλου"), ("cyrillic", "Петров"), ("latin", "Bauer")]):
+        title, given, family = found[i].text.split(" ")
+        assert given in {n for (k, _), v in pii.GIVEN.items() if k == script for n in v} and family != own
+        assert re.fullmatch({"greek": r"[Ͱ-Ͽ]+", "cyrillic": r"[Ѐ-ӿ]+", "latin": r"[A-Za-z]+"}[script], family)
+    assert found[3].text == "Mr Հայկ Սարգսյան"
+
+
+def valid(iban):
+    compact = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def test_iban_check_digits(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    found = replaced(spark, [f"to {i}." for i in [*ibans, "DE88 3704 0044 0532 0130 00"]] + ["AB12 CDEF GHIJ", "DE12 CDEF GHIJ"])
+    for k, own in enumerate(ibans):
+        got = found[k].text[3:-1]
+        assert found[k].entity_kinds == "iban" and valid(got) and got != own and got[:2] == own[:2]
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", got)) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", own))
+    assert found[0].text.replace(" ", "") == found[1].text.replace(" ", "") and not valid(found[4].text[3:-1])
+    assert found[5].n_entities == found[6].n_entities == 0
+
+
+def test_megabytes_of_each_pattern(spark):
+    bits = ["a@" + "b." * 500_000, "a." * 500_000, "1.2.3." * 170_000, "555 " * 250_000, "+1 (" * 250_000, "4111 " * 200_000, "DE89 " * 200_000, "Mr Anna " * 125_000, "Mr " * 330_000, "0" * 1_000_000, "1-" * 500_000, "Ab " * 300_000, "@" * 1_000_000]
+    found = replaced(spark, bits)
+    assert len(found) == len(bits) and all(len(found[i].text) > 100_000 for i in range(1, len(bits)))
+    assert re.fullmatch(r"[a-z]@\w+\.example\.org\.", found[0].text)
+
+
+def test_many_names_in_one_family_stay_distinct(spark):
+    given = [a + b + c for a in ("Ka", "Lo", "Mi", "Nu") for b in ("ba", "de", "fi", "go") for c in ("ra", "se", "ti")]
+    found = replaced(spark, [f"Mrs {g} Smith" for g in given])
+    assert len({r.text for r in found.values()}) == len(given) and len({r.text.split()[2] for r in found.values()}) == 1
+    assert not {r.text.split()[1] for r in found.values()} & set(given)
