@@ -1,47 +1,36 @@
-"""Borders, resizing and affine warping over pixels.
+"""Borders, resizing and affine warping, over dense arrays or over elements.
 
-An output grid is made for each image, every place is mapped to source coordinates by
-column arithmetic, and one join on the image's id and coordinates fetches the values.
+Every operator computes the source places of an output grid and fetches whole rows and columns, or
+corners, from the image (:mod:`.blocks`).  Dense arrays are not shuffled; elements meet by image in one exchange.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from ..functions.borders import MODES, source
-from ..functions.depths import TensorError, lane, saturate
-from .arrays import KEY
-
-
-def _grid(px: DataFrame, h: Column, w: Column) -> DataFrame:
-    """``img_id, sh, sw, h, w, y, x, c``: the places of an output of *h* rows and *w* columns."""
-    shapes = px.groupBy("img_id", F.col("h").alias("sh"), F.col("w").alias("sw")).agg((F.max("c") + 1).alias("cn"))
-    sized = shapes.select("img_id", "sh", "sw", "cn", h.cast("int").alias("h"), w.cast("int").alias("w"))
-    rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    places = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    return places.select("img_id", "sh", "sw", "h", "w", "y", "x", F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("c"))
-
-
-def _fetched(grid: DataFrame, px: DataFrame, sy: Column, sx: Column) -> DataFrame:
-    """The grid with the source value ``s``, null where none is read."""
-    values = px.select(F.col("img_id").alias("_i"), F.col("c").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("s"))
-    sought = grid.withColumns({"_sy": sy, "_sx": sx})
-    found = (F.col("img_id") == F.col("_i")) & (F.col("c") == F.col("_c")) & (F.col("_sy") == F.col("_y")) & (F.col("_sx") == F.col("_x"))
-    return sought.join(values, found, "left").drop("_i", "_c", "_y", "_x")
+from ..functions.borders import MODES
+from ..functions.depths import TensorError, lanes
+from .blocks import Block, folded, on_blocks, rounded, saturated, source_places
 
 
 def copy_make_border(px: DataFrame, top: int, bottom: int, left: int, right: int, border: str, depth: str, value=0, channels: int = 1) -> DataFrame:
     """Images widened by a border; channels past the third take the fourth lane of a scalar."""
     if min(top, bottom, left, right) < 0 or border not in MODES:
         raise TensorError("borders have widths from 0 and a known kind")
-    grid = _grid(px, F.col("sh") + (top + bottom), F.col("sw") + (left + right))
-    out = _fetched(grid, px, source(F.col("y") - top, F.col("sh"), border), source(F.col("x") - left, F.col("sw"), border))
     full = [*value, 0, 0, 0, 0][:4] if not isinstance(value, (int, float)) else [value] * 4
-    per = F.element_at(F.array(*[F.lit(float(v)) for v in full]), (F.least(F.col("c"), F.lit(3)) + 1).cast("int"))
-    return out.select(*KEY, F.coalesce(F.col("s"), saturate(per, depth)).alias("v"))
+
+    def program(block: Block) -> Block:
+        per = saturated(np.array([float(full[min(c, 3)]) for c in range(block.data.shape[3])]), depth)
+        ys, in_y = source_places(-top, block.h + bottom, block.h, border)
+        xs, in_x = source_places(-left, block.w + right, block.w, border)
+        wide = block.data[:, ys][:, :, xs]
+        made = np.where((in_y[:, None] & in_x)[None, :, :, None], wide, per.astype(wide.dtype))
+        return Block(made, *made.shape[1:3])
+
+    return on_blocks(px, program, depth)
 
 
 def target_size(h: int, w: int, dsize: tuple[int, int] | None = None, fx: float = 0.0, fy: float = 0.0) -> tuple[int, int]:
@@ -50,57 +39,46 @@ def target_size(h: int, w: int, dsize: tuple[int, int] | None = None, fx: float
         return dsize[1], dsize[0]
     if fx <= 0 or fy <= 0:
         raise TensorError("resize takes a size or two factors")
-    return max(1, math.floor(h * fy + 0.5)), max(1, math.floor(w * fx + 0.5))
+    return max(1, int(rounded(np.float64(h * fy)))), max(1, int(rounded(np.float64(w * fx))))
 
 
-def _size_columns(dsize, fx: float, fy: float) -> tuple[Column, Column]:
-    if dsize and dsize[0] > 0 and dsize[1] > 0:
-        return F.lit(dsize[1]), F.lit(dsize[0])
-    if fx <= 0 or fy <= 0:
-        raise TensorError("resize takes a size or two factors")
-    scaled = lambda n, f: F.greatest(F.lit(1), F.round(F.col(n) * f)).cast("int")
-    return scaled("sh", fy), scaled("sw", fx)
+def _ratio(p: np.ndarray, n: int, m: int) -> np.ndarray:
+    return np.minimum(n - 1, p * n // m)
+
+
+def _exact(p: np.ndarray, n: int, m: int) -> np.ndarray:
+    step = (n * 65536 + m // 2) // m
+    return np.clip((step * p + step // 2 - n % 2) >> 16, 0, n - 1)
+
+
+def _axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two source places and the weight of the second for each of *m* places, in 32F."""
+    half = np.float32(0.5)
+    at = (np.arange(m).astype(np.float32) + half) * np.float32(n / m) - half
+    low = np.clip(np.floor(at).astype(np.int64), 0, n - 1)
+    return low, np.minimum(low + 1, n - 1), at - low.astype(np.float32)
 
 
 def resize(px: DataFrame, depth: str, dsize: tuple[int, int] | None = None, fx: float = 0.0, fy: float = 0.0, interpolation: str = "LINEAR") -> DataFrame:
     """NEAREST, NEAREST_EXACT or LINEAR.  LINEAR clips source places but not weights, so it extrapolates at upper and left edges."""
-    h, w = _size_columns(dsize, fx, fy)
-    grid = _grid(px, h, w)
-    if interpolation == "NEAREST":
-        near = lambda p, n, m: F.least(F.col(n) - 1, F.floor(F.col(p) * F.col(n) / F.col(m)).cast("int"))
-        return _fetched(grid, px, near("y", "sh", "h"), near("x", "sw", "w")).select(*KEY, F.col("s").alias("v"))
-    if interpolation == "NEAREST_EXACT":
-
-        def exact(p: str, n: str, m: str) -> Column:
-            step = F.floor((F.col(n).cast("bigint") * 65536 + F.floor(F.col(m) / 2)) / F.col(m))
-            first = F.floor(step / 2) - F.col(n) % 2
-            return F.greatest(F.lit(0), F.least(F.col(n) - 1, F.shiftright((step * F.col(p) + first).cast("bigint"), 16).cast("int")))
-
-        return _fetched(grid, px, exact("y", "sh", "h"), exact("x", "sw", "w")).select(*KEY, F.col("s").alias("v"))
-    if interpolation != "LINEAR":
+    if interpolation not in ("NEAREST", "NEAREST_EXACT", "LINEAR"):
         raise TensorError(f"unknown interpolation {interpolation!r}")
+    target_size(1, 1, dsize, fx, fy)  # fails on bad sizes
+
+    def program(block: Block) -> Block:
+        h, w = block.h, block.w
+        mh, mw = target_size(h, w, dsize, fx, fy)
+        if interpolation != "LINEAR":
+            place = _ratio if interpolation == "NEAREST" else _exact
+            return Block(block.data[:, place(np.arange(mh), h, mh)][:, :, place(np.arange(mw), w, mw)], mh, mw)
+        (y0, y1, wy), (x0, x1, wx) = _axis(h, mh), _axis(w, mw)
+        mix = lambda a, b, t: a + (b - a) * t
+        data = block.data.astype(np.float32)
+        upper, lower = data[:, y0], data[:, y1]
+        across = lambda rows: mix(rows[:, :, x0], rows[:, :, x1], wx[None, None, :, None])
+        return Block(saturated(mix(across(upper), across(lower), wy[None, :, None, None]), depth), mh, mw)
 
-    half_ = F.lit(0.5).cast("float")
-    place = lambda p, n, m: ((F.col(p).cast("float") + half_) * (F.col(n).cast("float") / F.col(m).cast("float")).cast("float") - half_).cast("float")
-    at = grid.withColumns({"fy": place("y", "sh", "h"), "fx": place("x", "sw", "w")})
-    low = lambda f, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor(F.col(f)).cast("int")))
-    at = at.withColumns({"y0": low("fy", "sh"), "x0": low("fx", "sw")})
-    at = at.withColumns({"y1": F.least(F.col("y0") + 1, F.col("sh") - 1), "x1": F.least(F.col("x0") + 1, F.col("sw") - 1), "wy": (F.col("fy") - F.col("y0").cast("float")).cast("float"), "wx": (F.col("fx") - F.col("x0").cast("float")).cast("float")})
-    four = _four(at, px, "y0", "y1", "x0", "x1", None)
-    mix = lambda a, b, t: (a + (b - a) * t).cast("float")
-    s = [F.col(f"p{k}").cast("float") for k in ("00", "01", "10", "11")]
-    value = mix(mix(s[0], s[1], F.col("wx")), mix(s[2], s[3], F.col("wx")), F.col("wy"))
-    return four.select(*KEY, saturate(value, depth).alias("v"))
-
-
-def _four(at: DataFrame, px: DataFrame, y0: str, y1: str, x0: str, x1: str, constant: Column | None) -> DataFrame:
-    """``p00, p01, p10, p11`` at four corners: one row a corner is joined, then the corners meet again by place."""
-    corners = F.array(*[F.struct(F.lit(k).alias("k"), F.col(y).alias("sy"), F.col(x).alias("sx")) for k, y, x in (("00", y0, x0), ("01", y0, x1), ("10", y1, x0), ("11", y1, x1))])
-    extra = [c for c in ("wx", "wy", "fx", "fy") if c in at.columns]
-    each = at.select(*KEY, *extra, F.explode(corners).alias("q")).select(*KEY, *extra, "q.k", "q.sy", "q.sx")
-    found = _fetched(each, px, F.col("sy"), F.col("sx"))
-    s = F.col("s") if constant is None else F.coalesce(F.col("s").cast("double"), constant)
-    return found.groupBy(*KEY, *extra).agg(*[F.max(F.when(F.col("k") == k, s)).alias(f"p{k}") for k in ("00", "01", "10", "11")])
+    return on_blocks(px, program, depth)
 
 
 def inverse(m: list[list[float]]) -> list[list[float]]:
@@ -116,21 +94,30 @@ def inverse(m: list[list[float]]) -> list[list[float]]:
 
 def warp_affine(px: DataFrame, matrix: list[list[float]], depth: str, dsize: tuple[int, int] | None = None, interpolation: str = "LINEAR", inverse_map: bool = False, border: str = "CONSTANT", value=0, channels: int = 1) -> DataFrame:
     """Images under an affine map; an empty size keeps the source's."""
+    if border not in MODES:
+        raise TensorError(f"unknown border {border!r}")
     (a, b, c), (d, e, f) = matrix if inverse_map else inverse(matrix)
-    h, w = (F.lit(dsize[1]), F.lit(dsize[0])) if dsize and min(dsize) > 0 else (F.col("sh"), F.col("sw"))
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    at = _grid(px, h, w).withColumns({"ux": x * float(a) + y * float(b) + float(c), "uy": x * float(d) + y * float(e) + float(f)})
-    outside = saturate(lane(value, channels, depth, F.col("c")), depth)
-    rule = lambda p, n: source(p, F.col(n), border)
-    if interpolation == "NEAREST":
-        near = lambda u: F.floor(F.col(u) + 0.5).cast("int")
-        return _fetched(at, px, rule(near("uy"), "sh"), rule(near("ux"), "sw")).select(*KEY, F.coalesce(F.col("s"), outside).alias("v"))
-    at = at.withColumns({"bx": F.floor("ux").cast("int"), "by": F.floor("uy").cast("int")})
-    at = at.withColumns({"wx": F.col("ux") - F.col("bx"), "wy": F.col("uy") - F.col("by"), "x0": rule(F.col("bx"), "sw"), "x1": rule(F.col("bx") + 1, "sw"), "y0": rule(F.col("by"), "sh"), "y1": rule(F.col("by") + 1, "sh")})
-    four = _four(at, px, "y0", "y1", "x0", "x1", outside.cast("double"))
-    p = [F.col(f"p{k}").cast("double") for k in ("00", "01", "10", "11")]
-    upper, lower = p[0] + (p[1] - p[0]) * F.col("wx"), p[2] + (p[3] - p[2]) * F.col("wx")
-    return four.select(*KEY, saturate(upper + (lower - upper) * F.col("wy"), depth).alias("v"))
+
+    def program(block: Block) -> Block:
+        mh, mw = (dsize[1], dsize[0]) if dsize and min(dsize) > 0 else (block.h, block.w)
+        cn = block.data.shape[3]
+        outside = saturated(np.array((lanes(value, min(cn, max(channels, 1)), depth) * cn)[:cn], np.float64), depth)
+        x, y = np.arange(mw, dtype=np.float64)[None, :], np.arange(mh, dtype=np.float64)[:, None]
+        ux, uy = x * float(a) + y * float(b) + float(c), x * float(d) + y * float(e) + float(f)
+
+        def fetched(py: np.ndarray, px_: np.ndarray, kind) -> np.ndarray:
+            (ys, in_y), (xs, in_x) = folded(py, block.h, border), folded(px_, block.w, border)
+            return np.where((in_y & in_x)[None, :, :, None], block.data[:, ys, xs], outside).astype(kind)
+
+        if interpolation == "NEAREST":
+            return Block(fetched(np.floor(uy + 0.5).astype(np.int64), np.floor(ux + 0.5).astype(np.int64), block.data.dtype), mh, mw)
+        bx, by = np.floor(ux).astype(np.int64), np.floor(uy).astype(np.int64)
+        wx, wy = (ux - bx)[None, :, :, None], (uy - by)[None, :, :, None]
+        p = [fetched(by + j, bx + i, np.float64) for j in (0, 1) for i in (0, 1)]
+        upper, lower = p[0] + (p[1] - p[0]) * wx, p[2] + (p[3] - p[2]) * wx
+        return Block(saturated(upper + (lower - upper) * wy, depth), mh, mw)
+
+    return on_blocks(px, program, depth)
 
 
 def letterbox(px: DataFrame, depth: str, h: int, w: int, size: tuple[int, int], channels: int = 1, value=0) -> DataFrame:

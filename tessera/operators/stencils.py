@@ -1,22 +1,22 @@
-"""Neighbourhood operators over pixels, and the same sums over dense arrays.
+"""Neighbourhood operators, over dense arrays or over elements.
 
-The pixel form explodes a literal table of taps, maps each to its source coordinate by the
-border rule, joins the image to itself and groups.  All keys begin with the image, which
-:func:`tessera.operators.arrays.pixels` partitioned by, so join and grouping add no shuffle.
-
-For large images :func:`weighted_dense` sums the same taps over whole arrays in Arrow batches.
+Every operator is a program over blocks (:mod:`.blocks`) and gives back the form that it got.  Dense
+arrays are worked on where they are, without a shuffle.  Elements go through one exchange into
+tiles with the margin that the operator reads, also where it has several passes.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.borders import DEFAULT, check_filter, source
-from ..functions.depths import TensorError, saturate
-from .arrays import KEY
+from ..functions.borders import DEFAULT, check_filter
+from ..functions.depths import TensorError
+from . import blocks
+from .blocks import Block, Program, reach, saturated, shifted, together, weighted
 
 Taps = list[tuple[int, int, float]]
 
@@ -30,28 +30,21 @@ def taps_of(kernel: list[list[float]], anchor: tuple[int, int] = (-1, -1)) -> Ta
     return [(y - ay, x - ax, float(kernel[y][x])) for y in range(rows) for x in range(cols)]
 
 
-def gathered(px: DataFrame, taps: Taps, border: str = DEFAULT, keep: str = "left") -> DataFrame:
-    """One row for each element and tap: the keys, ``k`` (the tap's place), ``weight`` and source value ``s``, null where a constant is read."""
-    check_filter(border)
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("weight")) for k, (dy, dx, w) in enumerate(taps)])
-    each = px.select(*KEY, F.explode(table).alias("t"))
-    sought = each.select(*KEY, "t.k", "t.weight", source(F.col("y") + F.col("t.dy"), F.col("h"), border).alias("_sy"), source(F.col("x") + F.col("t.dx"), F.col("w"), border).alias("_sx"))
-    values = px.select(F.col("img_id").alias("_i"), F.col("c").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("s"))
-    found = (F.col("img_id") == F.col("_i")) & (F.col("c") == F.col("_c")) & (F.col("_sy") == F.col("_y")) & (F.col("_sx") == F.col("_x"))
-    return sought.join(values, found, keep).select(*KEY, "k", "weight", "s")
-
-
-def _summed(px: DataFrame, taps: Taps, border: str) -> DataFrame:
-    """``acc``: the weighted sum of the taps in order, in double; constants count as 0."""
-    products = F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("weight") * F.coalesce(F.col("s").cast("double"), F.lit(0.0))).alias("p")))), lambda s: s["p"])
-    return gathered(px, taps, border).groupBy(*KEY).agg(F.aggregate(products, F.lit(0.0), lambda a, p: a + p).alias("acc"))
-
-
 def filter2d(px: DataFrame, kernel: list[list[float]], depth: str, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: str = DEFAULT) -> DataFrame:
     """Correlation with a literal kernel; the result is 8U or 32F."""
     if depth not in ("8U", "32F"):
         raise TensorError(f"filter2d does not give {depth}")
-    return _summed(px, taps_of(kernel, anchor), border).select(*KEY, saturate(F.col("acc") + delta, depth).alias("v"))
+    return _weighted(px, taps_of(kernel, anchor), depth, border, lambda acc: acc + delta)
+
+
+def _weighted(px: DataFrame, taps: Taps, depth: str, border: str, finish) -> DataFrame:
+    check_filter(border)
+
+    def program(block: Block) -> Block:
+        acc = weighted(block, taps, border)
+        return acc.like(saturated(finish(acc.data), depth))
+
+    return blocks.on_blocks(px, program, depth, max(reach(taps)))
 
 
 def box_filter(px: DataFrame, ksize: tuple[int, int], depth: str, anchor: tuple[int, int] = (-1, -1), normalize: bool = True, border: str = DEFAULT) -> DataFrame:
@@ -59,10 +52,8 @@ def box_filter(px: DataFrame, ksize: tuple[int, int], depth: str, anchor: tuple[
     kw, kh = ksize
     if kw <= 0 or kh <= 0:
         raise TensorError("box_filter takes positive sizes")
-    out = _summed(px, taps_of([[1.0] * kw] * kh, anchor), border)
-    area = F.lit(1.0 / (kw * kh)).cast("float")
-    value = F.col("acc").cast("float") * area if normalize else F.col("acc")
-    return out.select(*KEY, saturate(value, depth).alias("v"))
+    area = np.float32(1.0 / (kw * kh))
+    return _weighted(px, taps_of([[1.0] * kw] * kh, anchor), depth, border, lambda acc: acc.astype(np.float32) * area if normalize else acc)
 
 
 def blur(px: DataFrame, ksize: tuple[int, int], depth: str, anchor: tuple[int, int] = (-1, -1), border: str = DEFAULT) -> DataFrame:
@@ -99,8 +90,15 @@ def gaussian_sizes(ksize: tuple[int, int], sigma_x: float, sigma_y: float = 0.0)
 
 def sep_filter2d(px: DataFrame, kernel_x: list[float], kernel_y: list[float], depth: str, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: str = DEFAULT) -> DataFrame:
     """Rows, then columns; what is between them is 32F."""
-    rows = _summed(px, taps_of([kernel_x], (anchor[0], -1)), border).select(*KEY, F.col("acc").cast("float").alias("v"))
-    return _summed(rows, taps_of([[k] for k in kernel_y], (-1, anchor[1])), border).select(*KEY, saturate(F.col("acc") + delta, depth).alias("v"))
+    check_filter(border)
+    across, down = taps_of([kernel_x], (anchor[0], -1)), taps_of([[k] for k in kernel_y], (-1, anchor[1]))
+
+    def program(block: Block) -> Block:
+        rows = weighted(block, across, border)
+        acc = weighted(rows.like(rows.data.astype(np.float32)), down, border)
+        return acc.like(saturated(acc.data + delta, depth))
+
+    return blocks.on_blocks(px, program, depth, max(reach(across)) + max(reach(down)))
 
 
 def gaussian_blur(px: DataFrame, ksize: tuple[int, int], sigma_x: float, depth: str, sigma_y: float = 0.0, border: str = DEFAULT) -> DataFrame:
@@ -126,44 +124,7 @@ def sobel(px: DataFrame, dx: int, dy: int, depth: str = "32F", ksize: int = 3, s
     """A first derivative as 16S or 32F.  A window of a larger image is isolated if it is cut out before, else after."""
     if depth not in ("16S", "32F"):
         raise TensorError(f"sobel does not give {depth}")
-    out = _summed(px, taps_of(sobel_kernel(dx, dy, ksize)), border)
-    return out.select(*KEY, saturate(F.col("acc") * scale + delta, depth).alias("v"))
-
-
-def weighted_dense(arrays: DataFrame, kernel: list[list[float]], depth: str, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: str = DEFAULT) -> DataFrame:
-    """:func:`filter2d` over dense arrays, whole arrays at a time, without a shuffle."""
-    import numpy as np
-    import pyarrow as pa
-
-    from ..functions.depths import LIMITS, STORAGE
-
-    check_filter(border)
-    taps, kind = taps_of(kernel, anchor), STORAGE[depth]
-
-    def places(n: int, d: int):
-        p = np.arange(n) + d
-        q = {"CONSTANT": p, "REPLICATE": np.clip(p, 0, n - 1), "REFLECT": np.where(p % (2 * n) < n, p % (2 * n), 2 * n - 1 - p % (2 * n)), "REFLECT_101": (n - 1) - np.abs(p % max(1, 2 * (n - 1)) - (n - 1))}[border]
-        return np.clip(q, 0, n - 1), (p >= 0) & (p < n) if border == "CONSTANT" else np.ones(n, bool)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for h, w, cn, data in zip(*[batch.column(c) for c in ("h", "w", "cn", "data")], strict=True):
-                image = data.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(h.as_py(), w.as_py(), cn.as_py())
-                acc = np.zeros_like(image)
-                for dy, dx, weight in taps:
-                    (ys, in_y), (xs, in_x) = places(image.shape[0], dy), places(image.shape[1], dx)
-                    acc += weight * (image[ys][:, xs] * (in_y[:, None] & in_x)[..., None])
-                acc += delta
-                if depth in LIMITS:
-                    acc = np.clip(np.copysign(np.floor(np.abs(acc) + 0.5), acc), *LIMITS[depth])
-                out.append(acc.ravel())
-            offsets = np.concatenate(([0], np.cumsum([len(a) for a in out]))).astype(np.int32)
-            values = pa.array(np.concatenate(out) if out else np.zeros(0)).cast(pa.int32() if kind == "int" else pa.float32())
-            columns = [batch.column(c) for c in ("img_id", "h", "w", "cn")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), values)], ["img_id", "h", "w", "cn", "data"])
-
-    return arrays.select("img_id", "h", "w", "cn", "data").mapInArrow(run, f"img_id bigint, h int, w int, cn int, data array<{kind}>")
+    return _weighted(px, taps_of(sobel_kernel(dx, dy, ksize)), depth, border, lambda acc: acc * scale + delta)
 
 
 # -- morphology ------------------------------------------------------------
@@ -177,117 +138,174 @@ def structure(kernel: list[list[int]] | None, anchor: tuple[int, int] = (-1, -1)
     return taps
 
 
-def _extreme(px: DataFrame, taps: Taps, border: str, value: float, least: bool) -> DataFrame:
-    s = F.coalesce(F.col("s"), saturate(F.lit(float(value)), "8U"))
-    return gathered(px, taps, border).groupBy(*KEY).agg((F.min(s) if least else F.max(s)).alias("v"))
+def _extreme(block: Block, taps: Taps, border: str, value: float, least: bool) -> Block:
+    margins = reach(taps)
+    frame, wide, _ = block.around(*margins, border, saturated(np.array([float(value)]), "8U")[0])
+    best = np.minimum if least else np.maximum
+    out = None
+    for dy, dx, _weight in taps:
+        part = shifted(frame, wide, margins, dy, dx)
+        out = part.copy() if out is None else best(out, part, out=out)
+    return frame.like(out)
+
+
+def _repeated(kernel, anchor, iterations: int, border: str, value: float, least: bool) -> Program:
+    if iterations <= 0:
+        raise TensorError("iterations are positive")
+    check_filter(border)
+    taps = structure(kernel, anchor)
+
+    def program(block: Block) -> Block:
+        for _ in range(iterations):
+            block = _extreme(block, taps, border, value, least)
+        return block
+
+    return program
+
+
+def _margin(kernel, anchor, passes: int) -> int:
+    return max(reach(structure(kernel, anchor))) * passes
 
 
 def erode(px: DataFrame, kernel=None, anchor: tuple[int, int] = (-1, -1), iterations: int = 1, border: str = DEFAULT, value: float = 255) -> DataFrame:
     """The least value under the element, *iterations* times."""
-    return _repeated(px, kernel, anchor, iterations, border, value, True)
+    return blocks.on_blocks(px, _repeated(kernel, anchor, iterations, border, value, True), None, _margin(kernel, anchor, iterations))
 
 
 def dilate(px: DataFrame, kernel=None, anchor: tuple[int, int] = (-1, -1), iterations: int = 1, border: str = DEFAULT, value: float = 0) -> DataFrame:
     """The greatest value under the element, *iterations* times."""
-    return _repeated(px, kernel, anchor, iterations, border, value, False)
-
-
-def _repeated(px, kernel, anchor, iterations, border, value, least):
-    if iterations <= 0:
-        raise TensorError("iterations are positive")
-    taps = structure(kernel, anchor)
-    for _ in range(iterations):
-        px = _extreme(px, taps, border, value, least)
-    return px
+    return blocks.on_blocks(px, _repeated(kernel, anchor, iterations, border, value, False), None, _margin(kernel, anchor, iterations))
 
 
-def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.withColumnRenamed("v", "_b"), KEY).select(*KEY, F.greatest(F.lit(0), F.col("v") - F.col("_b")).alias("v"))
+def _minus(a: Block, b: Block) -> Block:
+    a, b = together(a, b)
+    return a.like(np.maximum(a.data.astype(np.int64) - b.data, 0))
 
 
 def morphology(px: DataFrame, op: str, kernel=None, anchor: tuple[int, int] = (-1, -1), iterations: int = 1, border: str = "CONSTANT", value: float = 0) -> DataFrame:
     """ERODE, DILATE, OPEN, CLOSE, GRADIENT, TOPHAT, BLACKHAT or HITMISS; the border is a constant 0 unless given."""
-    down = lambda p: erode(p, kernel, anchor, iterations, border, value)
-    up = lambda p: dilate(p, kernel, anchor, iterations, border, value)
+    if op == "HITMISS":
+        return hit_or_miss(px, kernel, anchor)
+    down, up = (_repeated(kernel, anchor, iterations, border, value, least) for least in (True, False))
     made = {
-        "ERODE": lambda: down(px), "DILATE": lambda: up(px), "OPEN": lambda: up(down(px)), "CLOSE": lambda: down(up(px)), "GRADIENT": lambda: _minus(up(px), down(px)),
-        "TOPHAT": lambda: _minus(px.select(*KEY, "v"), up(down(px))), "BLACKHAT": lambda: _minus(down(up(px)), px.select(*KEY, "v")), "HITMISS": lambda: hit_or_miss(px, kernel, anchor),
+        "ERODE": down, "DILATE": up, "OPEN": lambda b: up(down(b)), "CLOSE": lambda b: down(up(b)), "GRADIENT": lambda b: _minus(up(b), down(b)),
+        "TOPHAT": lambda b: _minus(b, up(down(b))), "BLACKHAT": lambda b: _minus(down(up(b)), b),
     }
     if op not in made:
         raise TensorError(f"unknown morphology {op!r}")
-    return made[op]()
+    return blocks.on_blocks(px, made[op], None, _margin(kernel, anchor, 2 * iterations))
 
 
 def hit_or_miss(px: DataFrame, kernel: list[list[int]], anchor: tuple[int, int] = (-1, -1)) -> DataFrame:
     """255 where all taps of 1 lie on non-zero and all of -1 on zero elements; taps outside do not count; no taps: the input."""
     taps = [t for t in taps_of(kernel, anchor) if t[2]]
-    if not taps:
-        return px.select(*KEY, "v")
-    fits = F.col("s").isNull() | F.when(F.col("weight") > 0, F.col("s") != 0).otherwise(F.col("s") == 0)
-    return gathered(px, taps, "CONSTANT").groupBy(*KEY).agg(F.when(F.bool_and(fits), 255).otherwise(0).alias("v"))
+    margins = reach(taps) if taps else (0, 0, 0, 0)
 
+    def program(block: Block) -> Block:
+        if not taps:
+            return block
+        frame, wide, mask = block.around(*margins, "CONSTANT")
+        fits = np.ones((len(wide), *frame.data.shape[1:3], wide.shape[3]), bool)
+        for dy, dx, weight in taps:
+            held = shifted(frame, wide, margins, dy, dx)
+            here = (held != 0) if weight > 0 else (held == 0)
+            if mask is not None:
+                here = here | ~shifted(frame, mask, margins, dy, dx)
+            fits &= here
+        return frame.like(np.where(fits, 255, 0))
 
-# -- edges -----------------------------------------------------------------
+    return blocks.on_blocks(px, program, None, max(margins))
 
 
-def canny_strength(px: DataFrame, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """Element keys, derivatives ``gx``, ``gy`` and magnitude ``m`` of one-channel 8U images."""
-    gx = sobel(px, 1, 0, "16S", aperture, border="REPLICATE").withColumnRenamed("v", "gx")
-    gy = sobel(px, 0, 1, "16S", aperture, border="REPLICATE").withColumnRenamed("v", "gy")
-    return with_magnitude(gx.join(gy, KEY), l2)
+# -- edges -----------------------------------------------------------------
 
 
-def with_magnitude(derivatives: DataFrame, l2: bool = False) -> DataFrame:
-    x, y = F.col("gx").cast("double"), F.col("gy").cast("double")
-    return derivatives.withColumn("m", (F.sqrt(x * x + y * y) if l2 else F.abs(x) + F.abs(y)).cast("float"))
+def strength(gx: np.ndarray, gy: np.ndarray, l2: bool = False) -> np.ndarray:
+    """The magnitude of derivatives."""
+    x, y = gx.astype(np.float64), gy.astype(np.float64)
+    return (np.sqrt(x * x + y * y) if l2 else np.abs(x) + np.abs(y)).astype(np.float32)
 
 
-def canny_thin(strength: DataFrame, low: float) -> DataFrame:
-    """Elements above *low* that no neighbour along the gradient exceeds; ties count for the left and upper one of two."""
-    gx, gy = F.col("gx").cast("double"), F.col("gy").cast("double")
-    tg = F.when(gx != 0, gy / F.when(gx == 0, 1.0).otherwise(gx)).otherwise(F.when(gy >= 0, 1e308).otherwise(-1e308))
+def thinned(gx: np.ndarray, gy: np.ndarray, m: np.ndarray, low: float) -> np.ndarray:
+    """Where the magnitude is above *low* and no neighbour along the gradient exceeds it; ties count for the left and upper one of two."""
+    x, y = gx.astype(np.float64), gy.astype(np.float64)
+    tg = np.where(x != 0, y / np.where(x == 0, 1.0, x), np.where(y >= 0, 1e308, -1e308))
     t1, t3 = math.tan(math.pi / 8), math.tan(3 * math.pi / 8)
-    sector = F.when(F.abs(tg) < t1, 0).when(tg.between(t1, t3), 1).when(tg.between(-t3, -t1), 2).otherwise(3)
-    one = F.when(F.col("sector") == 0, F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx"))).when(F.col("sector") == 1, F.struct(F.lit(1).alias("dy"), F.lit(1).alias("dx"))).when(F.col("sector") == 2, F.struct(F.lit(-1).alias("dy"), F.lit(1).alias("dx"))).otherwise(F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")))
-    strong = strength.filter(F.col("m") > float(low)).withColumn("sector", sector).withColumn("d", one)
-    at = strength.select("img_id", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("m").alias("_m"))
-    for name, sign in (("b", 1), ("c_", -1)):
-        key = (F.col("img_id") == F.col("_img")) & (F.col("y") + sign * F.col("d.dy") == F.col("_y")) & (F.col("x") + sign * F.col("d.dx") == F.col("_x"))
-        strong = strong.join(at.withColumnRenamed("img_id", "_img"), key, "left").withColumn(name, F.coalesce("_m", F.lit(0.0).cast("float"))).drop("_img", "_y", "_x", "_m")
-    first = (F.col("m") > F.col("b")) | ((F.col("m") == F.col("b")) & F.col("sector").isin(0, 3))
-    return strong.filter(first & (F.col("m") > F.col("c_"))).select(*KEY, "m")
-
-
-def hysteresis(thin: DataFrame, high: float) -> DataFrame:
-    """Elements connected, over eight neighbours, to one above *high*: a frontier grows until it stays; each round is checkpointed."""
-    spark = thin.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    open_ = thin.select("img_id", "y", "x", (F.col("m") > float(high)).alias("seed")).checkpoint()
-    reached = frontier = open_.filter("seed").select("img_id", "y", "x")
-    while True:
-        near = frontier.select("img_id", F.col("y"), F.col("x"), F.explode(steps).alias("s")).select("img_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
-        frontier = open_.select("img_id", "y", "x").join(near, ["img_id", "y", "x"], "left_semi").join(reached, ["img_id", "y", "x"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return reached
-        reached = reached.union(frontier).checkpoint()
+    sectors = [np.abs(tg) < t1, (tg >= t1) & (tg <= t3), (tg >= -t3) & (tg <= -t1)]
+    wide = np.pad(m, ((0, 0), (1, 1), (1, 1)))
+    rows, cols = m.shape[1:]
+    at = lambda dy, dx: wide[:, 1 + dy : 1 + dy + rows, 1 + dx : 1 + dx + cols]
+    steps = [(0, 1), (1, 1), (-1, 1), (1, 0)]
+    ahead = np.select(sectors, [at(*s) for s in steps[:3]], at(*steps[3]))
+    behind = np.select(sectors, [at(-dy, -dx) for dy, dx in steps[:3]], at(-1, 0))
+    straight = np.select(sectors, [True, False, False], True)
+    return (m > np.float32(low)) & ((m > ahead) | ((m == ahead) & straight)) & (m > behind)
+
+
+def reached(open_: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The elements of *open_* that are connected, over eight neighbours, to one of *seeds*.
+
+    Each takes the least number among its neighbours' until all of a component have one; numbers are
+    followed to their ends in each round, so rounds go with the logarithm of the longest path.
+    """
+    number = np.full(open_.shape, -1, np.int64)
+    places = np.flatnonzero(open_)
+    number.ravel()[places] = np.arange(len(places))
+    links = []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        a = number[:, : number.shape[1] - dy, max(0, -dx) : number.shape[2] - max(0, dx)]
+        b = number[:, dy:, max(0, dx) : number.shape[2] - max(0, -dx)]
+        both = (a >= 0) & (b >= 0)
+        links.append(np.stack([a[both], b[both]]))
+    a, b = np.concatenate(links, axis=1)
+    root = np.arange(len(places))
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    good = np.zeros(len(places), bool)
+    good[root[seeds.ravel()[places]]] = True
+    out = np.zeros(open_.shape, bool)
+    out.ravel()[places] = good[root]
+    return out
+
+
+def _edges(gx: np.ndarray, gy: np.ndarray, low: float, high: float, l2: bool) -> np.ndarray:
+    m = strength(gx, gy, l2)
+    thin = thinned(gx, gy, m, low)
+    return np.where(reached(thin, thin & (m > np.float32(high))), 255, 0).astype(np.int32)
 
 
 def canny(px: DataFrame, threshold1: float, threshold2: float, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """Edges (255) of one-channel 8U images."""
+    """Edges (255) of one-channel 8U images.  An edge may run through a whole image, so an image is one task's."""
     low, high = sorted((threshold1, threshold2))
-    return _edges(canny_strength(px, aperture, l2), low, high)
+    taps = [taps_of(sobel_kernel(1 - k, k, aperture)) for k in (0, 1)]
+
+    def program(block: Block) -> Block:
+        gx, gy = (saturated(weighted(block, t, "REPLICATE").data[..., 0], "16S") for t in taps)
+        return block.like(_edges(gx, gy, low, high, l2)[..., None])
+
+    return blocks.on_blocks(px, program, "8U")
 
 
 def canny_derivatives(derivatives: DataFrame, threshold1: float, threshold2: float, l2: bool = False) -> DataFrame:
-    """Edges from given 16S derivatives ``gx`` and ``gy``."""
-    low, high = sorted((threshold1, threshold2))
-    return _edges(with_magnitude(derivatives, l2), low, high)
+    """Edges from given 16S derivatives ``gx`` and ``gy`` of each element."""
+    import pyarrow as pa
 
+    low, high = sorted((threshold1, threshold2))
 
-def _edges(strength: DataFrame, low: float, high: float) -> DataFrame:
-    edges = hysteresis(canny_thin(strength, low), high).select("img_id", "y", "x", F.lit(255).alias("v"))
-    return strength.select(*KEY).join(edges, ["img_id", "y", "x"], "left").select(*KEY, F.coalesce("v", F.lit(0)).alias("v"))
+    def run(batches):
+        for batch in batches:
+            for k, (gx, gy), _ in blocks.tile_blocks(batch, None, ["gx", "gy"]):
+                edges = _edges(gx.data[..., 0], gy.data[..., 0], low, high, l2)[0]
+                y, x = (p.ravel().astype(np.int32) for p in np.indices(edges.shape))
+                ids, zero = np.full(len(y), batch.column(0)[k].as_py()), np.zeros(len(y), np.int32)
+                sizes = [pa.array(np.full(len(y), v, np.int32)) for v in edges.shape]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *sizes, pa.array(y), pa.array(x), pa.array(zero), pa.array(edges.ravel())], ["img_id", "h", "w", "y", "x", "c", "v"])
+
+    return blocks.tiles(derivatives, None, ["gx", "gy"]).mapInArrow(run, "img_id bigint, h int, w int, y int, x int, c int, v int")

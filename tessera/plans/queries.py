@@ -34,6 +34,11 @@ def out(px: DataFrame) -> DataFrame:
     return px.select("img_id", "y", "x", "c", "v")
 
 
+def whole(name: str, make, oracle: str, **shape) -> None:
+    """A query over the dense 8U fixture images."""
+    register(name, oracle)(lambda spark, sf: out(arrays.pixels(make(images(spark, sf, **shape)), colocate=False)))
+
+
 def simple(name: str, make, oracle: str, **shape) -> None:
     """A query over the 8U fixture images."""
     register(name, oracle)(lambda spark, sf: out(make(pixels(spark, sf, **shape))))
@@ -386,28 +391,29 @@ _ONES = [[1.0] * 3] * 3
 @register("box_threshold", sql.query(sql.px(), sql.stencil("px", _ONES, _BOX), final="select img_id, y, x, c, case when v > 127 then 255 else 0 end as v from out"))
 def box_threshold(spark, sf):
     """Smoothed and thresholded fixture images."""
-    return out(levels.threshold(stencils.box_filter(pixels(spark, sf), (3, 3), "8U"), 127, 255, "BINARY"))
+    smooth = stencils.box_filter(images(spark, sf), (3, 3), "8U")
+    return out(levels.threshold(arrays.pixels(smooth, colocate=False), 127, 255, "BINARY"))
 
 
 for _mode in ("CONSTANT", "REPLICATE", "REFLECT", "REFLECT_101"):
-    simple(f"box_filter_{_mode.lower()}", lambda p, m=_mode: stencils.box_filter(p, (3, 3), "8U", border=m), sql.query(sql.px(), sql.stencil("px", _ONES, _BOX, _mode), final=f"{sql.KEYED} out"))
-simple("box_filter_sum", lambda p: stencils.box_filter(p, (2, 1), "8U", (1, 0), normalize=False), sql.query(sql.px(), sql.stencil("px", [[1.0, 1.0]], sql.sat(sql.SUM), anchor=(1, 0)), final=f"{sql.KEYED} out"))
-simple("blur", lambda p: stencils.blur(p, (5, 3), "8U"), sql.query(sql.px(), sql.stencil("px", [[1.0] * 5] * 3, sql.sat(f"cast({sql.SUM} as float) * cast(1.0/15 as float)")), final=f"{sql.KEYED} out"))
+    whole(f"box_filter_{_mode.lower()}", lambda p, m=_mode: stencils.box_filter(p, (3, 3), "8U", border=m), sql.query(sql.px(), sql.stencil("px", _ONES, _BOX, _mode), final=f"{sql.KEYED} out"))
+whole("box_filter_sum", lambda p: stencils.box_filter(p, (2, 1), "8U", (1, 0), normalize=False), sql.query(sql.px(), sql.stencil("px", [[1.0, 1.0]], sql.sat(sql.SUM), anchor=(1, 0)), final=f"{sql.KEYED} out"))
+whole("blur", lambda p: stencils.blur(p, (5, 3), "8U"), sql.query(sql.px(), sql.stencil("px", [[1.0] * 5] * 3, sql.sat(f"cast({sql.SUM} as float) * cast(1.0/15 as float)")), final=f"{sql.KEYED} out"))
 _SHARP = [[0.0, -1.0, 0.0], [-1.0, 5.0, -1.0], [0.0, -1.0, 0.5]]
-simple("filter2d", lambda p: stencils.filter2d(p, _SHARP, "8U", delta=3), sql.query(sql.px(), sql.stencil("px", _SHARP, sql.sat(f"{sql.SUM} + 3")), final=f"{sql.KEYED} out"))
+whole("filter2d", lambda p: stencils.filter2d(p, _SHARP, "8U", delta=3), sql.query(sql.px(), sql.stencil("px", _SHARP, sql.sat(f"{sql.SUM} + 3")), final=f"{sql.KEYED} out"))
 
 
 def _two_pass(kx: list[float], ky: list[float], value: str) -> tuple[str, str]:
     return sql.stencil("px", [kx], f"cast({sql.SUM} as float)", name="mid"), sql.stencil("mid", [[k] for k in ky], value)
 
 
-simple("sep_filter2d", lambda p: stencils.sep_filter2d(p, [0.25, 0.5, 0.25], [-1.0, 0.0, 2.0], "8U", delta=1), sql.query(sql.px(), *_two_pass([0.25, 0.5, 0.25], [-1.0, 0.0, 2.0], sql.sat(f"{sql.SUM} + 1")), final=f"{sql.KEYED} out"))
+whole("sep_filter2d", lambda p: stencils.sep_filter2d(p, [0.25, 0.5, 0.25], [-1.0, 0.0, 2.0], "8U", delta=1), sql.query(sql.px(), *_two_pass([0.25, 0.5, 0.25], [-1.0, 0.0, 2.0], sql.sat(f"{sql.SUM} + 1")), final=f"{sql.KEYED} out"))
 _GAUSS = stencils.gaussian_kernel(5, 1.1)
-simple("gaussian_blur", lambda p: stencils.gaussian_blur(p, (5, 5), 1.1, "8U"), sql.query(sql.px(), *_two_pass(_GAUSS, _GAUSS, sql.sat(sql.SUM)), final=f"{sql.KEYED} out"))
+whole("gaussian_blur", lambda p: stencils.gaussian_blur(p, (5, 5), 1.1, "8U"), sql.query(sql.px(), *_two_pass(_GAUSS, _GAUSS, sql.sat(sql.SUM)), final=f"{sql.KEYED} out"))
 for _dx, _k in ((1, 3), (0, 3), (1, 5), (0, 5)):
     _kernel = [[float(a * b) for a in ([-1, 0, 1] if _k == 3 else [-1, -2, 0, 2, 1])] for b in ([1, 2, 1] if _k == 3 else [1, 4, 6, 4, 1])]
     _kernel = _kernel if _dx else [list(r) for r in zip(*_kernel, strict=True)]
-    simple(f"sobel_{'x' if _dx else 'y'}{_k}", lambda p, dx=_dx, k=_k: stencils.sobel(p, dx, 1 - dx, "16S", k, border="REPLICATE"), sql.query(sql.px(), sql.stencil("px", _kernel, f"cast({sql.SUM} as int)", "REPLICATE"), final=f"{sql.KEYED} out"))
+    whole(f"sobel_{'x' if _dx else 'y'}{_k}", lambda p, dx=_dx, k=_k: stencils.sobel(p, dx, 1 - dx, "16S", k, border="REPLICATE"), sql.query(sql.px(), sql.stencil("px", _kernel, f"cast({sql.SUM} as int)", "REPLICATE"), final=f"{sql.KEYED} out"))
 
 _CROSS = [[0, 1, 0], [1, 1, 1], [0, 1, 0]]
 _CROSS_F = [[float(v) for v in r] for r in _CROSS]
@@ -418,18 +424,18 @@ def _morph(op: str, source: str, name: str, kernel=None, mode: str = "CONSTANT",
     return sql.stencil(source, kernel or _ONES, f"{best}(coalesce(s.s, {value}))", mode, name=name, skip_zero=True)
 
 
-simple("erode", lambda p: stencils.erode(p, iterations=2), sql.query(sql.px(), _morph("e", "px", "o1", None, "REFLECT_101"), _morph("e", "o1", "o2", None, "REFLECT_101"), final=f"{sql.KEYED} o2"))
-simple("dilate", lambda p: stencils.dilate(p, _CROSS, border="CONSTANT", value=40), sql.query(sql.px(), _morph("d", "px", "o1", _CROSS_F, "CONSTANT", 40), final=f"{sql.KEYED} o1"))
+whole("erode", lambda p: stencils.erode(p, iterations=2), sql.query(sql.px(), _morph("e", "px", "o1", None, "REFLECT_101"), _morph("e", "o1", "o2", None, "REFLECT_101"), final=f"{sql.KEYED} o2"))
+whole("dilate", lambda p: stencils.dilate(p, _CROSS, border="CONSTANT", value=40), sql.query(sql.px(), _morph("d", "px", "o1", _CROSS_F, "CONSTANT", 40), final=f"{sql.KEYED} o1"))
 _EX = [_morph("e", "px", "er", _CROSS_F), _morph("d", "px", "di", _CROSS_F), _morph("d", "er", "op", _CROSS_F), _morph("e", "di", "cl", _CROSS_F)]
 _MINUS = "select a.img_id, a.y, a.x, a.c, greatest(0, a.v - b.v) as v from {} a join {} b using (img_id, y, x, c)"
 for _op, _final in {"ERODE": f"{sql.KEYED} er", "DILATE": f"{sql.KEYED} di", "OPEN": f"{sql.KEYED} op", "CLOSE": f"{sql.KEYED} cl", "GRADIENT": _MINUS.format("di", "er"), "TOPHAT": _MINUS.format("px", "op"), "BLACKHAT": _MINUS.format("cl", "px")}.items():
-    simple(f"morphology_{_op.lower()}", lambda p, op=_op: stencils.morphology(p, op, _CROSS), sql.query(sql.px(), *_EX, final=_final))
+    whole(f"morphology_{_op.lower()}", lambda p, op=_op: stencils.morphology(p, op, _CROSS), sql.query(sql.px(), *_EX, final=_final))
 _HIT = [[0.0, 1.0, 0.0], [-1.0, 1.0, 1.0], [0.0, -1.0, 0.0]]
 
 
 @register("morphology_hitmiss", sql.query(sql.px(value=f"case when {sql.FIRST} > 128 then 255 else 0 end"), sql.stencil("px", _HIT, "case when bool_and(s.s is null or (t.k > 0) = (s.s <> 0)) then 255 else 0 end", "CONSTANT", skip_zero=True), final=f"{sql.KEYED} out"))
 def hitmiss(spark, sf):
-    p = levels.threshold(pixels(spark, sf), 128, 255, "BINARY")
+    p = levels.threshold(arrays.pixels(images(spark, sf), colocate=False), 128, 255, "BINARY")
     return out(stencils.morphology(p, "HITMISS", [[int(v) for v in r] for r in _HIT]))
 
 
@@ -441,31 +447,32 @@ _CANNY = [
     "k as (select img_id, y, x, m from n where m > 15 and (m > b or (m = b and sec in (0, 3))) and m > c)",
     "e as (select img_id, y, x from k where m > 40 union select k.img_id, k.y, k.x from e join k on k.img_id = e.img_id and abs(k.y - e.y) <= 1 and abs(k.x - e.x) <= 1)",
 ]
-simple("canny", lambda p: stencils.canny(p, 40, 15), sql.query(*_CANNY, final="select px.img_id, px.y, px.x, px.c, case when e.y is null then 0 else 255 end as v from px left join e on e.img_id = px.img_id and e.y = px.y and e.x = px.x"))
+whole("canny", lambda p: stencils.canny(p, 40, 15), sql.query(*_CANNY, final="select px.img_id, px.y, px.x, px.c, case when e.y is null then 0 else 255 end as v from px left join e on e.img_id = px.img_id and e.y = px.y and e.x = px.x"))
 
 # -- geometry --------------------------------------------------------------
 
 for _mode in ("CONSTANT", "REPLICATE", "REFLECT", "WRAP", "REFLECT_101"):
-    simple(f"copy_make_border_{_mode.lower()}", lambda p, m=_mode: geometry.copy_make_border(p, 2, 1, 3, 0, m, "8U", 9), sql.query(sql.px(), sql.element(11, 11, "px", sql.border("yy.y-2", "sh", _mode), sql.border("xx.x-3", "sw", _mode), "9"), final=f"{sql.KEYED} out"))
-simple("resize_nearest", lambda p: geometry.resize(p, "8U", (5, 13), interpolation="NEAREST"), sql.query(sql.px(), sql.element(13, 5, "px", "least(sh-1, yy.y*sh//13)", "least(sw-1, xx.x*sw//5)"), final=f"{sql.KEYED} out"))
+    whole(f"copy_make_border_{_mode.lower()}", lambda p, m=_mode: geometry.copy_make_border(p, 2, 1, 3, 0, m, "8U", 9), sql.query(sql.px(), sql.element(11, 11, "px", sql.border("yy.y-2", "sh", _mode), sql.border("xx.x-3", "sw", _mode), "9"), final=f"{sql.KEYED} out"))
+whole("resize_nearest", lambda p: geometry.resize(p, "8U", (5, 13), interpolation="NEAREST"), sql.query(sql.px(), sql.element(13, 5, "px", "least(sh-1, yy.y*sh//13)", "least(sw-1, xx.x*sw//5)"), final=f"{sql.KEYED} out"))
 _EXACT = "greatest(0, least({n}-1, ((({n}*65536 + {m}//2)//{m}) * {p} + (({n}*65536 + {m}//2)//{m})//2 - {n}%2) >> 16))"
-simple("resize_nearest_exact", lambda p: geometry.resize(p, "8U", fx=0.6, fy=1.6, interpolation="NEAREST_EXACT"), sql.query(sql.px(), sql.element(13, 5, "px", _EXACT.format(n="sh", m=13, p="yy.y"), _EXACT.format(n="sw", m=5, p="xx.x")), final=f"{sql.KEYED} out"))
+whole("resize_nearest_exact", lambda p: geometry.resize(p, "8U", fx=0.6, fy=1.6, interpolation="NEAREST_EXACT"), sql.query(sql.px(), sql.element(13, 5, "px", _EXACT.format(n="sh", m=13, p="yy.y"), _EXACT.format(n="sw", m=5, p="xx.x")), final=f"{sql.KEYED} out"))
 _AXIS = "select k as p, cast(least(7, greatest(0, floor(f))) as int) as a, cast(least(7, greatest(0, floor(f)) + 1) as int) as b, cast(f - cast(least(7, greatest(0, floor(f))) as float) as float) as w from (select k, cast(cast((cast(k as float) + 0.5::float) as float) * cast(8::float / {m}::float as float) as float) - 0.5::float as f from range({m}) r(k))"
 _LERP = "cast({a} + cast(({b} - {a}) as float) * {t} as float)"
 _TOP, _LOW = _LERP.format(a="cast(p.v as float)", b="cast(q.v as float)", t="xs.w"), _LERP.format(a="cast(r.v as float)", b="cast(s.v as float)", t="xs.w")
 _LINEAR = [f"ys as ({_AXIS.format(m=13)})", f"xs as ({_AXIS.format(m=5)})", f"out as (select p.img_id, cast(ys.p as int) as y, cast(xs.p as int) as x, p.c, {sql.sat(_LERP.format(a=_TOP, b=_LOW, t='ys.w'))} as v from ys cross join xs join px p on p.y = ys.a and p.x = xs.a join px q on q.img_id = p.img_id and q.c = p.c and q.y = ys.a and q.x = xs.b join px r on r.img_id = p.img_id and r.c = p.c and r.y = ys.b and r.x = xs.a join px s on s.img_id = p.img_id and s.c = p.c and s.y = ys.b and s.x = xs.b)"]
-simple("resize_linear", lambda p: geometry.resize(p, "8U", (5, 13)), sql.query(sql.px(), *_LINEAR, final=f"{sql.KEYED} out"))
+whole("resize_linear", lambda p: geometry.resize(p, "8U", (5, 13)), sql.query(sql.px(), *_LINEAR, final=f"{sql.KEYED} out"))
 _MAP = [[0.75, 0.25, 1.5], [-0.25, 0.875, 2.25]]
 _UX, _UY = "(0.75::double*xx.x + 0.25::double*yy.y + 1.5::double)", "(-0.25::double*xx.x + 0.875::double*yy.y + 2.25::double)"
-simple("warp_affine_nearest", lambda p: geometry.warp_affine(p, _MAP, "8U", interpolation="NEAREST", inverse_map=True, border="REPLICATE"), sql.query(sql.px(), sql.element(8, 8, "px", sql.border(f"cast(floor({_UY}+0.5) as int)", "sh", "REPLICATE"), sql.border(f"cast(floor({_UX}+0.5) as int)", "sw", "REPLICATE")), final=f"{sql.KEYED} out"))
+whole("warp_affine_nearest", lambda p: geometry.warp_affine(p, _MAP, "8U", interpolation="NEAREST", inverse_map=True, border="REPLICATE"), sql.query(sql.px(), sql.element(8, 8, "px", sql.border(f"cast(floor({_UY}+0.5) as int)", "sh", "REPLICATE"), sql.border(f"cast(floor({_UX}+0.5) as int)", "sw", "REPLICATE")), final=f"{sql.KEYED} out"))
 _CORNER = "left join px {n} on {n}.img_id = g.img_id and {n}.c = g.c and {n}.y = g.y0 + {dy} and {n}.x = g.x0 + {dx}"
 _WARP = f"""g as (select i.img_id, i.c, cast(yy.y as int) as y, cast(xx.x as int) as x, cast(floor({_UX}) as int) as x0, cast(floor({_UY}) as int) as y0, {_UX} - floor({_UX}) as fx, {_UY} - floor({_UY}) as fy from (select distinct img_id, c from px) i cross join range(8) yy(y) cross join range(8) xx(x)),
 q as (select g.*, coalesce(a.v, 50)::double as a, coalesce(b.v, 50)::double as b, coalesce(d.v, 50)::double as d, coalesce(e.v, 50)::double as e from g {_CORNER.format(n="a", dy=0, dx=0)} {_CORNER.format(n="b", dy=0, dx=1)} {_CORNER.format(n="d", dy=1, dx=0)} {_CORNER.format(n="e", dy=1, dx=1)})"""
-simple("warp_affine_linear", lambda p: geometry.warp_affine(p, _MAP, "8U", inverse_map=True, value=50), sql.query(sql.px(), _WARP, final=f"select img_id, y, x, c, {sql.sat('(a+(b-a)*fx) + ((d+(e-d)*fx) - (a+(b-a)*fx)) * fy')} as v from q"))
+whole("warp_affine_linear", lambda p: geometry.warp_affine(p, _MAP, "8U", inverse_map=True, value=50), sql.query(sql.px(), _WARP, final=f"select img_id, y, x, c, {sql.sat('(a+(b-a)*fx) + ((d+(e-d)*fx) - (a+(b-a)*fx)) * fy')} as v from q"))
 
 
 @register("image_pipeline", sql.query(sql.px(4, 4, 4, channels=3), sql.element(3, 6, "px", "least(sh-1, yy.y*sh//3)", "least(sw-1, xx.x*sw//6)"), "gr as (select img_id, y, x, (7471*max(case when c=0 then v end) + 38470*max(case when c=1 then v end) + 19595*max(case when c=2 then v end) + 32768) >> 16 as v from out group by 1, 2, 3)", final="select img_id, y, x, 0 as c, case when v > 96 then 255 else 0 end as v from gr"))
 def image_pipeline(spark, sf):
     """Resize, gray and threshold in one plan."""
-    small = geometry.resize(colour(spark, sf), "8U", (6, 3), interpolation="NEAREST")
+    three = images(spark, sf, 4, 4, 4).withColumns({"data": F.filter("data", lambda v, i: i % 4 < 3), "cn": F.lit(3)})
+    small = arrays.pixels(geometry.resize(three, "8U", (6, 3), interpolation="NEAREST"))
     return out(levels.threshold(color.cvt_color(small, "BGR2GRAY"), 96, 255, "BINARY"))

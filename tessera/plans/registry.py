@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..functions.depths import TensorError
-from ..operators import arrays, stencils
+from ..operators import arrays, geometry, stencils
 
 _KNOWN: dict[str, dict[str, Callable]] = {}
 
@@ -29,5 +29,14 @@ def run(op: str, arrays_: DataFrame, *args, impl: str = "arrow", **options) -> D
         raise TensorError(f"no {impl!r} implementation of {op!r}") from None
 
 
-register("filter2d", "arrow", stencils.weighted_dense)
-register("filter2d", "native", lambda a, *args, **options: arrays.packed(stencils.filter2d(arrays.pixels(a), *args, **options)))
+def _by_elements(f: Callable) -> Callable:
+    """The element form of an operator, between dense arrays."""
+    return lambda a, *args, **options: arrays.packed(f(arrays.pixels(a, colocate=False), *args, **options))
+
+
+for _f in (
+    stencils.box_filter, stencils.blur, stencils.gaussian_blur, stencils.filter2d, stencils.sep_filter2d, stencils.sobel, stencils.canny, stencils.erode, stencils.dilate,
+    stencils.morphology, stencils.hit_or_miss, geometry.resize, geometry.warp_affine, geometry.copy_make_border, geometry.letterbox,
+):
+    register(_f.__name__, "arrow", _f)
+    register(_f.__name__, "native", _by_elements(_f))
