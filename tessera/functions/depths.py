@@ -54,20 +54,31 @@ def half(v: Column) -> Column:
 
 
 def saturate(v: Column, depth: str) -> Column:
-    """*v* as an element of *depth*: rounds half away from zero and clips narrow integers; 32-bit integers wrap."""
+    """*v* as an element of *depth*: rounds half away from zero and clips narrow integers; 32-bit integers wrap.
+
+    What is not a number becomes 0 in integers, and so do infinities in 32-bit ones.
+    """
     check_depth(depth)
+    x = v.cast("double")
     if depth in LIMITS:
         low, high = LIMITS[depth]
-        return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.round(v.cast("double")))).cast("int")
-    if depth == "32S":
-        return (F.pmod(F.round(v.cast("double")) + 2147483648.0, F.lit(4294967296.0)) - 2147483648.0).cast("int")
-    if depth == "32U":
-        return F.pmod(F.round(v.cast("double")), F.lit(4294967296.0)).cast("bigint")
+        return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.round(F.nanvl(x, F.lit(0.0))))).cast("int")
+    if depth in ("32S", "32U"):
+        finite = F.when(F.abs(x) < float("inf"), x).otherwise(0.0)  # false for NaN, which counts as greatest
+        if depth == "32S":
+            return (F.pmod(F.round(finite) + 2147483648.0, F.lit(4294967296.0)) - 2147483648.0).cast("int")
+        return F.pmod(F.round(finite), F.lit(4294967296.0)).cast("bigint")
     if depth == "16F":
-        return half(v.cast("double"))
+        return half(x)
     return v.cast(STORAGE[depth])
 
 
+def wrapped(v: Column, depth: str) -> Column:
+    """A bigint as an element of 32S or 32U, exact modulo 2^32."""
+    lane_ = v.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(lane_ >= 1 << 31, lane_ - (1 << 32)).otherwise(lane_).cast("int") if depth == "32S" else lane_
+
+
 def lanes(value, channels: int, depth: str) -> list[float]:
     """A number or up to four lanes as one value a channel; missing lanes are 0, integers are clipped to *depth*."""
     if isinstance(value, (int, float)):

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .depths import BYTES, INTEGRAL, TensorError, saturate
+from .depths import BYTES, INTEGRAL, TensorError, saturate, wrapped
 
 COMPARISONS = ("EQ", "GT", "GE", "LT", "LE", "NE")
 #: Operations that take integers only.
 INTEGER_ONLY = frozenset(["AND", "OR", "XOR", "NOT", "MOD", "BITSHIFT"])
+#: Operations whose results on integers are whole numbers of 64 bits before they are made elements.
+_WHOLE = INTEGER_ONLY | {"ADD", "SUB", "MUL", "FMOD"}
 ALIASES = {"SUM": "ADD", "EQUAL": "EQ", "GREATER": "GT", "GREATER_EQUAL": "GE", "LESS": "LT", "LESS_EQUAL": "LE"}
 
 
@@ -42,6 +44,16 @@ def _shift(a: Column, b: Column, depth: str) -> Column:
     return F.when(kept >= 1 << (width - 1), kept - (1 << width)).otherwise(kept) if depth in ("8S", "16S", "32S") else kept
 
 
+def _product(i: Column, j: Column, depth: str) -> Column:
+    """The product of two bigints; for 32-bit elements modulo 2^32, by halves, so that it stays in 64 bits."""
+    if depth not in ("32S", "32U"):
+        return i * j
+    mask = F.lit((1 << 32) - 1)
+    a, b = i.bitwiseAND(mask), j.bitwiseAND(mask)
+    high = (F.shiftright(a, 16) * b).bitwiseAND(mask)
+    return F.shiftleft(high, 16) + a.bitwiseAND(F.lit(0xFFFF)) * b
+
+
 def binary(op: str, a: Column, b: Column, depth: str) -> Column:
     """The result of an operation on two values of *depth*, as an element of *depth* (comparisons: 8U)."""
     op = ALIASES.get(op, op)
@@ -57,7 +69,7 @@ def binary(op: str, a: Column, b: Column, depth: str) -> Column:
     safe = F.when(j == 0, F.lit(1)).otherwise(j)
     nan = F.isnan(x) | F.isnan(y)
     made = {
-        "ADD": lambda: i + j, "SUB": lambda: i - j, "MUL": lambda: i * j, "DIV": lambda: _divide(a, b, depth),
+        "ADD": lambda: i + j, "SUB": lambda: i - j, "MUL": lambda: _product(i, j, depth) if depth in INTEGRAL else i * j, "DIV": lambda: _divide(a, b, depth),
         "AND": lambda: i.bitwiseAND(j), "OR": lambda: i.bitwiseOR(j), "XOR": lambda: i.bitwiseXOR(j), "NOT": lambda: i.bitwiseAND(F.bitwise_not(j)),
         "MOD": lambda: F.when(j == 0, 0).otherwise((i % safe + safe) % safe), "FMOD": lambda: F.when(j == 0, 0).otherwise(i % safe), "BITSHIFT": lambda: _shift(a, b, depth),
         "POW": lambda: F.pow(x, y), "MAX": lambda: F.when(nan, x).otherwise(F.greatest(x, y)), "MIN": lambda: F.when(nan, x).otherwise(F.least(x, y)),
@@ -65,7 +77,7 @@ def binary(op: str, a: Column, b: Column, depth: str) -> Column:
     }
     if op not in made:
         raise TensorError(f"unknown operation {op!r}")
-    return saturate(made[op](), depth)
+    return wrapped(made[op]().cast("bigint"), depth) if depth in ("32S", "32U") and op in _WHOLE else saturate(made[op](), depth)
 
 
 def add_weighted(a: Column, alpha: float, b: Column, beta: float, depth: str) -> Column:

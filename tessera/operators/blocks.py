@@ -59,7 +59,11 @@ def saturated(v: np.ndarray, depth: str) -> np.ndarray:
         low, high = LIMITS[depth]
         if v.dtype.kind in "iu":
             return np.clip(v, low, high).astype(np.int32)
-        return np.clip(rounded(np.nan_to_num(v, nan=0.0)), low, high).astype(np.int32)
+        if low < 0:
+            return np.clip(rounded(np.nan_to_num(v, nan=0.0)), low, high).astype(np.int32)
+        v = np.fmin(np.fmax(v, low), high)  # what is not a number becomes 0
+        whole = np.floor(v)
+        return (whole + (v - whole >= 0.5)).astype(np.int32)
     if depth == "16F":
         return v.astype(np.float16).astype(np.float32)
     return v.astype({"32F": np.float32, "64F": np.float64}[depth])
@@ -119,6 +123,11 @@ def shifted(frame: Block, wide: np.ndarray, margins: tuple[int, int, int, int],
     return wide[:, top : top + rows, left : left + cols]
 
 
+def narrow(v: np.ndarray) -> bool:
+    """Whether all numbers fit in 16 bits."""
+    return not v.size or (int(v.min()) >= -(1 << 15) and int(v.max()) < 1 << 16)
+
+
 def weighted(block: Block, taps: list[tuple[int, int, float]], border: str) -> Block:
     """The weighted sum of the taps in order, in double; constants count as 0."""
     margins = reach(taps)
@@ -128,8 +137,17 @@ def weighted(block: Block, taps: list[tuple[int, int, float]], border: str) -> B
         wide = wide.astype(np.int32)
         across = sum(wide[:, :, k : k + frame.data.shape[2]] for k in range(1 + margins[2] + margins[3]))
         return frame.like(sum(across[:, k : k + frame.data.shape[1]] for k in range(1 + margins[0] + margins[1])))
-    wide = wide.astype(np.float64)
-    acc = np.zeros((len(wide), *frame.data.shape[1:3], wide.shape[3]))
+    shape = (len(wide), *frame.data.shape[1:3], wide.shape[3])
+    if wide.dtype.kind in "iu" and (wide.dtype.itemsize <= 2 or narrow(wide)):
+        if all(float(t[2]).is_integer() and abs(t[2]) < 1 << 15 for t in taps) and sum(abs(t[2]) for t in taps) < 1 << 15:
+            # small integers: exact in 32 bits
+            wide, acc = wide.astype(np.int32), np.zeros(shape, np.int32)
+            for dy, dx, weight in taps:
+                if weight:
+                    part = shifted(frame, wide, margins, dy, dx)
+                    acc += part if weight == 1 else part * np.int32(weight)
+            return frame.like(acc)
+    wide, acc = wide.astype(np.float64), np.zeros(shape)
     for dy, dx, weight in taps:
         acc += weight * shifted(frame, wide, margins, dy, dx)
     return frame.like(acc)

@@ -70,8 +70,16 @@ def _limited(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     return y, u, v
 
 
+def _fitting(px: DataFrame, layout: str, fits: Column) -> DataFrame:
+    """The elements; an image whose size does not fit the layout fails."""
+    message = F.concat(F.lit(f"{layout} does not take "), F.col("h"), F.lit(" rows and "), F.col("w"), F.lit(" columns"))
+    return px.withColumn("h", F.when(fits, F.col("h")).otherwise(F.raise_error(message).cast("int")))
+
+
 def _encode(px: DataFrame, source: str, layout: str) -> DataFrame:
+    """Subsampled layouts take even sizes."""
     sub_x, sub_y = LAYOUTS[layout]
+    px = _fitting(px, layout, (F.col("h") % sub_y == 0) & (F.col("w") % sub_x == 0))
     places = planes(px, ORDERS[source])
     luma = places.select("img_id", "h", "w", "y", "x", _limited(F.col("_b"), F.col("_g"), F.col("_r"))[0].alias("v"))
     cells = places.groupBy("img_id", "h", "w", F.floor(F.col("y") / sub_y).cast("int").alias("cy"), F.floor(F.col("x") / sub_x).cast("int").alias("cx")).agg(*[F.sum(f"_{n}").cast("int").alias(f"_{n}") for n in "bgr"])
@@ -94,6 +102,9 @@ def _encode(px: DataFrame, source: str, layout: str) -> DataFrame:
 
 def _decode(px: DataFrame, target: str, layout: str) -> DataFrame:
     sub_x, sub_y = LAYOUTS[layout]
+    cells, packed = sub_x * sub_y, layout in ("YUY2", "UYVY")
+    rows = F.col("h") if packed else F.col("h") * cells / (cells + 2)
+    px = _fitting(px, layout, (rows == F.floor(rows)) & (F.floor(rows) % sub_y == 0) & (F.col("w") % sub_x == 0))
     if layout in ("YUY2", "UYVY"):
         first = 0 if layout == "YUY2" else 1
         luma = px.filter(F.col("c") == first).select("img_id", "h", "w", "y", "x", F.col("v").alias("_y"))

@@ -34,7 +34,7 @@ def filter2d(px: DataFrame, kernel: list[list[float]], depth: str, anchor: tuple
     """Correlation with a literal kernel; the result is 8U or 32F."""
     if depth not in ("8U", "32F"):
         raise TensorError(f"filter2d does not give {depth}")
-    return _weighted(px, taps_of(kernel, anchor), depth, border, lambda acc: acc + delta)
+    return _weighted(px, taps_of(kernel, anchor), depth, border, lambda acc: acc + delta if delta else acc)
 
 
 def _weighted(px: DataFrame, taps: Taps, depth: str, border: str, finish) -> DataFrame:
@@ -124,7 +124,7 @@ def sobel(px: DataFrame, dx: int, dy: int, depth: str = "32F", ksize: int = 3, s
     """A first derivative as 16S or 32F.  A window of a larger image is isolated if it is cut out before, else after."""
     if depth not in ("16S", "32F"):
         raise TensorError(f"sobel does not give {depth}")
-    return _weighted(px, taps_of(sobel_kernel(dx, dy, ksize)), depth, border, lambda acc: acc * scale + delta)
+    return _weighted(px, taps_of(sobel_kernel(dx, dy, ksize)), depth, border, lambda acc: acc if (scale, delta) == (1, 0) else acc * scale + delta)
 
 
 # -- morphology ------------------------------------------------------------

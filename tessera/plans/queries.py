@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,89 @@ def convert_to(spark, sf):
     return each.select("img_id", "i", *[saturate(F.col("d"), k).alias(f"to_{k.lower()}") for k in (*_CAST, "32S", "32U")], F.round(saturate(F.col("d"), "32F").cast("double"), 3).alias("to_32f"))
 
 
+# -- wide integers and halves ----------------------------------------------
+
+#: Elements that wrap and clip: 32-bit ones come from large multiples, and 16-bit ones reach their limits.
+_WIDE = {"32S": (3e9, 2147483648), "32U": (3e9, 0), "16S": (60000, None), "16U": (90000, None), "8S": (300, None)}
+_WIDE_OPS = ["ADD", "SUB", "MUL", "DIV", "AND", "OR", "XOR", "MAX", "MIN", "FMOD"]
+_WIDE_SQL = {"ADD": "a+b", "SUB": "a-b", "MUL": "a*b", "DIV": "case when b=0 then 0 else a//b end", "AND": "a & b", "OR": "a | b", "XOR": "xor(a, b)", "MAX": "greatest(a, b)", "MIN": "least(a, b)", "FMOD": "case when b=0 then 0 else a % b end"}
+
+
+def _wide_element(v: str, depth: str) -> str:
+    """A hugeint as an element: wrapped to 32 bits or clipped."""
+    if depth in ("32S", "32U"):
+        half = _WIDE[depth][1]
+        kind = "int" if depth == "32S" else "bigint"
+        return f"cast((((({v}) + {half}) % 4294967296) + 4294967296) % 4294967296 - {half} as {kind})"
+    low, high = _CAST[depth]
+    return f"cast(least({high}, greatest({low}, {v})) as int)"
+
+
+for _depth, (_scale, _) in _WIDE.items():
+    _first = _wide_element(f"cast(round(cast(e as double) * {_scale!r}::double) as hugeint)", _depth)
+    _second = _wide_element(f"cast(round(cast(g as double) * {_scale!r}::double) as hugeint)", _depth)
+
+    def _wide(spark, sf, depth=_depth, scale=_scale):
+        a, b = (saturate(F.col(k).cast("double") * scale, depth) for k in "fg")
+        each = operands(spark, sf).select("img_id", "i", a.alias("a"), b.alias("b"))
+        return each.select("img_id", "i", *[binary(op, F.col("a"), F.col("b"), depth).alias(op.lower()) for op in _WIDE_OPS])
+
+    register(f"binary_ops_{_depth.lower()}", sql.query(f"ab as (select img_id, cast(i as int) as i, cast({_first} as hugeint) as a, cast({_second} as hugeint) as b from raw)", final="select img_id, i, " + ", ".join(f"{_wide_element(_WIDE_SQL[op], _depth)} as {op.lower()}" for op in _WIDE_OPS) + " from ab"))(_wide)
+
+
+@register("binary_ops_64f", sql.query("ab as (select img_id, cast(i as int) as i, cast(e as double) as f, cast(g as double) as g from raw)", final="select img_id, i, " + ", ".join(f"round({v}, 9) as {k.lower()}" for k, v in _FLOAT.items()) + " from ab"))
+def binary_ops_64f(spark, sf):
+    f, g = F.col("f").cast("double"), F.col("g").cast("double")
+    return operands(spark, sf).select("img_id", "i", *[F.round(binary(op, F.abs(f) if op == "POW" else f, g, "64F"), 9).alias(op.lower()) for op in _FLOAT])
+
+
+# -- every overload of the array operators -----------------------------------
+
+#: Operands: an array, another, each as an open product, a scalar and a number; with their SQL.
+_TERMS = {"m": "a", "o": "b", "e": "a*2", "x": "b*0.5", "s": "10", "n": "7"}
+_PAIRS = ["mo", "ms", "sm", "mn", "nm", "em", "me", "eo", "oe", "es", "se", "en", "ne", "ex", "ee"]
+
+
+def _term(k: str) -> str:
+    """The SQL of a settled operand."""
+    return sql.sat(_TERMS[k]) if k in "ex" else _TERMS[k]
+
+
+def _sql_overload(op: str, pair: str) -> str:
+    left, right = pair
+    if op in "+-" and not set(pair) & set("sn"):
+        return sql.sat(f"{_TERMS[left]} {op} ({_TERMS[right]})")
+    if op == "*" and "n" in pair:
+        return sql.sat(f"({_TERMS[left]}) * ({_TERMS[right]})")
+    if op == "/":
+        return sql.sat(f"case when {_term(right)} = 0 then 0 else {_term(left)} // {_term(right)} end")
+    if op in "+-*":
+        return sql.sat(f"{_term(left)} {op} {_term(right)}")
+    return f"case when {_term(left)} {'<>' if op == '!=' else '=' if op == '==' else op} {_term(right)} then 255 else 0 end"
+
+
+_PYTHON = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+for _name, _ops in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
+
+    def _overloads(spark, sf, op=_ops):
+        a, b = Tensor(pixels(spark, sf), "8U").together(Tensor(pixels(spark, sf, second=True), "8U"))
+        terms = {"m": a, "o": b, "e": a * 2, "x": b * 0.5, "s": (10, 1, 2, 3), "n": 7}
+        made = {p: _PYTHON[op](terms[p[0]], terms[p[1]]) for p in _PAIRS}
+        return a.px.select("img_id", "y", "x", "c", *[v.column.alias(k) for k, v in made.items()])
+
+    register(f"overloads_{_name}", sql.query(sql.px(), sql.px(name="py", value=sql.SECOND), "ab as (select px.img_id, px.y, px.x, px.c, px.v as a, py.v as b from px join py using (img_id, y, x, c))", final="select img_id, y, x, c, " + ", ".join(f"{_sql_overload(_ops, p)} as {p}" for p in _PAIRS) + " from ab"))(_overloads)
+
+_COMPARED = {"eq": "==", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
+@register("overloads_compare", sql.query(sql.px(), sql.px(name="py", value=sql.SECOND), "ab as (select px.img_id, px.y, px.x, px.c, px.v as a, py.v as b from px join py using (img_id, y, x, c))", final="select img_id, y, x, c, " + ", ".join(f"{_sql_overload(op, p)} as {k}_{p}" for k, op in _COMPARED.items() for p in ("mo", "ms", "sm", "mn", "nm", "em", "me")) + " from ab"))
+def overloads_compare(spark, sf):
+    a, b = Tensor(pixels(spark, sf), "8U").together(Tensor(pixels(spark, sf, second=True), "8U"))
+    terms = {"m": a, "o": b, "e": a * 2, "s": (10, 1, 2, 3), "n": 7}
+    made = {f"{k}_{p}": _PYTHON[op](terms[p[0]], terms[p[1]]) for k, op in _COMPARED.items() for p in ("mo", "ms", "sm", "mn", "nm", "em", "me")}
+    return a.px.select("img_id", "y", "x", "c", *[v.column.alias(k) for k, v in made.items()])
+
+
 # -- moving elements -------------------------------------------------------
 
 simple("transpose", arrays.transpose, sql.query(sql.px(4, 16), final="select img_id, x as y, y as x, c, v from px"), h=4, w=16)
@@ -308,6 +392,23 @@ _ANALOG = ["BGR2YUV", "YUV2BGR", "RGB2YUV", "YUV2RGB"]
 register("cvt_color_yuv", sql.query(sql.px(4, 4, 4), _PIVOT, final=" union all ".join(map(_sql_analog, _ANALOG))))(lambda spark, sf: _tagged(spark, sf, _ANALOG, lambda c: 3))
 
 
+_FLOAT_COLOUR = {
+    "BGR2GRAY": ["c0*0.114+c1*0.587+c2*0.299"], "RGB2BGR": ["c2", "c1", "c0"], "BGR2RGBA": ["c2", "c1", "c0", "1.0"], "BGR2YUV": ["{y}", "(c0-{y})*0.492+0.5", "(c2-{y})*0.877+0.5"],
+    "YUV2RGB": ["c0+(c2-0.5)*1.140", "c0-(c1-0.5)*0.395-(c2-0.5)*0.581", "c0+(c1-0.5)*2.032"],
+}
+_FLOAT_VALUE = "cast(e as double)"
+
+
+@register("cvt_color_32f", sql.query(sql.px(4, 4, 4, value=_FLOAT_VALUE), _PIVOT, final=" union all ".join(f"select '{code}' as code, img_id, y, x, {k} as c, round(cast(cast({v.format(y='(c0*0.114+c1*0.587+c2*0.299)')} as float) as double), 5) as v from pv" for code, values in _FLOAT_COLOUR.items() for k, v in enumerate(values))))
+def cvt_color_32f(spark, sf):
+    px = arrays.pixels(arrays.dense(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, 4, 4)).filter("c < 3")
+    found = None
+    for code in _FLOAT_COLOUR:
+        part = color.cvt_color(px, code, "32F").select(F.lit(code).alias("code"), "img_id", "y", "x", "c", F.round(F.col("v").cast("double"), 5).alias("v"))
+        found = part if found is None else found.union(part)
+    return found
+
+
 def _limited(b: str, g: str, r: str) -> tuple[str, str, str]:
     return sql.sat(f"((66*({r}) + 129*({g}) + 25*({b}) + 128) >> 8) + 16"), sql.sat(f"((-38*({r}) - 74*({g}) + 112*({b}) + 128) >> 8) + 128"), sql.sat(f"((112*({r}) - 94*({g}) - 18*({b}) + 128) >> 8) + 128")
 
@@ -449,6 +550,15 @@ _CANNY = [
 ]
 whole("canny", lambda p: stencils.canny(p, 40, 15), sql.query(*_CANNY, final="select px.img_id, px.y, px.x, px.c, case when e.y is null then 0 else 255 end as v from px left join e on e.img_id = px.img_id and e.y = px.y and e.x = px.x"))
 
+_CANNY_FINAL = "select px.img_id, px.y, px.x, px.c, case when e.y is null then 0 else 255 end as v from px left join e on e.img_id = px.img_id and e.y = px.y and e.x = px.x"
+
+
+@register("canny_derivatives", sql.query(*_CANNY, final=_CANNY_FINAL))
+def canny_derivatives(spark, sf):
+    gx, gy = (arrays.pixels(stencils.sobel(images(spark, sf), 1 - k, k, "16S", border="REPLICATE"), colocate=False).withColumnRenamed("v", n) for k, n in ((0, "gx"), (1, "gy")))
+    return out(stencils.canny_derivatives(gx.join(gy, arrays.KEY), 40, 15))
+
+
 # -- geometry --------------------------------------------------------------
 
 for _mode in ("CONSTANT", "REPLICATE", "REFLECT", "WRAP", "REFLECT_101"):
