@@ -1,9 +1,11 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
-Writing: texts are tokenised once into a table of ids; ids are counted over the whole corpus and
+Writing: texts are tokenised once into a table of ids, 16 or 32 bits wide as the vocabulary needs; ids are
+counted over the whole corpus and
 get code lengths of at most ``LIMIT`` bits (package-merge); codes are canonical, so the lengths
-alone describe them.  Each document is coded before the shuffle, so codes and not ids travel,
-and ranges of ids put the documents in order.  A block holds whole documents of about
+alone describe them.  Each document is coded once, into a second table, before the shuffle, so codes and not ids travel,
+and ranges of ids put the documents in order.  Both tables are outside the files' folder and are
+deleted when what follows from them is written.  A block holds whole documents of about
 ``BLOCK_IDS`` ids, a bit offset for every ``STRIDE`` ids of a document, and how many ids its part
 has before it; nothing outside a block but the code lengths is needed to decode it.
 
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table_path, text_of
+from .common import discard, table_path, text_of, tidy
 from .word_tokens import load, slices, with_end
 
 #: Longest code in bits; also the decoding table's width.
@@ -124,10 +126,25 @@ def decode(payload: bytes, starts: np.ndarray, sizes: np.ndarray, table: tuple[n
     return out.T[np.arange(steps) < sizes[:, None]]
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes ``id`` and ``ids`` (little-endian, 16 bits each) of each document to *path*."""
+def symbols_of(tokenizer_path: str, end_id: int = END_ID) -> int:
+    """One more than the largest id that documents can have."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values())
+
+
+def id_type(symbols: int) -> str:
+    """The type of an id in the table of ids."""
+    if symbols > 1 << 32:
+        raise ValueError(f"{symbols} ids do not fit in 32 bits")
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
+def token_table(docs: DataFrame, tokenizer_path: str, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, wide: str = "<u2") -> DataFrame:
+    """Writes ``id`` and ``ids`` (little-endian, of type *wide*) of each document to *path*."""
     import pyarrow as pa
 
+    size = np.dtype(wide).itemsize
     kind = docs.schema[id_column].dataType.simpleString()
     frame = docs.select(F.col(id_column).alias("_id"), text_of(docs, text_column).alias("_text"))
 
@@ -137,34 +154,35 @@ def token_table(docs: DataFrame, tokenizer_path: str, path: str, id_column: str
             for first, last in slices(batch.column(1)):
                 n = last - first
                 flat, at = with_end(*tokens.encode_array(batch.column(1).slice(first, n)), end_id)
-                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(flat.astype(wide))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), ids], ["id", "ids"])
 
-    made = frame.mapInArrow(run, f"id {kind}, ids binary")
+    made = frame.mapInArrow(tidy(run), f"id {kind}, ids binary")
     made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def joined(column) -> tuple[np.ndarray, np.ndarray]:
+def joined(column, wide: str = "<u2") -> tuple[np.ndarray, np.ndarray]:
     """The ids of a binary column in one array, and how many each row has."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
-    ids = np.frombuffer(column.buffers()[2] or b"", "<u2", offset=0)[: offsets[-1]]
+    size = np.dtype(wide).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // size
+    ids = np.frombuffer((column.buffers()[2] or b"")[: int(offsets[-1]) * size], wide)
     return ids[offsets[0] :], np.diff(offsets)
 
 
-def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
+def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16, wide: str = "<u2") -> np.ndarray:
     """How often each id occurs in all documents; one row an id reaches the driver."""
     import pyarrow as pa
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            total += np.bincount(joined(batch.column(0))[0], minlength=vocabulary)
+            total += np.bincount(joined(batch.column(0), wide)[0], minlength=vocabulary)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["s", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("ids").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
         out[r.s] = r.n
     return out
 
@@ -175,16 +193,18 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, id_column: str
     from pyspark import TaskContext
 
     spark = docs.sparkSession
-    tokens = token_table(docs, tokenizer_path, f"{path}/ids", id_column, text_column, end_id)
+    symbols = symbols_of(tokenizer_path, end_id)
+    wide, ids_at, coded_at = id_type(symbols), table_path(spark, "ids"), table_path(spark, "coded")
+    tokens = token_table(docs, tokenizer_path, ids_at, id_column, text_column, end_id, wide)
     kind = tokens.schema["id"].dataType.simpleString()
-    lengths = code_lengths(id_counts(tokens))
+    lengths = code_lengths(id_counts(tokens, symbols, wide))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "symbol int, bits int").coalesce(1).write.parquet(f"{path}/codes")
     codes = canonical_codes(lengths)
 
     def code(batches):
         for batch in batches:
-            ids, sizes = joined(batch.column(1))
+            ids, sizes = joined(batch.column(1), wide)
             ends = np.cumsum(sizes)
             done = 0
             while done < len(sizes):
@@ -222,9 +242,12 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, id_column: str
         if held:
             yield made()
 
-    coded = tokens.mapInArrow(code, f"id {kind}, n long, payload binary, marks array<long>")
-    ordered = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "payload")
+    coded = tokens.mapInArrow(tidy(code), f"id {kind}, n long, payload binary, marks array<long>")
+    coded.write.option("compression", "lz4").parquet(coded_at)
+    discard(spark, ids_at)
+    ordered = spark.read.schema(coded.schema).parquet(coded_at).repartitionByRange("id").sortWithinPartitions("id", "n", "payload")
     ordered.mapInArrow(block, f"part int, block int, before long, doc_ids array<{kind}>, sizes array<long>, starts array<long>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(spark, coded_at)
 
 
 def read_files(spark: SparkSession, path: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -233,8 +256,9 @@ def read_files(spark: SparkSession, path: str, id_column: str = "doc_id", ids: b
 
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    lengths = np.zeros(1 << 16, np.int64)
-    for r in spark.read.parquet(f"{path}/codes").collect():  # at most one row an id of the vocabulary
+    codes = spark.read.parquet(f"{path}/codes").collect()  # at most one row an id of the vocabulary
+    lengths = np.zeros(1 + max((r.symbol for r in codes), default=0), np.int64)
+    for r in codes:
         lengths[r.symbol] = r.bits
     totals = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # a row a part
     firsts, at = {}, 0
@@ -255,7 +279,7 @@ def read_files(spark: SparkSession, path: str, id_column: str = "doc_id", ids: b
                 columns = [keys.values, pa.array(first + begins[:-1]), pa.array(sizes), pa.array([zlib.crc32(p) for p in packed], pa.int64()), *[pa.array(packed, pa.binary())] * ids]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return blocks.select("part", "before", "doc_ids", "sizes", "starts", "payload").mapInArrow(run, f"`{id_column}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return blocks.select("part", "before", "doc_ids", "sizes", "starts", "payload").mapInArrow(tidy(run), f"`{id_column}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -106,6 +106,15 @@ def test_huffman_files_round_trip(spark, tmp_path):
     assert huffman.read_files(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_ids_beyond_sixteen_bits(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    huffman.write_files(docs, WORDS, f"{tmp_path}/wide", end_id=70_000)
+    found = sorted(huffman.read_files(spark, f"{tmp_path}/wide", ids=True).collect(), key=lambda r: r.start)
+    last = (70_000).to_bytes(4, "little")
+    assert [r.ids for r in found] == [library_ids("one two")[:-4] + last, last]
+    assert sorted(p.name for p in tmp_path.joinpath("wide").iterdir()) == ["blocks", "codes"]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=60), st.integers(6, 12))
 def test_code_lengths_are_a_limited_optimal_code(counts, limit):
@@ -177,8 +186,11 @@ def brute_licenses(text):
     places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels = {label for _, label in places}
     for label, template in licenses.TEMPLATES:
-        t = set(licenses.words_of(template.encode()))
-        labels |= {label for line in text.split("\n") if len(t & set(licenses.words_of(line.encode()))) >= licenses.CONTAINMENT * len(t) - 1e-9}
+        listed = [w.decode() for w in licenses.words_of(template.encode())]
+        own, span = set(listed), -(-5 * len(listed) // 4)
+        must = {w for w in own if w.encode() in licenses.TELLING}
+        blocks = [own & set(words[i : i + span]) for i in range(len(words))]
+        labels |= {label for block in blocks if len(block) >= licenses.CONTAINMENT * len(own) - 1e-9 and must <= block}
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels))
 
