@@ -1,7 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-Blocks are the lines of a text, and, as notices are wrapped, every window of words about as long
-as the template, across line breaks.  A template is found in a block if at least ``CONTAINMENT``
+Blocks are windows of words about as long as the template, at every word of the text, across line breaks, as
+notices are wrapped; so words that are scattered over a long line are no notice.  A template is found in a block if at least ``CONTAINMENT``
 of the template's distinct words are among the block's, and all of those that tell it from
 similar notices (``TELLING``).  Words are put in one global order,
 rarest first, by their document frequency over the whole corpus, and filters leave only blocks
@@ -9,7 +9,7 @@ that can reach the threshold, losing none:
 
 * prefix: a template of ``k`` words that needs ``t`` of them shares one of its first ``k - t + 1``;
 * length: a block with fewer than ``t`` words of any template cannot hold it;
-* positional: the words from the first shared one on, in template and block, have to suffice.
+* positional: windows are looked at around places of prefix words only, where the words there suffice.
 
 The templates' side is bounded by the list of templates, so it goes to the tasks; only word
 counts of template words, one row a word, come back.  Both passes are without a shuffle of text.
@@ -103,36 +103,61 @@ class TemplateIndex:
         return found
 
     def find_windows(self, words: list[bytes], telling: set[bytes] | frozenset[bytes] = frozenset()) -> dict[str, float]:
-        """As :meth:`find` with every window of *words* as a block, each template with its own window length."""
-        held, found = set(words), {}
-        for (label, order, own, need), span in zip(self.templates, self.spans, strict=True):
-            must = own & telling
-            if len(own & held) < need or not must <= held:
-                continue
-            places = [i for i, w in enumerate(words) if w in own]
-            counts: dict[bytes, int] = {}
-            first = 0
-            for at in places:
-                counts[words[at]] = counts.get(words[at], 0) + 1
-                while places[first] <= at - span:
-                    w = words[places[first]]
-                    counts[w] -= 1
-                    if not counts[w]:
-                        del counts[w]
-                    first += 1
-                if len(counts) >= need and must <= counts.keys():
-                    found[label] = max(found.get(label, 0.0), len(counts) / len(order))
+        """As :meth:`find` with every window of *words* as a block, each template with its own window length.
+
+        A window that holds a template has one of its prefix words, so only the surroundings of those
+        words are looked at, where the surroundings hold enough of the template at all.
+        """
+        near: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            for t, _ in self.prefix.get(w, ()):
+                near.setdefault(t, []).append(i)
+        found: dict[str, float] = {}
+        for t, at in near.items():
+            label, order, own, need = self.templates[t]
+            span, start = self.spans[t], 0
+            for k, i in enumerate(at):
+                if k + 1 < len(at) and at[k + 1] - i < 2 * span:
+                    continue
+                most = _fullest(words[max(0, at[start] - span + 1) : i + span], own, own & telling, span, need)
+                if most >= need:
+                    found[label] = max(found.get(label, 0.0), most / len(order))
+                start = k + 1
         return found
 
 
+def _fullest(words: list[bytes], own: set[bytes], must: set[bytes], span: int, need: int) -> int:
+    """The most distinct words of *own* in a window of *span* words that has all of *must*; 0 if fewer than *need*."""
+    held = own.intersection(words)
+    if len(held) < need or not must <= held:
+        return 0
+    places = [i for i, w in enumerate(words) if w in own]
+    counts: dict[bytes, int] = {}
+    first = most = 0
+    for at in places:
+        counts[words[at]] = counts.get(words[at], 0) + 1
+        while places[first] <= at - span:
+            w = words[places[first]]
+            counts[w] -= 1
+            if not counts[w]:
+                del counts[w]
+            first += 1
+        if len(counts) > most and len(counts) >= need and must <= counts.keys():
+            most = len(counts)
+    return most
+
+
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """Starts, in words, of the base phrases and their labels."""
     flat, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES.items():
         sought = b" " + phrase.encode() + b" "
-        at = flat.find(sought)
+        at, counted, number = flat.find(sought), 0, 0
         while at >= 0:
-            out.append((flat.count(b" ", 0, at), label))
+            # words are counted on from the last place, so that all of them together take one pass
+            number += flat.count(b" ", counted, at)
+            counted = at
+            out.append((number, label))
             at = flat.find(sought, at + 1)
     return out
 
@@ -168,10 +193,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         base = {label for _, label in places}
         more: dict[str, float] = {}
         if not index.prefix.keys().isdisjoint(words):
-            blocks = [index.find(set(words_of(line)), TELLING) for line in text.split(b"\n")]
-            for found in [*blocks, index.find_windows(words, TELLING)]:
-                for label, share in found.items():
-                    more[label] = max(share, more.get(label, 0.0))
+            more = index.find_windows(words, TELLING)
         starts = [at for at, _ in places]
         score = 1.0 if base else max(more.values(), default=0.0)
         return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more.keys())), score

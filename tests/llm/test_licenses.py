@@ -46,3 +46,13 @@ def test_windows_are_those_of_brute_force(seed):
             if len(block) >= licenses.CONTAINMENT * len(own) - 1e-9 and own & licenses.TELLING <= block:
                 want[label] = max(want.get(label, 0), len(block) / len(own))
     assert index.find_windows(words, licenses.TELLING) == want
+
+
+def test_scattered_words_are_no_notice(spark):
+    found = labels(spark, ["the boat was released in may and the driver lost his license under a bridge; der Mann ging mit dem Hund", " ".join(w + " x y z" for w in licenses.TEMPLATES[3][1].split())])
+    assert found == {0: {""}, 1: {""}}
+
+
+def test_places_of_very_many_phrases_take_linear_time():
+    words = licenses.words_of(b"cc by " * 100_000)
+    assert licenses.base_places(words)[-1] == (199_998, "cc-by") and len(licenses.base_places(words)) == 100_000
