@@ -11,7 +11,8 @@ exclusive.
 Defined results: a null text counts as empty and has no spans; the digest of no spans is that
 of an empty string.  Repeated rows repeat results; null ids stay null; only the id and text
 columns are read.  Tokens of any length are searched whole; of a token that base
-spans meet, the parts outside them are searched.
+spans meet, the parts outside them are searched.  Tokens of letters of one case, UUIDs, and runs of fewer
+than ``DIFFERENT`` characters are no secrets.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Pieces that a token is made of; a secret begins and ends where one does.
 _PIECE = re.compile(r"[A-Za-z0-9+]+|[/_=-]")
 _PLAIN = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
+#: Identifiers that are random and no secrets; and the least number of different characters of a secret.
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+DIFFERENT = 7
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio a character from which a token counts as random.
 THRESHOLD = 0.5
@@ -128,7 +132,7 @@ class MarkovRatio:
                 continue
             a, b = held[0][0], held[-1][1]
             part = token[a:b]
-            if b - a >= LEAST and not _PLAIN.fullmatch(part) and self.score(part) >= threshold:
+            if b - a >= LEAST and len(set(part)) >= DIFFERENT and not _PLAIN.fullmatch(part) and self.score(part) >= threshold:
                 out.append((a, b))
         return out
 
@@ -155,7 +159,7 @@ def markov_spans(text: str, model: MarkovRatio, base: list[tuple[int, int, int]]
     """Spans of random runs in tokens, outside the base spans."""
     out = []
     for m in TOKEN.finditer(text):
-        if _PLAIN.fullmatch(m[0]):
+        if _PLAIN.fullmatch(m[0]) or _UUID.fullmatch(m[0]):
             continue
         at, parts = m.start(), []
         for s, _, e in base:
