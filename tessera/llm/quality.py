@@ -147,8 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = known.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
     joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")  # at most *most* rows
     names = list(statistics(F.col("text")))
-    # ids may repeat among the documents; the bound holds all the same
-    sample = with_statistics(joined.limit(2 * most), "_text", [F.col("_label")])
+    # ids may repeat among the documents; the bound holds all the same, by an order that layout does not change
+    joined = joined.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_label").limit(2 * most)
+    sample = with_statistics(joined, "_text", [F.col("_label")])
     return fit(cut(sample), "_keep0", names)
 
 
