@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +80,27 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
     system, place = _at(spark, path)
     system.delete(place, True)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on between tasks and stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """*run* over a task's batches, after which its memory goes back."""
+
+    def then(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return then

@@ -17,13 +17,15 @@ rows are packed as rows.  Null ids stay null.  Only the id and text columns are
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 from .word_tokens import load, slices, with_end
 
 #: Ids of a full sequence.
@@ -105,25 +107,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
     def run(batches):
         tokens, width = load(tokenizer_path), 4 * capacity
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        key_type = None
-        pieces: list[list] = []
+        key_type, keys, parts = None, [], []
+        # packed columns: start, length, crc32, tokens of the document
+        columns = [array("q") for _ in range(4)]
 
         def flush():
             nonlocal base
-            short = [i for i, p in enumerate(pieces) if p[2] < capacity]
-            bins, offsets, used = pack_pieces([pieces[i][2] for i in short], capacity)
-            for i, b, at in zip(short, bins, offsets, strict=True):
-                pieces[i][5:7] = base + b, at
-            base += used
-            for p in pieces:
-                if p[2] == capacity:
-                    p[5:7] = base, 0
-                    base += 1
-            columns = list(zip(*pieces, strict=True))
-            types = [key_type, *[pa.int64()] * 6, *[pa.binary()] * ids]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-            pieces.clear()
-            return out
+            starts, lengths, crcs, totals = (np.frombuffer(c, np.int64) for c in columns)
+            sequence, offset = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            short, whole = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
+            bins, offsets, used = pack_pieces(lengths[short].tolist(), capacity)
+            sequence[short], offset[short] = np.array(bins, np.int64) + base, offsets
+            sequence[whole] = base + used + np.arange(len(whole))
+            base += used + len(whole)
+            made = [pa.array(keys, key_type), *[pa.array(c.copy()) for c in (starts, lengths, crcs, totals)], pa.array(sequence), pa.array(offset), *[pa.array(parts, pa.binary())] * ids]
+            return pa.RecordBatch.from_arrays(made, names)
 
         for batch in batches:
             key_type = batch.column(0).type
@@ -134,10 +132,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
                 for key, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), bounds, bounds[1:], strict=False):
                     for p in range(a, b, width):
                         part = packed[p : min(p + width, b)]
-                        pieces.append([key, (p - a) // 4, len(part) // 4, zlib.crc32(part), (b - a) // 4, 0, 0, *[part] * ids])
-                if len(pieces) >= WINDOW_PIECES:
+                        keys.append(key)
+                        for c, v in zip(columns, ((p - a) // 4, len(part) // 4, zlib.crc32(part), (b - a) // 4), strict=True):
+                            c.append(v)
+                        if ids:
+                            parts.append(part)
+                if len(keys) >= WINDOW_PIECES:
                     yield flush()
-        if pieces:
+                    keys, parts, columns = [], [], [array("q") for _ in range(4)]
+        if keys:
             yield flush()
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tidy(run), schema)

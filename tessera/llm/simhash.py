@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, tidy
 from .components import components
 
 WIDTH = 64
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             found = [fingerprint_bytes(t.as_py(), size) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())], ["id", "fp"])
 
-    return frame.mapInArrow(run, f"id {kind}, fp long")
+    return frame.mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 def _mask(start: int, chain: int) -> int:

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Memory bound of a worker's memo of words.
-MEMO_WORDS = 500_000
+#: Bytes that a worker's memo of words may take, by an estimate of an entry's overhead.
+MEMO_BYTES = 64 << 20
+_ENTRY_BYTES = 180
 #: Words joined to one text for the library.
 JOINED = 64
 #: Bytes of text looked at together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 #: Marks that are a token of their own after letters.
 _MARKS = ".,;:!?"
@@ -46,6 +47,7 @@ class WordTokens:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
+        self._held = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,8 +87,9 @@ class WordTokens:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self._memo) > MEMO_WORDS:
+        if self._held > MEMO_BYTES:
             self._memo.clear()
+            self._held = 0
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         # a special token's text in capitals is not that token
@@ -99,8 +102,11 @@ class WordTokens:
         try:
             found = list(map(self._memo.get, words))
             if missing := [i for i, x in enumerate(found) if x is None]:
+                known = len(self._memo)
                 for i, x in zip(missing, self._remember(coded.dictionary.take(pa.array(missing))), strict=True):
                     found[i] = x
+                # the new words with their ids, and the words without marks that came with them
+                self._held += (len(self._memo) - known) * _ENTRY_BYTES + sum(4 * len(words[i]) + len(found[i]) for i in missing)
         finally:
             if on:
                 gc.enable()
