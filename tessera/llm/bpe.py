@@ -30,14 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 #: White space by the Unicode property, written out so that engines agree.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the public byte-level pre-token pattern.
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Memory bound of a worker's memo of words.
-MEMO_WORDS = 700_000
+#: Bytes that a worker's memos of runs and words may take, by an estimate of an entry's overhead.
+MEMO_BYTES = 160 << 20
+_ENTRY_BYTES = 180
 #: Characters of text looked at together.
 CHUNK_CHARS = 8_000_000
 
@@ -96,6 +97,7 @@ class TrieBPE:
         self._first: dict[str, bytes] = {}
         self._after: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._held = 0
 
     # -- the vocabulary ----------------------------------------------------
 
@@ -176,14 +178,17 @@ class TrieBPE:
         ids = self.encode_words(words.values())
         for w, b in words.items():
             known[w] = array("I", ids[b]).tobytes()
+            self._held += _ENTRY_BYTES + 4 * len(w) + len(known[w])
         for r, pieces in cuts.items():
             memo[r] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[w] for w in pieces])
+            self._held += _ENTRY_BYTES + 4 * len(r) + (0 if len(pieces) == 1 else len(memo[r]))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         first, after = self._first, self._after
-        if len(after) + len(self._words) > MEMO_WORDS:
+        if self._held > MEMO_BYTES:
             after.clear(), first.clear(), self._words.clear()
+            self._held = 0
         cut: list[list[str]] = [self._specials.split(t) if self._specials and "<" in t else [t] for t in texts]
         runs = [[_single_space(part) if part and not k % 2 else [] for k, part in enumerate(parts)] for parts in cut]
         self._remember({r[0] for x in runs for r in x if r} - first.keys(), "", first)
@@ -266,4 +271,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
                 done += len(rows)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tidy(run), schema)
