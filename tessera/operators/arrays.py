@@ -65,14 +65,81 @@ def reshape(arrays: DataFrame, h: int, w: int) -> DataFrame:
     return arrays.withColumn("data", F.when(ok, F.col("data")).otherwise(F.raise_error(F.lit("reshape: totals differ")))).withColumns({"h": F.lit(h), "w": F.lit(w)})
 
 
-def reinterpret(px: DataFrame, depth: str, to: str) -> DataFrame:
-    """Integer elements whose bytes are read as another integer depth of the same width."""
+def set_size(arrays: DataFrame, h: int, w: int) -> DataFrame:
+    """Another shape over the elements that an array holds, the first of them if there are more; too few fail."""
+    return _sized(arrays, F.lit(h), F.lit(w))
+
+
+def copy_size(arrays: DataFrame, other: DataFrame) -> DataFrame:
+    """The shape of another array of the same id, as :func:`set_size`."""
+    sizes = other.select("img_id", F.col("h").alias("_h"), F.col("w").alias("_w"))
+    return _sized(arrays.join(sizes, "img_id"), F.col("_h"), F.col("_w")).select(*arrays.columns)
+
+
+def _sized(arrays: DataFrame, h: Column, w: Column) -> DataFrame:
+    total = h * w * F.col("cn")
+    kept = F.when(F.size("data") >= total, F.slice("data", F.lit(1), total)).otherwise(F.raise_error(F.lit("set_size: more elements than the array holds")))
+    return arrays.withColumns({"data": kept, "h": h, "w": w})
+
+
+#: Numpy's types of elements.
+_KINDS = {"8U": "u1", "8S": "i1", "16U": "<u2", "16S": "<i2", "32S": "<i4", "32U": "<u4", "16F": "<f2", "32F": "<f4", "64F": "<f8"}
+
+
+def reinterpret(frame: DataFrame, depth: str, to: str) -> DataFrame:
+    """The same bytes read as another depth.
+
+    Elements: as another integer depth of the same width.  Dense arrays: as any depth; channels follow, so that a place
+    keeps its bytes.
+    """
+    if "data" in frame.columns:
+        return _reread(frame, depth, to)
     if BYTES[depth] != BYTES[to] or "F" in depth + to:
         raise TensorError(f"{depth} is not reinterpreted as {to}")
     width = 1 << (8 * BYTES[to])
     lane_ = F.pmod(F.col("v").cast("bigint"), F.lit(width))
     signed = F.when(lane_ >= width // 2, lane_ - width).otherwise(lane_)
-    return px.withColumn("v", (signed if to.endswith("S") else lane_).cast(STORAGE[to]))
+    return frame.withColumn("v", (signed if to.endswith("S") else lane_).cast(STORAGE[to]))
+
+
+def _reread(arrays: DataFrame, depth: str, to: str) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    old, new, kind = BYTES[depth], BYTES[to], STORAGE[to]
+    types = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+    source, target = _KINDS[depth], _KINDS[to]
+
+    def run(batches):
+        for batch in batches:
+            out, channels = [], []
+            for cn, data in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if cn * old % new:
+                    raise TensorError(f"{cn} channels of {depth} are not reinterpreted as {to}")
+                channels.append(cn * old // new)
+                out.append(data.values.to_numpy(zero_copy_only=False).astype(source).view(target))
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            values = pa.array(np.concatenate(out).astype(types[kind].to_pandas_dtype()) if out else np.zeros(0), types[kind])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(channels, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)], ["img_id", "h", "w", "cn", "data"])
+
+    return arrays.select("img_id", F.col("h").cast("int"), F.col("w").cast("int"), F.col("cn").cast("int"), "data").mapInArrow(run, f"img_id bigint, h int, w int, cn int, data array<{kind}>")
+
+
+def shape_string(arrays: DataFrame, channel_first: bool = False) -> Column:
+    """An array's shape as text; channels come first where asked for and there are several."""
+    shape = F.array("h", "w")
+    if channel_first:
+        shape = F.when(F.col("cn") > 1, F.array("cn", "h", "w")).otherwise(shape)
+    text = F.concat(F.lit("["), F.array_join(shape.cast("array<string>"), " x "), F.lit("]"))
+    return F.when(F.size("data") == 0, "[]").otherwise(text)
+
+
+def printed(arrays: DataFrame, length: int = -1) -> DataFrame:
+    """``img_id`` and ``text``: the shape of each array and its first elements, or all of them."""
+    some = F.col("data") if length < 0 else F.slice("data", 1, length)
+    values = F.concat(F.lit("value = "), F.array_join(F.transform(some.cast("array<string>"), lambda v: F.concat(v, F.lit(","))), ""))
+    text = F.concat(F.lit("shape = "), shape_string(arrays, True), F.lit("\n"), values)
+    return arrays.select("img_id", F.when(F.size("data") == 0, "mat is empty").otherwise(text).alias("text"))
 
 
 def window(px: DataFrame, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.depths import TensorError
 
-#: Rows that the right operand may have to be sent to every task.
+#: Rows that the right operand may have to be sent to every task, and parts that the left side is dealt into where it has more.
 PACKED_ROWS = 1_000_000
+PARTS = 32
 
 
 def gemm_shape(a: tuple[int, ...], b: tuple[int, ...], trans_a: bool = False, trans_b: bool = False) -> tuple[int, ...]:
@@ -40,20 +41,55 @@ def _side(m: DataFrame, trans: bool, inner: str, outer: str, value: str, batch:
 def pack_b(b: DataFrame, trans_b: bool = False) -> DataFrame:
     """A right operand without a batch, ready for many products; broadcast if its rows are few, which is counted."""
     packed = _side(b, trans_b, "k", "j", "b", False)
-    return F.broadcast(packed) if packed.limit(PACKED_ROWS + 1).count() <= PACKED_ROWS else packed
+    if packed.limit(PACKED_ROWS + 1).count() <= PACKED_ROWS:
+        return F.broadcast(packed)
+    # more tasks than inner indices: each part of the left side's rows meets its own copy
+    return packed.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(PARTS)])))
 
 
 def gemm(a: DataFrame, b: DataFrame, trans_a: bool = False, trans_b: bool = False, shared_b: bool = False, is_packed: bool = False, scales: DataFrame | None = None) -> DataFrame:
     """``mat_id, i, j, v`` of ``a @ b``.  *scales* (``j, scale``) multiply the columns of an integer right operand."""
     left = _side(a, trans_a, "k", "i", "a", True)
-    right = b if is_packed else _side(b, trans_b, "k", "j", "b", not shared_b)
-    joined = left.join(right, ["k"] if shared_b or is_packed else ["mat_id", "k"])
+    if shared_b and not is_packed:
+        b, is_packed = pack_b(b, trans_b), True
+    if is_packed and "part" in b.columns:
+        left = left.withColumn("part", F.pmod(F.xxhash64("mat_id", "i"), F.lit(PARTS)).cast("int"))
+        joined = left.join(b, ["k", "part"])
+    else:
+        joined = left.join(b, "k") if is_packed else left.join(_side(b, trans_b, "k", "j", "b", True), ["mat_id", "k"])
     out = joined.groupBy("mat_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
     if scales is not None:
         out = out.join(scales, "j").withColumn("v", F.col("v") * F.col("scale").cast("double"))
     return out.select("mat_id", "i", "j", F.col("v").cast("float").alias("v"))
 
 
+def gemm_batched(a: DataFrame, b: DataFrame, lead_a: tuple[int, ...], lead_b: tuple[int, ...], trans_a: bool = False, trans_b: bool = False) -> DataFrame:
+    """Products over leading axes that broadcast.
+
+    *a* and *b* have a column ``n0``, ``n1``, ... for each leading axis, whose sizes are *lead_a* and *lead_b*, and ``i, j, v``.
+    The result has the longer list of axes; an axis of size 1 on one side is not a join key, so nothing is copied for it.
+    """
+    gemm_shape((*lead_a, 1, 1), (*lead_b, 1, 1))  # fails on axes that do not broadcast
+    size = max(len(lead_a), len(lead_b))
+
+    def side(m: DataFrame, lead: tuple[int, ...], trans: bool, names: tuple[str, str, str]) -> DataFrame:
+        rows, cols = ("j", "i") if trans else ("i", "j")
+        axes = [F.col(f"n{k}").alias(f"{names[2]}{k + size - len(lead)}") for k in range(len(lead))]
+        return m.select(*axes, F.col(rows).alias(names[0]), F.col(cols).alias(names[1]), F.col("v").cast("double").alias(names[2]))
+
+    left, right = side(a, lead_a, trans_a, ("i", "k", "a")), side(b, lead_b, trans_b, ("k2", "j", "b"))
+    met, out = F.col("k") == F.col("k2"), []
+    for n in range(size):
+        x, y = ((lead[n - size + len(lead)] if n >= size - len(lead) else 1) for lead in (lead_a, lead_b))
+        if x > 1 and y > 1:
+            met = met & (F.col(f"a{n}") == F.col(f"b{n}"))
+        held = f"a{n}" if x >= y and n >= size - len(lead_a) else f"b{n}"
+        out.append(F.col(held).alias(f"n{n}"))
+    keys = [f"n{n}" for n in range(size)]
+    made = left.join(right, met).select(*out, "i", "j", (F.col("a") * F.col("b")).alias("v"))
+    return made.groupBy(*keys, "i", "j").agg(F.sum("v").cast("float").alias("v"))
+
+
 def norm(kind: str, v: Column) -> Column:
     """An aggregate: L1 sums magnitudes, L2 sums squares (no root), INF is the largest magnitude."""
     x = v.cast("double")
