@@ -1,6 +1,6 @@
 """Image files as arrays, and arrays as image files.
 
-PNG, JPEG, BMP and GIF go through Spark's image source; PPM and PGM through its binary files.
+PNG, JPEG, BMP and GIF go through Spark's image source; PPM, PGM and HDR through its binary files.
 Arrays are in BGR order, as elsewhere in the library.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -26,9 +27,10 @@ def _elements(frame: DataFrame, parse) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = [parse(*(v.as_py() for v in row)) or (0, 0, 0, b"") for row in zip(*batch.columns[1:], strict=True)]
-            data = [list(r[3]) for r in rows]
+            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+            data = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(r[3] for r in rows), np.uint8).astype(np.int32)))
             sizes = [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(data, pa.list_(pa.int32()))], ["path", "h", "w", "cn", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, data], ["path", "h", "w", "cn", "data"])
 
     return frame.mapInArrow(run, SCHEMA)
 
@@ -59,15 +61,54 @@ def parse_pnm(content: bytes) -> tuple[int, int, int, bytes] | None:
     return h, w, cn, body
 
 
+def parse_hdr(content: bytes) -> tuple[int, int, int, bytes] | None:
+    """A Radiance picture, its range brought to 8U by a gamma of 2.2, as BGR."""
+    head, gap, body = content.partition(b"\n\n")
+    size, _, body = body.partition(b"\n")
+    fields = size.split()
+    if not gap or not head.startswith((b"#?RADIANCE", b"#?RGBE")) or len(fields) != 4 or fields[0] != b"-Y" or fields[2] != b"+X":
+        return None
+    h, w = int(fields[1]), int(fields[3])
+    rows, at = np.zeros((h, 4, w), np.uint8), 0
+    if not (8 <= w < 32768 and body[:2] == b"\x02\x02"):
+        if len(body) < h * w * 4:
+            return None
+        rows = np.frombuffer(body, np.uint8, h * w * 4).reshape(h, w, 4).transpose(0, 2, 1)
+    else:
+        for y in range(h):
+            at += 4  # the mark of a row and its width
+            for k in range(4):
+                x = 0
+                while x < w:
+                    if at + 1 >= len(body):
+                        return None
+                    n = body[at]
+                    run = n - 128 if n > 128 else n
+                    part = bytes([body[at + 1]]) * run if n > 128 else body[at + 1 : at + 1 + n]
+                    if not run or x + run > w or len(part) < run:
+                        return None
+                    rows[y, k, x : x + run] = np.frombuffer(part, np.uint8)
+                    at += 2 if n > 128 else 1 + n
+                    x += run
+    light = rows[:, :3].astype(np.float64) * np.where(rows[:, 3:] > 0, np.exp2(rows[:, 3:].astype(np.float64) - 136), 0.0)
+    seen = np.clip(np.floor(np.power(light, 1 / 2.2) * 255 + 0.5), 0, 255).astype(np.uint8)
+    return h, w, 3, np.ascontiguousarray(seen.transpose(0, 2, 1)[..., ::-1]).tobytes()
+
+
+#: Files that are read as bytes, by the ends of their names.
+_PARSERS = {r"\.(ppm|pgm|pnm)$": parse_pnm, r"\.hdr$": parse_hdr}
+
+
 def imread(spark: SparkSession, path: str, flags: int = COLOR) -> DataFrame:
     """Dense 8U arrays of the files under *path*; a file that is no image gives an empty array and no failure."""
     if flags not in (UNCHANGED, GRAYSCALE, COLOR):
         raise TensorError(f"unknown flag {flags}")
     files = spark.read.format("binaryFile").load(path)
-    pnm = files.filter(F.lower("path").rlike(r"\.(ppm|pgm|pnm)$")).select("path", "content")
-    plain = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*").filter(~F.lower("origin").rlike(r"\.(ppm|pgm|pnm)$"))
+    plain = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*").filter(~F.lower("origin").rlike("|".join(_PARSERS)))
     decoded = _elements(plain.select("origin", "height", "width", "nChannels", "data"), lambda h, w, cn, data: (h, w, cn, bytes(data)) if h and h > 0 else None)
-    return _as_flags(decoded.unionByName(_elements(pnm, parse_pnm)), flags)
+    for name, parse in _PARSERS.items():
+        decoded = decoded.unionByName(_elements(files.filter(F.lower("path").rlike(name)).select("path", "content"), parse))
+    return _as_flags(decoded, flags)
 
 
 def _as_flags(found: DataFrame, flags: int) -> DataFrame:
@@ -94,10 +135,65 @@ def encode_png(h: int, w: int, cn: int, data: bytes) -> bytes:
 def encode_bmp(h: int, w: int, cn: int, data: bytes) -> bytes:
     """A 24-bit BMP; gray is repeated and alpha dropped."""
     stride = -(-3 * w // 4) * 4
-    pixel = lambda i: data[i * cn : i * cn + 3] if cn > 2 else data[i * cn : i * cn + 1] * 3
-    rows = [b"".join(pixel(y * w + x) for x in range(w)).ljust(stride, b"\0") for y in range(h - 1, -1, -1)]
+    rows = np.zeros((h, stride), np.uint8)
+    rows[:, : 3 * w] = _three(h, w, cn, data).reshape(h, 3 * w)[::-1]
     size = 54 + stride * h
-    return b"BM" + struct.pack("<IHHI", size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, stride * h, 2835, 2835, 0, 0) + b"".join(rows)
+    return b"BM" + struct.pack("<IHHI", size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, stride * h, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+def _three(h: int, w: int, cn: int, data: bytes) -> np.ndarray:
+    """Rows, columns and three channels in BGR order; gray is repeated and alpha dropped."""
+    pixels = np.frombuffer(data, np.uint8).reshape(h, w, cn)
+    return pixels[..., :3] if cn > 2 else np.repeat(pixels[..., :1], 3, axis=2)
+
+
+def encode_jpg(h: int, w: int, cn: int, data: bytes, step: float = 2.0) -> bytes:
+    """A baseline JPEG, gray or YCbCr without subsampling; *step* is how fast quantisation grows with frequency.
+
+    Its code tables give all symbols of a kind one length, so they follow from a rule.
+    """
+    pixels = np.frombuffer(data, np.uint8).reshape(h, w, cn).astype(np.float64)
+    if cn > 2:
+        b, g, r = pixels[..., 0], pixels[..., 1], pixels[..., 2]
+        luma = 0.299 * r + 0.587 * g + 0.114 * b
+        planes = np.stack([luma - 128, (b - luma) / 1.772, (r - luma) / 1.402])
+    else:
+        planes = pixels[..., 0][None] - 128
+    planes = np.pad(planes, ((0, 0), (0, -h % 8), (0, -w % 8)), mode="edge")
+    k = np.arange(8)
+    cosines = np.sqrt(np.where(k == 0, 1, 2) / 8)[:, None] * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
+    table = np.clip(np.rint(1 + step * (k[:, None] + k)), 1, 255)
+    blocks = planes.reshape(len(planes), planes.shape[1] // 8, 8, planes.shape[2] // 8, 8).transpose(1, 3, 0, 2, 4)
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+    found = np.rint(cosines @ blocks @ cosines.T / table).astype(int).reshape(-1, len(planes), 64)[..., order]
+    found[1:, :, 0] -= found[:-1, :, 0].copy()
+    ac = [0, *(run << 4 | size for run in range(16) for size in range(1, 11)), 0xF0]
+    code = {symbol: f"{i:08b}" for i, symbol in enumerate(ac)}
+    bits = []
+
+    def amount(v: int) -> str:
+        return f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if (size := abs(v).bit_length()) else ""
+
+    for block in found.reshape(-1, 64):
+        first = int(block[0])
+        bits.append(f"{abs(first).bit_length():04b}{amount(first)}")
+        last = 0
+        for at in np.flatnonzero(block[1:]) + 1:
+            run, v = int(at) - last - 1, int(block[at])
+            bits.append(code[0xF0] * (run // 16) + code[run % 16 << 4 | abs(v).bit_length()] + amount(v))
+            last = int(at)
+        if last < 63:
+            bits.append(code[0])
+    stream = np.packbits(np.frombuffer("".join(bits).encode().ljust(-(-sum(map(len, bits)) // 8) * 8, b"1"), np.uint8) - 48).tobytes()
+    part = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
+    kinds = range(1, len(planes) + 1)
+    lengths = lambda n, symbols: bytes(len(symbols) if i == n else 0 for i in range(1, 17)) + bytes(symbols)
+    return b"".join([
+        b"\xff\xd8", part(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0"), part(0xDB, b"\0" + bytes(table.astype(np.uint8).ravel()[order])),
+        part(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([c, 0x11, 0]) for c in kinds)),
+        part(0xC4, b"\x00" + lengths(4, range(12))), part(0xC4, b"\x10" + lengths(8, ac)),
+        part(0xDA, bytes([len(planes)]) + b"".join(bytes([c, 0]) for c in kinds) + b"\0\x3f\0"), stream.replace(b"\xff", b"\xff\0"), b"\xff\xd9",
+    ])
 
 
 def _turned(cn: int, data: bytes) -> bytes:
@@ -108,7 +204,7 @@ def _turned(cn: int, data: bytes) -> bytes:
     return bytes(out)
 
 
-ENCODERS = {"png": encode_png, "bmp": encode_bmp}
+ENCODERS = {"png": encode_png, "bmp": encode_bmp, "jpg": encode_jpg}
 
 
 def encoded(arrays: DataFrame, kind: str = "png") -> DataFrame:
