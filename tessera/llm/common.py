@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -59,6 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows made on the driver as a table, by parsing them in the plan; no Python runs on the executors for it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    body = json.dumps([dict(zip(names, map(_plain, r), strict=True)) for r in rows])
+    texts = ", ".join(f"{n} string" for n in names)
+    each = spark.range(1).select(F.explode(F.from_json(F.lit(body), f"array<struct<{texts.replace(' string', ': string')}>>")).alias("r"))
+    return each.select(*[F.col(f"r.{n}").cast(c.split(" ", 1)[1]).alias(n) for n, c in zip(names, schema.split(", "), strict=True)])
+
+
+def _plain(value) -> str | None:
+    return None if value is None else str(value)
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column, a null counting as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, cut, exists, table_path, text_of
+from .common import ASCII_SPACE, cut, exists, small_table, table_path, text_of
 
 #: Hashes a bucket may hold before it is split.
 BUCKET_ENTRIES = 20_000
@@ -157,7 +157,7 @@ def insert(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     # buckets that get rows or come from a split are written anew
     stays = {b for b, n in spans.items() if b not in entered and b in before and before[b][1] << depth == n << before[b][0]}
     table = [(s, b, depth, before[b][2] if b in stays else version, owner_of[b]) for s, b in enumerate(slots)]
-    at = spark.createDataFrame(table, "slot long, bucket long, depth int, version int, owner int")
+    at = small_table(spark, table, "slot long, bucket long, depth int, version int, owner int")
 
     fresh = F.broadcast(at.filter(F.col("version") == version).select("slot", "bucket", "owner"))  # bounded by the directory
     copies = rows.join(hot, "h").groupBy("h", "body", "size").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_of
+from .common import cut, small_table, text_of
 
 EXACT = 8
 SKETCH = 1024
@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     full = sorted(r.spot for r in spots)
     above = {s: full[(k + 1) % len(full)] for k, s in enumerate(full)}
     heads = [(r.spot, r.head.id, r.head.tie, above[r.spot]) for r in spots]
-    ends = docs.sparkSession.createDataFrame(heads, f"spot long, head_id {docs.schema[id_column].dataType.simpleString()}, head_tie long, ahead long")
+    ends = small_table(docs.sparkSession, heads, f"spot long, head_id {docs.schema[id_column].dataType.simpleString()}, head_tie long, ahead long")
     # the head of each range goes before it too, and the very first one after the last
     marked = placed.join(F.broadcast(ends), "spot")  # a row a range
     is_head = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
