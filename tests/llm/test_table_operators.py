@@ -226,5 +226,5 @@ def test_pipeline_stages(spark):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     assert len(prose(3, 1)) > 0
