@@ -1,8 +1,10 @@
 """Colour conversion: 70 codes, built from their names.
 
-Channels are pivoted to columns of one row a place; formulas are integer column arithmetic
-for 8U and double for 32F.  Planar layouts are arithmetic on output places: encoding groups
-blocks of places for their mean chroma, decoding joins luma rows with chroma rows.
+Dense arrays are converted where they are, by array programs over whole images
+(:mod:`.color_blocks`), without an exchange.  Of elements, channels are pivoted to columns of one
+row a place; formulas are integer column arithmetic for 8U and double for 32F.  Planar layouts
+are arithmetic on output places: encoding groups blocks of places for their mean chroma,
+decoding joins luma rows with chroma rows.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.depths import TensorError, saturate
+from . import blocks, color_blocks
 from .arrays import KEY
 
 ORDERS = {"BGR": "bgr", "RGB": "rgb", "BGRA": "bgra", "RGBA": "rgba", "GRAY": "y"}
@@ -129,14 +132,29 @@ def _decode(px: DataFrame, target: str, layout: str) -> DataFrame:
     return _long(keyed, [made[n] for n in ORDERS[target]])
 
 
+def _program(source: str, target: str, layout: str, depth: str) -> blocks.Program:
+    """The array program of a code."""
+    if layout:
+        made, name = (color_blocks.decode, target) if source == "YUV" else (color_blocks.encode, source)
+        return made(ORDERS[name], layout, LAYOUTS[layout], layout in V_FIRST)
+    if "YUV" in (source, target):
+        return color_blocks.analog(*("yuv" if n == "YUV" else ORDERS[n] for n in (source, target)), depth)
+    return color_blocks.plain(ORDERS[source], ORDERS[target], depth)
+
+
 def cvt_color(px: DataFrame, code: str, depth: str = "8U") -> DataFrame:
-    """Elements converted by a code's name, such as ``BGR2GRAY`` or ``YUV2RGB_NV12``."""
+    """Dense arrays or elements converted by a code's name, such as ``BGR2GRAY`` or ``YUV2RGB_NV12``.
+
+    Dense arrays have to have the channels that the code reads; of elements, others are left out.
+    """
     if code not in CODES:
         raise TensorError(f"unknown colour code {code!r}")
     if depth not in ("8U", "32F") or ("_" in code and depth != "8U"):
         raise TensorError(f"{code} does not take {depth}")
     body, _, layout = code.partition("_")
     source, _, target = body.partition("2")
+    if blocks.is_dense(px):
+        return blocks.on_blocks(px, _program(source, target, layout, depth), depth)
     if layout:
         return (_decode(px, target, layout) if source == "YUV" else _encode(px, source, layout)).select(*KEY, "v")
     if "YUV" in (source, target):

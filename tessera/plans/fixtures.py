@@ -34,8 +34,9 @@ def pixels(spark: SparkSession, sf_dir: str, h: int = 8, w: int = 8, cn: int = 1
 
 
 def colour(spark: SparkSession, sf_dir: str, channels: int = 3) -> DataFrame:
-    """4x4 images of three or four channels."""
-    return pixels(spark, sf_dir, 4, 4, 4).filter(F.col("c") < channels)
+    """Dense 4x4 images of up to four channels."""
+    kept = F.filter("data", lambda v, i: i % 4 < channels)
+    return images(spark, sf_dir, 4, 4, 4).withColumns({"data": kept, "cn": F.lit(channels)})
 
 
 def operands(spark: SparkSession, sf_dir: str) -> DataFrame:

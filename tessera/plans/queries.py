@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.depths import saturate
 from ..functions.elementwise import COMPARISONS, add_weighted, binary, compare
 from ..operators import arrays, color, geometry, levels, linalg, neural, stencils
+from ..operators.blocks import is_dense
 from ..operators.tensor import Tensor
 from . import oracle as sql
 from .fixtures import bytes_of, colour, images, matrices, operands, pixels, table
@@ -31,6 +32,11 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def elements(frame: DataFrame) -> DataFrame:
+    """The elements of either form."""
+    return arrays.pixels(frame, colocate=False) if is_dense(frame) else frame
+
+
 def out(px: DataFrame) -> DataFrame:
     return px.select("img_id", "y", "x", "c", "v")
 
@@ -362,8 +368,8 @@ def _sql_plain(code: str) -> str:
     return " union all ".join(f"select '{code}' as code, img_id, y, x, {k} as c, cast({v} as int) as v from pv" for k, v in enumerate(values))
 
 
-def _tagged(spark, sf, codes: list[str], channels: Callable[[str], int]) -> DataFrame:
-    parts = [color.cvt_color(colour(spark, sf, channels(c)), c).select(F.lit(c).alias("code"), "img_id", "y", "x", "c", "v") for c in codes]
+def _tagged(spark, sf, codes: list[str], channels: Callable[[str], int], make=colour) -> DataFrame:
+    parts = [elements(color.cvt_color(make(spark, sf, channels(c)), c)).select(F.lit(c).alias("code"), "img_id", "y", "x", "c", "v") for c in codes]
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -401,10 +407,11 @@ _FLOAT_VALUE = "cast(e as double)"
 
 @register("cvt_color_32f", sql.query(sql.px(4, 4, 4, value=_FLOAT_VALUE), _PIVOT, final=" union all ".join(f"select '{code}' as code, img_id, y, x, {k} as c, round(cast(cast({v.format(y='(c0*0.114+c1*0.587+c2*0.299)')} as float) as double), 5) as v from pv" for code, values in _FLOAT_COLOUR.items() for k, v in enumerate(values))))
 def cvt_color_32f(spark, sf):
-    px = arrays.pixels(arrays.dense(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, 4, 4)).filter("c < 3")
+    three = F.filter("embedding", lambda v, i: i % 4 < 3)
+    px = arrays.dense(table(spark, sf, "embeddings"), "vec_id", three, 4, 4, 3)
     found = None
     for code in _FLOAT_COLOUR:
-        part = color.cvt_color(px, code, "32F").select(F.lit(code).alias("code"), "img_id", "y", "x", "c", F.round(F.col("v").cast("double"), 5).alias("v"))
+        part = elements(color.cvt_color(px, code, "32F")).select(F.lit(code).alias("code"), "img_id", "y", "x", "c", F.round(F.col("v").cast("double"), 5).alias("v"))
         found = part if found is None else found.union(part)
     return found
 
@@ -446,10 +453,9 @@ _DECODE = {(2, 2): (6, 4), (2, 1): (8, 4), (1, 1): (12, 4)}
 
 def _planar(spark, sf, layout: str) -> DataFrame:
     if layout in ("YUY2", "UYVY"):
-        return pixels(spark, sf, 8, 4, 2)
+        return images(spark, sf, 8, 4, 2)
     h, w = _DECODE[color.LAYOUTS[layout]]
-    data = arrays.dense(table(spark, sf, "embeddings"), "vec_id", F.slice(bytes_of(F.col("embedding")), 1, h * w), h, w)
-    return arrays.pixels(data)
+    return arrays.dense(table(spark, sf, "embeddings"), "vec_id", F.slice(bytes_of(F.col("embedding")), 1, h * w), h, w)
 
 
 def _sql_decode(code: str) -> str:
@@ -477,12 +483,25 @@ for _c in ("BGR", "RGB"):
     def _decoded(spark, sf, codes=_codes):
         found = None
         for c in codes:
-            part = color.cvt_color(_planar(spark, sf, c.split("_")[1]), c).select(F.lit(c).alias("code"), "img_id", "y", "x", "c", "v")
+            part = elements(color.cvt_color(_planar(spark, sf, c.split("_")[1]), c)).select(F.lit(c).alias("code"), "img_id", "y", "x", "c", "v")
             found = part if found is None else found.union(part)
         return found
 
     register(f"cvt_color_decode_{_c.lower()}", sql.query(f"im as (select img_id, list({sql.FIRST} order by i) as d from raw group by img_id)", final=" union all ".join(map(_sql_decode, _codes))))(_decoded)
 
+#: One code of every family by elements; the other queries of this part convert dense arrays.
+_BY_ELEMENTS = {"cvt_color_elements": (["BGR2GRAY", "BGRA2RGB", "GRAY2RGBA"], _sql_plain), "cvt_color_elements_yuv": (["BGR2YUV", "YUV2RGB"], _sql_analog), "cvt_color_elements_encode": (["BGR2YUV_NV21", "RGB2YUV_I420", "BGR2YUV_YUY2", "RGB2YUV_YV24"], _sql_encode)}
+for _name, (_codes, _made) in _BY_ELEMENTS.items():
+    register(_name, sql.query(sql.px(4, 4, 4), _PIVOT, final=" union all ".join(map(_made, _codes))))(lambda spark, sf, codes=_codes: _tagged(spark, sf, codes, lambda c: _CHANNELS[c.split("2")[0]], lambda *a: elements(colour(*a))))
+_SOME_LAYOUTS = ["YUV2BGR_NV12", "YUV2RGB_YV12", "YUV2BGR_UYVY", "YUV2RGB_NV42"]
+
+
+@register("cvt_color_elements_decode", sql.query(f"im as (select img_id, list({sql.FIRST} order by i) as d from raw group by img_id)", final=" union all ".join(map(_sql_decode, _SOME_LAYOUTS))))
+def cvt_color_elements_decode(spark, sf):
+    parts = [color.cvt_color(elements(_planar(spark, sf, c.split("_")[1])), c).select(F.lit(c).alias("code"), "img_id", "y", "x", "c", "v") for c in _SOME_LAYOUTS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 # -- stencils --------------------------------------------------------------
 
 _BOX = sql.sat(f"cast({sql.SUM} as float) * cast(1.0/9 as float)")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..functions.depths import TensorError
-from ..operators import arrays, geometry, stencils
+from ..operators import arrays, color, geometry, stencils
 
 _KNOWN: dict[str, dict[str, Callable]] = {}
 
@@ -36,7 +36,7 @@ def _by_elements(f: Callable) -> Callable:
 
 for _f in (
     stencils.box_filter, stencils.blur, stencils.gaussian_blur, stencils.filter2d, stencils.sep_filter2d, stencils.sobel, stencils.canny, stencils.erode, stencils.dilate,
-    stencils.morphology, stencils.hit_or_miss, geometry.resize, geometry.warp_affine, geometry.copy_make_border, geometry.letterbox,
+    stencils.morphology, stencils.hit_or_miss, geometry.resize, geometry.warp_affine, geometry.copy_make_border, geometry.letterbox, color.cvt_color,
 ):
     register(_f.__name__, "arrow", _f)
     register(_f.__name__, "native", _by_elements(_f))
