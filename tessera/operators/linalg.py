@@ -1,8 +1,9 @@
 """Matrix products, norms and their shapes, over ``mat_id, i, j, v`` relations.
 
-A product is a join on the inner index and a grouped sum, so Spark partitions it by
-output cell and combines map-side.  Batches ride along as keys; a side without a
+A product joins tiles on the inner tile and adds up tiles by output tile
+(:mod:`.tiles`).  Batches ride along as keys; a side without a
 batch is shared by all.  Sums are double and are rounded to 32F at the end.
+Dense one-channel arrays are matrices too, with ``img_id`` as their batch.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.depths import TensorError
+from . import tiles
+from .blocks import is_dense
 
-#: Rows that the right operand may have to be sent to every task, and parts that the left side is dealt into where it has more.
-PACKED_ROWS = 1_000_000
+#: Tiles that the right operand may have to be sent to every task (32 MB), and parts that the left side is dealt into where it has more.
+PACKED_TILES = 256
 PARTS = 32
 
 
@@ -32,35 +35,40 @@ def gemm_shape(a: tuple[int, ...], b: tuple[int, ...], trans_a: bool = False, tr
     return (*(max(x, y) for x, y in zip(lead_a, lead_b, strict=True)), m, n)
 
 
-def _side(m: DataFrame, trans: bool, inner: str, outer: str, value: str, batch: bool) -> DataFrame:
-    rows, cols = ("j", "i") if trans else ("i", "j")
-    first, second = (outer, inner) if outer == "i" else (inner, outer)
-    return m.select(*(["mat_id"] if batch else []), F.col(rows).alias(first), F.col(cols).alias(second), F.col("v").cast("double").alias(value))
+def _left(a: DataFrame, keys: list[str], trans: bool) -> DataFrame:
+    found = tiles.of_dense(a, trans) if is_dense(a) else tiles.of_elements(a, keys, trans)
+    return found.withColumnRenamed("tj", "k")
+
+
+def _right(b: DataFrame, keys: list[str], trans: bool) -> DataFrame:
+    found = tiles.of_dense(b, trans) if is_dense(b) else tiles.of_elements(b, keys, trans)
+    return found.withColumnRenamed("ti", "k")
 
 
 def pack_b(b: DataFrame, trans_b: bool = False) -> DataFrame:
-    """A right operand without a batch, ready for many products; broadcast if its rows are few, which is counted."""
-    packed = _side(b, trans_b, "k", "j", "b", False)
-    if packed.limit(PACKED_ROWS + 1).count() <= PACKED_ROWS:
+    """A right operand without a batch as tiles, ready for many products; broadcast if its tiles are few, which is counted."""
+    packed = _right(b, [], trans_b).select("k", "tj", "rows", "cols", "data")
+    if packed.limit(PACKED_TILES + 1).count() <= PACKED_TILES:
         return F.broadcast(packed)
-    # more tasks than inner indices: each part of the left side's rows meets its own copy
+    # more tasks than inner tiles: each part of the left side's tiles meets its own copy
     return packed.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(PARTS)])))
 
 
 def gemm(a: DataFrame, b: DataFrame, trans_a: bool = False, trans_b: bool = False, shared_b: bool = False, is_packed: bool = False, scales: DataFrame | None = None) -> DataFrame:
-    """``mat_id, i, j, v`` of ``a @ b``.  *scales* (``j, scale``) multiply the columns of an integer right operand."""
-    left = _side(a, trans_a, "k", "i", "a", True)
+    """``mat_id, i, j, v`` of ``a @ b``, or dense arrays of dense ones.  *scales* (``j, scale``) multiply the columns of an integer right operand."""
+    left = _left(a, ["mat_id"], trans_a)
     if shared_b and not is_packed:
         b, is_packed = pack_b(b, trans_b), True
+    met = ["k"] if is_packed else ["mat_id", "k"]
     if is_packed and "part" in b.columns:
-        left = left.withColumn("part", F.pmod(F.xxhash64("mat_id", "i"), F.lit(PARTS)).cast("int"))
-        joined = left.join(b, ["k", "part"])
-    else:
-        joined = left.join(b, "k") if is_packed else left.join(_side(b, trans_b, "k", "j", "b", True), ["mat_id", "k"])
-    out = joined.groupBy("mat_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+        left, met = left.withColumn("part", F.pmod(F.xxhash64("mat_id", "ti"), F.lit(PARTS)).cast("int")), ["k", "part"]
+    found = tiles.multiply(left, b if is_packed else _right(b, ["mat_id"], trans_b), met, {"mat_id": "mat_id"})
+    if is_dense(a) and scales is None:
+        return tiles.dense(found)
+    out = tiles.elements(found, ["mat_id"])
     if scales is not None:
-        out = out.join(scales, "j").withColumn("v", F.col("v") * F.col("scale").cast("double"))
-    return out.select("mat_id", "i", "j", F.col("v").cast("float").alias("v"))
+        out = out.join(scales, "j").withColumn("v", (F.col("v").cast("double") * F.col("scale").cast("double")).cast("float"))
+    return out.select("mat_id", "i", "j", "v")
 
 
 def gemm_batched(a: DataFrame, b: DataFrame, lead_a: tuple[int, ...], lead_b: tuple[int, ...], trans_a: bool = False, trans_b: bool = False) -> DataFrame:
@@ -72,22 +80,18 @@ def gemm_batched(a: DataFrame, b: DataFrame, lead_a: tuple[int, ...], lead_b: tu
     gemm_shape((*lead_a, 1, 1), (*lead_b, 1, 1))  # fails on axes that do not broadcast
     size = max(len(lead_a), len(lead_b))
 
-    def side(m: DataFrame, lead: tuple[int, ...], trans: bool, names: tuple[str, str, str]) -> DataFrame:
-        rows, cols = ("j", "i") if trans else ("i", "j")
-        axes = [F.col(f"n{k}").alias(f"{names[2]}{k + size - len(lead)}") for k in range(len(lead))]
-        return m.select(*axes, F.col(rows).alias(names[0]), F.col(cols).alias(names[1]), F.col("v").cast("double").alias(names[2]))
+    def side(found: DataFrame, lead: tuple[int, ...], name: str, inner: str) -> DataFrame:
+        return found.withColumnsRenamed({f"n{k}": f"{name}{k + size - len(lead)}" for k in range(len(lead))} | {"k": inner})
 
-    left, right = side(a, lead_a, trans_a, ("i", "k", "a")), side(b, lead_b, trans_b, ("k2", "j", "b"))
-    met, out = F.col("k") == F.col("k2"), []
+    left = side(_left(a, [f"n{k}" for k in range(len(lead_a))], trans_a), lead_a, "a", "k")
+    right = side(_right(b, [f"n{k}" for k in range(len(lead_b))], trans_b), lead_b, "b", "k2")
+    met, keys = [F.col("k") == F.col("k2")], {}
     for n in range(size):
         x, y = ((lead[n - size + len(lead)] if n >= size - len(lead) else 1) for lead in (lead_a, lead_b))
         if x > 1 and y > 1:
-            met = met & (F.col(f"a{n}") == F.col(f"b{n}"))
-        held = f"a{n}" if x >= y and n >= size - len(lead_a) else f"b{n}"
-        out.append(F.col(held).alias(f"n{n}"))
-    keys = [f"n{n}" for n in range(size)]
-    made = left.join(right, met).select(*out, "i", "j", (F.col("a") * F.col("b")).alias("v"))
-    return made.groupBy(*keys, "i", "j").agg(F.sum("v").cast("float").alias("v"))
+            met.append(F.col(f"a{n}") == F.col(f"b{n}"))
+        keys[f"n{n}"] = f"a{n}" if x >= y and n >= size - len(lead_a) else f"b{n}"
+    return tiles.elements(tiles.multiply(left, right, met, keys), list(keys))
 
 
 def norm(kind: str, v: Column) -> Column:

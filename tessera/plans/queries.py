@@ -12,9 +12,10 @@ from ..functions.depths import saturate
 from ..functions.elementwise import COMPARISONS, add_weighted, binary, compare
 from ..operators import arrays, color, geometry, levels, linalg, neural, stencils
 from ..operators.blocks import is_dense
+from ..operators.expressions import Expression, evaluate
 from ..operators.tensor import Tensor
 from . import oracle as sql
-from .fixtures import bytes_of, colour, images, matrices, operands, pixels, table
+from .fixtures import bytes_of, clipped_bytes_of, colour, images, matrices, operands, pixels, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +71,15 @@ def _sql_8u(op: str) -> str:
 
 @register("binary_ops_8u", sql.query(_OPERANDS, final=f"select img_id, cast(i as int) as i, {', '.join(map(_sql_8u, BINARY_8U))} from ab"))
 def binary_ops_8u(spark, sf):
-    return operands(spark, sf).select("img_id", "i", *[binary(op, F.col("a"), F.col("b"), "8U").alias(op.lower()) for op in BINARY_8U])
+    """One array program over two columns of a row; no join."""
+    e = table(spark, sf, "embeddings")
+    both = e.select(F.col("vec_id").alias("img_id"), F.lit(1).alias("h"), F.size("embedding").alias("w"), F.lit(1).alias("cn"), bytes_of(F.col("embedding")).alias("a"), clipped_bytes_of(F.col("embedding")).alias("b"))
+    a, b = Expression(both, "8U", column="a"), Expression(both, "8U", column="b")
+    found = evaluate({op.lower(): a.apply(op, b) for op in BINARY_8U}, elements=True)
+    return found.select("img_id", F.col("x").alias("i"), *[op.lower() for op in BINARY_8U])
+
+
+register("binary_ops_8u_columns", ORACLES["binary_ops_8u"])(lambda spark, sf: operands(spark, sf).select("img_id", "i", *[binary(op, F.col("a"), F.col("b"), "8U").alias(op.lower()) for op in BINARY_8U]))
 
 
 _FLOAT = {"ADD": "f+g", "SUB": "f-g", "MUL": "f*g", "DIV": "f/g", "POW": "pow(abs(f), g)", "MAX": "greatest(f,g)", "MIN": "least(f,g)", "ATAN2": "atan2(f,g)", "HYPOT": "sqrt(f*f+g*g)", "MEAN": "(f+g)*0.5"}
@@ -109,6 +118,13 @@ _SAT_EXPR = {"two_a_plus_b": "a*2+b*0.5", "minus_a_plus_b": "b-a", "a_over_b_min
 
 @register("expressions", sql.query(sql.px(), sql.px(name="py", value=sql.SECOND), "ab as (select px.img_id, px.y, px.x, px.c, px.v as a, py.v as b from px join py using (img_id, y, x, c))", final="select img_id, y, x, c, " + ", ".join(f"{sql.sat(v)} as {k}" for k, v in _SAT_EXPR.items()) + " from ab"))
 def expressions(spark, sf):
+    """Dense arrays of two frames, joined by image."""
+    a, b = Expression(images(spark, sf), "8U"), Expression(images(spark, sf, second=True), "8U")
+    return evaluate({"two_a_plus_b": a * 2 + b * 0.5, "minus_a_plus_b": -a + b, "a_over_b_minus_3": a / b - 3, "sum_times_b": (a + b) * b}, elements=True)
+
+
+@register("expressions_by_element", ORACLES["expressions"])
+def expressions_by_element(spark, sf):
     a, b = Tensor(pixels(spark, sf), "8U").together(Tensor(pixels(spark, sf, second=True), "8U"))
     made = {"two_a_plus_b": a * 2 + b * 0.5, "minus_a_plus_b": -a + b, "a_over_b_minus_3": a / b - 3, "sum_times_b": (a + b) * b}
     return a.px.select("img_id", "y", "x", "c", *[v.column.alias(k) for k, v in made.items()])
@@ -195,6 +211,21 @@ for _name, _ops in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
 
     register(f"overloads_{_name}", sql.query(sql.px(), sql.px(name="py", value=sql.SECOND), "ab as (select px.img_id, px.y, px.x, px.c, px.v as a, py.v as b from px join py using (img_id, y, x, c))", final="select img_id, y, x, c, " + ", ".join(f"{_sql_overload(_ops, p)} as {p}" for p in _PAIRS) + " from ab"))(_overloads)
 
+
+
+def _dense_terms(spark, sf) -> dict:
+    a, b = Expression(images(spark, sf), "8U"), Expression(images(spark, sf, second=True), "8U")
+    return {"m": a, "o": b, "e": a * 2, "x": b * 0.5, "s": (10, 1, 2, 3), "n": 7}
+
+
+for _name, _ops in {"add": "+", "sub": "-", "mul": "*", "div": "/"}.items():
+
+    def _dense_overloads(spark, sf, op=_ops):
+        terms = _dense_terms(spark, sf)
+        return evaluate({p: _PYTHON[op](terms[p[0]], terms[p[1]]) for p in _PAIRS}, elements=True)
+
+    register(f"overloads_dense_{_name}", ORACLES[f"overloads_{_name}"])(_dense_overloads)
+
 _COMPARED = {"eq": "==", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
 
 
@@ -206,6 +237,12 @@ def overloads_compare(spark, sf):
     return a.px.select("img_id", "y", "x", "c", *[v.column.alias(k) for k, v in made.items()])
 
 
+@register("overloads_dense_compare", ORACLES["overloads_compare"])
+def overloads_dense_compare(spark, sf):
+    terms = _dense_terms(spark, sf)
+    return evaluate({f"{k}_{p}": _PYTHON[op](terms[p[0]], terms[p[1]]) for k, op in _COMPARED.items() for p in ("mo", "ms", "sm", "mn", "nm", "em", "me")}, elements=True)
+
+
 # -- moving elements -------------------------------------------------------
 
 simple("transpose", arrays.transpose, sql.query(sql.px(4, 16), final="select img_id, x as y, y as x, c, v from px"), h=4, w=16)

@@ -62,7 +62,7 @@ def test_large_shared_operands_are_dealt_out(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x, y = rng.integers(-4, 5, (3, 4, 5)).astype(float), rng.integers(-4, 5, (5, 6)).astype(float)
     a = spark.createDataFrame([(int(n), int(i), int(j), float(v)) for (n, i, j), v in np.ndenumerate(x)], "mat_id int, i int, j int, v double")
-    for rows in (1, 1000):
-        monkeypatch.setattr(linalg, "PACKED_ROWS", rows)
+    for most in (0, 256):
+        monkeypatch.setattr(linalg, "PACKED_TILES", most)
         got = {(r.mat_id, r.i, r.j): r.v for r in linalg.gemm(a, relation(spark, y), shared_b=True).collect()}
         assert got == {at: v for at, v in np.ndenumerate((x @ y))}
