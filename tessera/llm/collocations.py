@@ -38,11 +38,11 @@ TOP = 2000
 #: Bounds of a broadcast dictionary.
 SHARED_WORDS, SHARED_BYTES = 1_000_000, 32 << 20
 #: Keys of a range, and keys that a task holds before it sorts and deals them out.
-RANGE_KEYS, HELD_KEYS = 2_000_000, 2_000_000
+RANGE_KEYS, HELD_KEYS = 2_000_000, 1_000_000
 #: Keys of the sample for each range, and the least share of documents that it is drawn from.
 SAMPLE, SAMPLE_SHARE = 64, 0.01
-#: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 400_000
+#: Distinct words of all languages that a task counts before it hands them on.
+HELD_WORDS = 300_000
 #: Bytes of a text that are split at once, and words of a segment.
 PART, SEGMENT = 1 << 20, 4096
 
@@ -86,9 +86,9 @@ def count_words(frame: DataFrame) -> DataFrame:
                 for words in _words(text.as_py()):
                     counts.update(words)
                 del counts[_BREAK]
-                if len(counts) >= HELD_WORDS:
-                    yield from out({lang: counts})
-                    counts.clear()
+                if sum(map(len, held.values())) >= HELD_WORDS:
+                    yield from out(held)
+                    held.clear()
         yield from out(held)
 
     return frame.mapInArrow(tidy(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
