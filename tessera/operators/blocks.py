@@ -21,8 +21,10 @@ from ..functions.depths import LIMITS, STORAGE
 
 #: Rows and columns of a tile.
 TILE = 256
-#: Elements that are stacked at once.
-STACK = 4_000_000
+#: Elements that are stacked at once: few enough for a processor's cache, many enough for one call.
+STACK = 400_000
+#: Longest window whose sums are made of windows of powers of two; longer ones take running sums.
+SHORT = 64
 
 
 def source_places(first: int, last: int, n: int, border: str) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +95,32 @@ class Block:
     def crop(self, y0: int, y1: int, x0: int, x1: int) -> Block:
         return Block(self.data[:, y0 - self.y0 : y1 - self.y0, x0 - self.x0 : x1 - self.x0], self.h, self.w, y0, x0)
 
+    def _taken(self, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+        """Rows *ys* and columns *xs*, most of which stand as they are: those are copied as one part."""
+        spans = []
+        for at in (ys, xs):
+            if not len(at):
+                return self.data[:, ys][:, :, xs]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]))
+            k = int(np.argmax(np.diff(cuts)))
+            spans.append((int(cuts[k]), int(cuts[k + 1])))
+        (y0, y1), (x0, x1) = spans
+        wide = np.empty((len(self.data), len(ys), len(xs), self.data.shape[3]), self.data.dtype)
+        own = slice(ys[y0], ys[y1 - 1] + 1)
+        wide[:, y0:y1, x0:x1] = self.data[:, own, xs[x0] : xs[x1 - 1] + 1]
+        wide[:, y0:y1, :x0] = self.data[:, own][:, :, xs[:x0]]
+        wide[:, y0:y1, x1:] = self.data[:, own][:, :, xs[x1:]]
+        for rows in (slice(0, y0), slice(y1, len(ys))):
+            wide[:, rows] = self.data[:, ys[rows]][:, :, xs]
+        return wide
+
     def around(self, top: int, bottom: int, left: int, right: int, border: str, constant: float = 0) -> tuple[Block, np.ndarray, np.ndarray | None]:
         """The part whose margins are known, as a frame to fill; its elements with the margins; and a mask of those that exist, if not all do."""
         y0, y1 = self.y0 + (top if self.y0 else 0), self.y1 - (bottom if self.y1 < self.h else 0)
         x0, x1 = self.x0 + (left if self.x0 else 0), self.x1 - (right if self.x1 < self.w else 0)
         ys, in_y = source_places(y0 - top, y1 + bottom, self.h, border)
         xs, in_x = source_places(x0 - left, x1 + right, self.w, border)
-        wide = self.data[:, ys - self.y0][:, :, xs - self.x0]
+        wide = self._taken(ys - self.y0, xs - self.x0)
         mask = None
         if not (in_y.all() and in_x.all()):
             mask = (in_y[:, None] & in_x)[None, :, :, None]
@@ -134,9 +155,9 @@ def weighted(block: Block, taps: list[tuple[int, int, float]], border: str) -> B
     frame, wide, _ = block.around(*margins, border)
     if wide.dtype.kind in "iu" and all(t[2] == 1 for t in taps) and len(taps) == (1 + margins[0] + margins[1]) * (1 + margins[2] + margins[3]):
         # a full window of integers: columns, then rows, exact in any order
-        wide = wide.astype(np.int32)
-        across = sum(wide[:, :, k : k + frame.data.shape[2]] for k in range(1 + margins[2] + margins[3]))
-        return frame.like(sum(across[:, k : k + frame.data.shape[1]] for k in range(1 + margins[0] + margins[1])))
+        width, height = 1 + margins[2] + margins[3], 1 + margins[0] + margins[1]
+        most = 255 if wide.dtype == np.uint8 else None
+        return frame.like(window_sums(window_sums(wide, width, 2, most), height, 1, most and most * width))
     shape = (len(wide), *frame.data.shape[1:3], wide.shape[3])
     if wide.dtype.kind in "iu" and (wide.dtype.itemsize <= 2 or narrow(wide)):
         if all(float(t[2]).is_integer() and abs(t[2]) < 1 << 15 for t in taps) and sum(abs(t[2]) for t in taps) < 1 << 15:
@@ -153,6 +174,72 @@ def weighted(block: Block, taps: list[tuple[int, int, float]], border: str) -> B
     return frame.like(acc)
 
 
+def _part(v: np.ndarray, axis: int, first: int, last: int | None) -> np.ndarray:
+    return v[(slice(None),) * axis + (slice(first, last),)]
+
+
+def window_sums(v: np.ndarray, size: int, axis: int, most: int | None = None) -> np.ndarray:
+    """Sums of *size* consecutive integers along an axis, in 32 bits, or in 16 where *most*, the greatest element, allows.
+
+    Windows up to ``SHORT`` are made of windows of powers of two, longer ones are differences of
+    running sums, at the same cost whatever their length.  Running sums may wrap; their differences
+    are exact as long as a window's sum fits.
+    """
+    count = v.shape[axis] - size + 1
+    kind = np.uint16 if most is not None and v.min(initial=0) >= 0 and most * size < 1 << 16 else np.int32
+    if size > SHORT:
+        running = np.cumsum(v, axis=axis, dtype=np.int32)
+        out = _part(running, axis, size - 1, None).copy()
+        _part(out, axis, 1, None)[...] -= _part(running, axis, 0, count - 1)
+        return out
+    power, at, left, out = v.astype(kind), 0, size, None
+    length = 1
+    while left:
+        if left & 1:
+            part = _part(power, axis, at, at + count)
+            out = part.copy() if out is None else np.add(out, part, out=out)
+            at += length
+        left >>= 1
+        if left:
+            power = _part(power, axis, 0, power.shape[axis] - length) + _part(power, axis, length, None)
+            length *= 2
+    return out
+
+
+def window_extremes(v: np.ndarray, size: int, axis: int, best: np.ufunc) -> np.ndarray:
+    """Least or greatest of *size* consecutive elements along an axis.
+
+    Extremes over windows of powers of two are made of two halves, and a window of two of them that may overlap.
+    """
+    reach_, out = 1, v
+    while 2 * reach_ <= size:
+        out = best(_part(out, axis, 0, out.shape[axis] - reach_), _part(out, axis, reach_, None))
+        reach_ *= 2
+    if reach_ < size:
+        out = best(_part(out, axis, 0, out.shape[axis] - (size - reach_)), _part(out, axis, size - reach_, None))
+    return out
+
+
+def single_sums(wide: np.ndarray, weights: list[tuple[int, float]], axis: int, count: int) -> np.ndarray:
+    """Weighted sums along an axis in 32F; taps with equal weights are added up first."""
+    by: dict[float, list[int]] = {}
+    for k, weight in weights:
+        if weight:
+            by.setdefault(weight, []).append(k)
+    total = None
+    for weight, places in by.items():
+        part = _part(wide, axis, places[0], places[0] + count)
+        if len(places) > 1:
+            part = part + _part(wide, axis, places[1], places[1] + count)
+            for k in places[2:]:
+                part += _part(wide, axis, k, k + count)
+            part *= np.float32(weight)
+        else:
+            part = part * np.float32(weight)
+        total = part if total is None else np.add(total, part, out=total)
+    return total
+
+
 def together(a: Block, b: Block) -> tuple[Block, Block]:
     """The part that both blocks have."""
     span = max(a.y0, b.y0), min(a.y1, b.y1), max(a.x0, b.x0), min(a.x1, b.x1)

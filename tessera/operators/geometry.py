@@ -1,7 +1,8 @@
 """Borders, resizing and affine warping, over dense arrays or over elements.
 
-Every operator computes the source places of an output grid and fetches whole rows and columns, or
-corners, from the image (:mod:`.blocks`).  Dense arrays are not shuffled; elements meet by image in one exchange.
+Every operator computes the source places of a part of its output grid and fetches whole rows and columns, or
+corners (:mod:`.blocks`).  Dense arrays are not shuffled; of elements, each output tile gets the parts of source
+tiles that it reads (:mod:`.footprints`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from ..functions.borders import MODES
 from ..functions.depths import TensorError, lanes
-from .blocks import Block, folded, on_blocks, rounded, saturated, source_places
+from .blocks import Block, folded, rounded, saturated, source_places
+from .footprints import Mapping, Rectangle, folded_span, on_frame, span
 
 
 def copy_make_border(px: DataFrame, top: int, bottom: int, left: int, right: int, border: str, depth: str, value=0, channels: int = 1) -> DataFrame:
@@ -22,15 +24,17 @@ def copy_make_border(px: DataFrame, top: int, bottom: int, left: int, right: int
         raise TensorError("borders have widths from 0 and a known kind")
     full = [*value, 0, 0, 0, 0][:4] if not isinstance(value, (int, float)) else [value] * 4
 
-    def program(block: Block) -> Block:
+    def reads(h: int, w: int, part: Rectangle) -> Rectangle:
+        return (*folded_span(part[0] - top, part[1] - 1 - top, h, border), *folded_span(part[2] - left, part[3] - 1 - left, w, border))
+
+    def make(block: Block, part: Rectangle) -> np.ndarray:
         per = saturated(np.array([float(full[min(c, 3)]) for c in range(block.data.shape[3])]), depth)
-        ys, in_y = source_places(-top, block.h + bottom, block.h, border)
-        xs, in_x = source_places(-left, block.w + right, block.w, border)
-        wide = block.data[:, ys][:, :, xs]
-        made = np.where((in_y[:, None] & in_x)[None, :, :, None], wide, per.astype(wide.dtype))
-        return Block(made, *made.shape[1:3])
+        ys, in_y = source_places(part[0] - top, part[1] - top, block.h, border)
+        xs, in_x = source_places(part[2] - left, part[3] - left, block.w, border)
+        wide = block.data[:, ys - block.y0][:, :, xs - block.x0]  # constants are taken from the nearest place, which is read too
+        return np.where((in_y[:, None] & in_x)[None, :, :, None], wide, per.astype(wide.dtype))
 
-    return on_blocks(px, program, depth)
+    return on_frame(px, Mapping(lambda h, w: (h + top + bottom, w + left + right), reads, make), depth)
 
 
 def target_size(h: int, w: int, dsize: tuple[int, int] | None = None, fx: float = 0.0, fy: float = 0.0) -> tuple[int, int]:
@@ -51,10 +55,10 @@ def _exact(p: np.ndarray, n: int, m: int) -> np.ndarray:
     return np.clip((step * p + step // 2 - n % 2) >> 16, 0, n - 1)
 
 
-def _axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two source places and the weight of the second for each of *m* places, in 32F."""
+def _axis(n: int, m: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two source places and the weight of the second for some of *m* places, in 32F."""
     half = np.float32(0.5)
-    at = (np.arange(m).astype(np.float32) + half) * np.float32(n / m) - half
+    at = (places.astype(np.float32) + half) * np.float32(n / m) - half
     low = np.clip(np.floor(at).astype(np.int64), 0, n - 1)
     return low, np.minimum(low + 1, n - 1), at - low.astype(np.float32)
 
@@ -65,20 +69,33 @@ def resize(px: DataFrame, depth: str, dsize: tuple[int, int] | None = None, fx:
         raise TensorError(f"unknown interpolation {interpolation!r}")
     target_size(1, 1, dsize, fx, fy)  # fails on bad sizes
 
-    def program(block: Block) -> Block:
-        h, w = block.h, block.w
-        mh, mw = target_size(h, w, dsize, fx, fy)
+    place = _ratio if interpolation == "NEAREST" else _exact
+    size = lambda h, w: target_size(h, w, dsize, fx, fy)
+
+    def reads(h: int, w: int, part: Rectangle) -> Rectangle:
+        out = []
+        for n, m, first, end in zip((h, w), size(h, w), part[::2], part[1::2], strict=True):
+            ends = np.array([first, end - 1])
+            if interpolation != "LINEAR":
+                out += span(place(ends, n, m))
+            else:
+                low, high, _ = _axis(n, m, ends)
+                out += (int(low[0]), int(high[1]) + 1)
+        return tuple(out)
+
+    def make(block: Block, part: Rectangle) -> np.ndarray:
+        (h, w), (mh, mw) = (block.h, block.w), size(block.h, block.w)
+        rows, cols = np.arange(part[0], part[1]), np.arange(part[2], part[3])
         if interpolation != "LINEAR":
-            place = _ratio if interpolation == "NEAREST" else _exact
-            return Block(block.data[:, place(np.arange(mh), h, mh)][:, :, place(np.arange(mw), w, mw)], mh, mw)
-        (y0, y1, wy), (x0, x1, wx) = _axis(h, mh), _axis(w, mw)
+            return block.data[:, place(rows, h, mh) - block.y0][:, :, place(cols, w, mw) - block.x0]
+        (y0, y1, wy), (x0, x1, wx) = _axis(h, mh, rows), _axis(w, mw, cols)
         mix = lambda a, b, t: a + (b - a) * t
         data = block.data.astype(np.float32)
-        upper, lower = data[:, y0], data[:, y1]
-        across = lambda rows: mix(rows[:, :, x0], rows[:, :, x1], wx[None, None, :, None])
-        return Block(saturated(mix(across(upper), across(lower), wy[None, :, None, None]), depth), mh, mw)
+        upper, lower = data[:, y0 - block.y0], data[:, y1 - block.y0]
+        across = lambda held: mix(held[:, :, x0 - block.x0], held[:, :, x1 - block.x0], wx[None, None, :, None])
+        return saturated(mix(across(upper), across(lower), wy[None, :, None, None]), depth)
 
-    return on_blocks(px, program, depth)
+    return on_frame(px, Mapping(size, reads, make), depth)
 
 
 def inverse(m: list[list[float]]) -> list[list[float]]:
@@ -98,26 +115,37 @@ def warp_affine(px: DataFrame, matrix: list[list[float]], depth: str, dsize: tup
         raise TensorError(f"unknown border {border!r}")
     (a, b, c), (d, e, f) = matrix if inverse_map else inverse(matrix)
 
-    def program(block: Block) -> Block:
-        mh, mw = (dsize[1], dsize[0]) if dsize and min(dsize) > 0 else (block.h, block.w)
+    def size(h: int, w: int) -> tuple[int, int]:
+        return (dsize[1], dsize[0]) if dsize and min(dsize) > 0 else (h, w)
+
+    def sources(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x * float(a) + y * float(b) + float(c), x * float(d) + y * float(e) + float(f)
+
+    def reads(h: int, w: int, part: Rectangle) -> Rectangle:
+        """From the four corners; rounding is monotonous, and one place more on each side is read."""
+        ux, uy = sources(np.array([part[2], part[3] - 1, part[2], part[3] - 1], np.float64), np.array([part[0], part[0], part[1] - 1, part[1] - 1], np.float64))
+        far = 1 << 40
+        ends = lambda u, n: folded_span(int(np.clip(np.floor(u.min()), -far, far)) - 1, int(np.clip(np.floor(u.max()), -far, far)) + 2, n, border)
+        return (*ends(uy, h), *ends(ux, w))
+
+    def make(block: Block, part: Rectangle) -> np.ndarray:
         cn = block.data.shape[3]
         outside = saturated(np.array((lanes(value, min(cn, max(channels, 1)), depth) * cn)[:cn], np.float64), depth)
-        x, y = np.arange(mw, dtype=np.float64)[None, :], np.arange(mh, dtype=np.float64)[:, None]
-        ux, uy = x * float(a) + y * float(b) + float(c), x * float(d) + y * float(e) + float(f)
+        ux, uy = sources(np.arange(part[2], part[3], dtype=np.float64)[None, :], np.arange(part[0], part[1], dtype=np.float64)[:, None])
 
         def fetched(py: np.ndarray, px_: np.ndarray, kind) -> np.ndarray:
             (ys, in_y), (xs, in_x) = folded(py, block.h, border), folded(px_, block.w, border)
-            return np.where((in_y & in_x)[None, :, :, None], block.data[:, ys, xs], outside).astype(kind)
+            return np.where((in_y & in_x)[None, :, :, None], block.data[:, ys - block.y0, xs - block.x0], outside).astype(kind)
 
         if interpolation == "NEAREST":
-            return Block(fetched(np.floor(uy + 0.5).astype(np.int64), np.floor(ux + 0.5).astype(np.int64), block.data.dtype), mh, mw)
+            return fetched(np.floor(uy + 0.5).astype(np.int64), np.floor(ux + 0.5).astype(np.int64), block.data.dtype)
         bx, by = np.floor(ux).astype(np.int64), np.floor(uy).astype(np.int64)
         wx, wy = (ux - bx)[None, :, :, None], (uy - by)[None, :, :, None]
         p = [fetched(by + j, bx + i, np.float64) for j in (0, 1) for i in (0, 1)]
         upper, lower = p[0] + (p[1] - p[0]) * wx, p[2] + (p[3] - p[2]) * wx
-        return Block(saturated(upper + (lower - upper) * wy, depth), mh, mw)
+        return saturated(upper + (lower - upper) * wy, depth)
 
-    return on_blocks(px, program, depth)
+    return on_frame(px, Mapping(size, reads, make), depth)
 
 
 def letterbox(px: DataFrame, depth: str, h: int, w: int, size: tuple[int, int], channels: int = 1, value=0) -> DataFrame:

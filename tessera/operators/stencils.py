@@ -47,13 +47,31 @@ def _weighted(px: DataFrame, taps: Taps, depth: str, border: str, finish) -> Dat
     return blocks.on_blocks(px, program, depth, max(reach(taps)))
 
 
+#: Sums of a window that are looked up in a table of means, at most.
+MEANS = 1 << 20
+
+
 def box_filter(px: DataFrame, ksize: tuple[int, int], depth: str, anchor: tuple[int, int] = (-1, -1), normalize: bool = True, border: str = DEFAULT) -> DataFrame:
-    """Sum or mean over a window of (width, height); the mean divides by the full area at borders too, in 32F for 8U."""
+    """Sum or mean over a window of (width, height); the mean divides by the full area at borders too, in 32F for 8U.
+
+    Windows of integers are running sums, so the cost does not grow with the window; means of bytes come from a table of all sums.
+    """
     kw, kh = ksize
     if kw <= 0 or kh <= 0:
         raise TensorError("box_filter takes positive sizes")
-    area = np.float32(1.0 / (kw * kh))
-    return _weighted(px, taps_of([[1.0] * kw] * kh, anchor), depth, border, lambda acc: acc.astype(np.float32) * area if normalize else acc)
+    check_filter(border)
+    area, taps = np.float32(1.0 / (kw * kh)), taps_of([[1.0] * kw] * kh, anchor)
+    finish, known = (lambda acc: acc.astype(np.float32) * area) if normalize else (lambda acc: acc), []
+
+    def program(block: Block) -> Block:
+        acc = weighted(block, taps, border)
+        if block.data.dtype == np.uint8 and depth == "8U" and 255 * kw * kh < MEANS:
+            if not known:
+                known.append(saturated(finish(np.arange(255 * kw * kh + 1)), depth).astype(np.uint8))
+            return acc.like(known[0][acc.data])
+        return acc.like(saturated(finish(acc.data), depth))
+
+    return blocks.on_blocks(px, program, depth, max(reach(taps)))
 
 
 def blur(px: DataFrame, ksize: tuple[int, int], depth: str, anchor: tuple[int, int] = (-1, -1), border: str = DEFAULT) -> DataFrame:
@@ -94,6 +112,10 @@ def sep_filter2d(px: DataFrame, kernel_x: list[float], kernel_y: list[float], de
     across, down = taps_of([kernel_x], (anchor[0], -1)), taps_of([[k] for k in kernel_y], (-1, anchor[1]))
 
     def program(block: Block) -> Block:
+        if depth == "8U" and block.data.dtype.kind in "iu" and block.data.size:
+            made = _rounded_sums(block, across, down, border, delta)
+            if made is not None:
+                return made
         rows = weighted(block, across, border)
         acc = weighted(rows.like(rows.data.astype(np.float32)), down, border)
         return acc.like(saturated(acc.data + delta, depth))
@@ -101,6 +123,55 @@ def sep_filter2d(px: DataFrame, kernel_x: list[float], kernel_y: list[float], de
     return blocks.on_blocks(px, program, depth, max(reach(across)) + max(reach(down)))
 
 
+#: Elements that are worked on at once, for a processor's nearest cache.
+STRIP = 80_000
+#: Share of places that are summed again in double; where more are in doubt, all are.
+DOUBTFUL = 0.05
+
+
+def _rounded_sums(block: Block, across: Taps, down: Taps, border: str, delta: float) -> Block | None:
+    """Both passes in 32F with a bound of their error, and in double for the places whose rounding that leaves in doubt.
+
+    The result is that of passes in double; nothing, if too many places are in doubt.
+    """
+    margins = (*reach(down)[:2], *reach(across)[2:])
+    frame, wide, _ = block.around(*margins, border)
+    rows, cols = frame.data.shape[1:3]
+    most = float(max(abs(int(wide.min())), abs(int(wide.max()))))
+    size = sum(abs(t[2]) for t in across) * sum(abs(t[2]) for t in down)
+    # each product, sum and rounding to 32F, and those between the passes, adds half a unit at most
+    doubt = (len(across) + len(down) + 4) * 2.0**-23 * (most * size + abs(delta))
+    if most >= 1 << 24 or doubt > 0.2 or not (any(t[2] for t in across) and any(t[2] for t in down)):
+        return None
+    out = np.empty((len(wide), rows, cols, wide.shape[3]), np.uint8 if block.data.dtype == np.uint8 else np.int32)
+    step, open_places = max(1, STRIP // max(1, len(wide) * cols * wide.shape[3])), 0
+    right, below = [(dx + margins[2], w) for _, dx, w in across], [(dy + margins[0], w) for dy, _, w in down]
+    for y0 in range(0, rows, step):
+        part = wide[:, y0 : min(rows, y0 + step) + margins[0] + margins[1]]
+        held = part.shape[1] - margins[0] - margins[1]
+        sums = blocks.single_sums(blocks.single_sums(part.astype(np.float32), right, 2, cols), below, 1, held)
+        sums += np.float32(delta + 0.5)
+        whole = np.floor(sums)
+        sums -= whole
+        np.clip(whole, 0, 255, out=whole)
+        out[:, y0 : y0 + held] = whole
+        sums -= np.float32(0.5)
+        unsure = np.flatnonzero(np.abs(sums, out=sums) > 0.5 - doubt)
+        open_places += len(unsure)
+        if open_places > DOUBTFUL * out.size:
+            return None
+        if len(unsure):
+            n, y, x, c = np.unravel_index(unsure, sums.shape)
+            total = np.zeros(len(n))
+            for dy, weight in below:
+                row = np.zeros(len(n))
+                for dx, factor in right:
+                    row += factor * part[n, y + dy, x + dx, c].astype(np.float64)
+                total += weight * row.astype(np.float32).astype(np.float64)
+            out[n, y + y0, x, c] = saturated(total + delta, "8U")
+    return frame.like(out)
+
+
 def gaussian_blur(px: DataFrame, ksize: tuple[int, int], sigma_x: float, depth: str, sigma_y: float = 0.0, border: str = DEFAULT) -> DataFrame:
     """Gaussian smoothing in two passes."""
     (kx, sx), (ky, sy) = gaussian_sizes(ksize, sigma_x, sigma_y)
@@ -138,17 +209,47 @@ def structure(kernel: list[list[int]] | None, anchor: tuple[int, int] = (-1, -1)
     return taps
 
 
+def _runs(taps: Taps) -> dict[tuple[int, int], list[int]]:
+    """The element's horizontal runs, as first place and length, and the rows that have each."""
+    found: dict[tuple[int, int], list[int]] = {}
+    by_row: dict[int, list[int]] = {}
+    for dy, dx, _ in taps:
+        by_row.setdefault(dy, []).append(dx)
+    for dy, places in by_row.items():
+        places = sorted(set(places))
+        first = places[0]
+        for a, b in zip(places, [*places[1:], None], strict=True):
+            if b != a + 1:
+                found.setdefault((first, a - first + 1), []).append(dy)
+                first = b
+    return found
+
+
 def _extreme(block: Block, taps: Taps, border: str, value: float, least: bool) -> Block:
+    """Extremes by rows of the element: each run is a window along the row, and runs that stand in consecutive rows a window of those."""
     margins = reach(taps)
     frame, wide, _ = block.around(*margins, border, saturated(np.array([float(value)]), "8U")[0])
-    best = np.minimum if least else np.maximum
+    best, (rows, cols) = np.minimum if least else np.maximum, frame.data.shape[1:3]
     out = None
-    for dy, dx, _weight in taps:
-        part = shifted(frame, wide, margins, dy, dx)
-        out = part.copy() if out is None else best(out, part, out=out)
+    for (first, length), at in _runs(taps).items():
+        across = blocks.window_extremes(wide, length, 2, best)[:, :, margins[2] + first : margins[2] + first + cols]
+        for down, height in _spans(at):
+            part = blocks.window_extremes(across[:, margins[0] + down : margins[0] + down + rows + height - 1], height, 1, best)
+            out = part if out is None else best(out, part)
     return frame.like(out)
 
 
+def _spans(rows: list[int]) -> list[tuple[int, int]]:
+    """Consecutive numbers as their first and how many."""
+    out: list[tuple[int, int]] = []
+    for r in sorted(rows):
+        if out and r == sum(out[-1]):
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((r, 1))
+    return out
+
+
 def _repeated(kernel, anchor, iterations: int, border: str, value: float, least: bool) -> Program:
     if iterations <= 0:
         raise TensorError("iterations are positive")
@@ -179,7 +280,7 @@ def dilate(px: DataFrame, kernel=None, anchor: tuple[int, int] = (-1, -1), itera
 
 def _minus(a: Block, b: Block) -> Block:
     a, b = together(a, b)
-    return a.like(np.maximum(a.data.astype(np.int64) - b.data, 0))
+    return a.like(np.maximum(a.data.astype(np.int32 if a.data.dtype == np.uint8 else np.int64) - b.data, 0))
 
 
 def morphology(px: DataFrame, op: str, kernel=None, anchor: tuple[int, int] = (-1, -1), iterations: int = 1, border: str = "CONSTANT", value: float = 0) -> DataFrame:

@@ -19,6 +19,12 @@ OPERATORS = {
     "tophat": lambda p: stencils.morphology(p, "TOPHAT", [[1, 1, 1]]),
     "hitmiss": lambda p: stencils.morphology(p, "HITMISS", [[0, 1, 0], [-1, 1, 1]]),
     "resize": lambda p: geometry.resize(p, "8U", (5, 17)),
+    "shrink": lambda p: geometry.resize(p, "8U", fx=0.4, fy=0.7, interpolation="NEAREST_EXACT"),
+    "border": lambda p: geometry.copy_make_border(p, 5, 3, 9, 2, "REFLECT_101", "8U"),
+    "border_constant": lambda p: geometry.copy_make_border(p, 9, 9, 0, 6, "CONSTANT", "8U", (1, 2, 3, 4)),
+    "turned": lambda p: geometry.warp_affine(p, [[0.0, 1.0, 0.0], [-1.0, 0.0, 9.0]], "8U", dsize=(13, 6), interpolation="NEAREST", value=7),
+    "far": lambda p: geometry.warp_affine(p, [[1.0, 0.0, 400.0], [0.0, 1.0, -300.0]], "8U", border="CONSTANT", value=9),
+    "reflected": lambda p: geometry.warp_affine(p, [[3.0, 0.5, -20.0], [-0.5, 2.0, 7.0]], "8U", inverse_map=True, border="REFLECT"),
     "warp": lambda p: geometry.warp_affine(p, [[0.75, 0.25, 1.5], [-0.25, 0.875, 2.25]], "8U", inverse_map=True, border="WRAP"),
 }
 
@@ -53,10 +59,10 @@ def test_bytes_stay_bytes(spark):
 def test_plans(spark):
     dense = images(spark, [(8, 6, 3)])
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    for f in OPERATORS.values():
+    for name, f in OPERATORS.items():
         assert plan(f(dense)).count("Exchange") == 0
-        assert plan(f(arrays.pixels(dense, colocate=False))).count("Exchange hashpartitioning") == 1
-        assert plan(f(arrays.pixels(dense))).count("Exchange hashpartitioning") == 1
+        footprints = name in ("resize", "shrink", "border", "border_constant", "turned", "far", "reflected", "warp")  # source tiles, then what output tiles read of them
+        assert plan(f(arrays.pixels(dense, colocate=False))).count("Exchange hashpartitioning") == 1 + footprints
 
 
 def test_long_and_winding_edges(spark):
