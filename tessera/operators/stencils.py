@@ -11,12 +11,12 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.borders import DEFAULT, check_filter
 from ..functions.depths import TensorError
 from . import blocks
 from .blocks import Block, Program, reach, saturated, shifted, together, weighted
+from .edges import across_tiles, components
 
 Taps = list[tuple[int, int, float]]
 
@@ -323,52 +323,45 @@ def hit_or_miss(px: DataFrame, kernel: list[list[int]], anchor: tuple[int, int]
 
 def strength(gx: np.ndarray, gy: np.ndarray, l2: bool = False) -> np.ndarray:
     """The magnitude of derivatives."""
+    if not l2 and gx.dtype.kind == "i":
+        return (np.abs(gx) + np.abs(gy)).astype(np.float32)
     x, y = gx.astype(np.float64), gy.astype(np.float64)
     return (np.sqrt(x * x + y * y) if l2 else np.abs(x) + np.abs(y)).astype(np.float32)
 
 
+#: Steps ahead along a gradient, by sector: across, down, up, and straight down.
+_AHEAD = ((0, 1), (1, 1), (-1, 1), (1, 0))
+
+
 def thinned(gx: np.ndarray, gy: np.ndarray, m: np.ndarray, low: float) -> np.ndarray:
-    """Where the magnitude is above *low* and no neighbour along the gradient exceeds it; ties count for the left and upper one of two."""
-    x, y = gx.astype(np.float64), gy.astype(np.float64)
+    """Where the magnitude is above *low* and no neighbour along the gradient exceeds it; ties count for the left and upper one of two.
+
+    Only elements above *low* are looked at.
+    """
+    at = np.flatnonzero(m > np.float32(low))
+    x, y = gx.ravel()[at].astype(np.float64), gy.ravel()[at].astype(np.float64)
     tg = np.where(x != 0, y / np.where(x == 0, 1.0, x), np.where(y >= 0, 1e308, -1e308))
     t1, t3 = math.tan(math.pi / 8), math.tan(3 * math.pi / 8)
-    sectors = [np.abs(tg) < t1, (tg >= t1) & (tg <= t3), (tg >= -t3) & (tg <= -t1)]
+    size = np.abs(tg)
+    sector = np.where(size < t1, 0, np.where(size > t3, 3, np.where(tg > 0, 1, 2)))
+    # places in images with a margin of one, where strengths are 0
     wide = np.pad(m, ((0, 0), (1, 1), (1, 1)))
     rows, cols = m.shape[1:]
-    at = lambda dy, dx: wide[:, 1 + dy : 1 + dy + rows, 1 + dx : 1 + dx + cols]
-    steps = [(0, 1), (1, 1), (-1, 1), (1, 0)]
-    ahead = np.select(sectors, [at(*s) for s in steps[:3]], at(*steps[3]))
-    behind = np.select(sectors, [at(-dy, -dx) for dy, dx in steps[:3]], at(-1, 0))
-    straight = np.select(sectors, [True, False, False], True)
-    return (m > np.float32(low)) & ((m > ahead) | ((m == ahead) & straight)) & (m > behind)
+    line, column = np.divmod(at, cols)
+    image, line = np.divmod(line, rows)
+    place = (image * (rows + 2) + line + 1) * (cols + 2) + column + 1
+    step = np.array([dy * (cols + 2) + dx for dy, dx in _AHEAD])[sector]
+    flat, here = wide.ravel(), m.ravel()[at]
+    ahead, behind = flat[place + step], flat[place - step]
+    straight = (sector == 0) | (sector == 3)
+    out = np.zeros(m.shape, bool)
+    out.ravel()[at] = ((here > ahead) | ((here == ahead) & straight)) & (here > behind)
+    return out
 
 
 def reached(open_: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The elements of *open_* that are connected, over eight neighbours, to one of *seeds*.
-
-    Each takes the least number among its neighbours' until all of a component have one; numbers are
-    followed to their ends in each round, so rounds go with the logarithm of the longest path.
-    """
-    number = np.full(open_.shape, -1, np.int64)
-    places = np.flatnonzero(open_)
-    number.ravel()[places] = np.arange(len(places))
-    links = []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        a = number[:, : number.shape[1] - dy, max(0, -dx) : number.shape[2] - max(0, dx)]
-        b = number[:, dy:, max(0, dx) : number.shape[2] - max(0, -dx)]
-        both = (a >= 0) & (b >= 0)
-        links.append(np.stack([a[both], b[both]]))
-    a, b = np.concatenate(links, axis=1)
-    root = np.arange(len(places))
-    while len(a):
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        if not apart.any():
-            break
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root = root[root]
+    """The elements of *open_* that are connected, over eight neighbours, to one of *seeds*."""
+    places, root = components(open_)
     good = np.zeros(len(places), bool)
     good[root[seeds.ravel()[places]]] = True
     out = np.zeros(open_.shape, bool)
@@ -383,30 +376,30 @@ def _edges(gx: np.ndarray, gy: np.ndarray, low: float, high: float, l2: bool) ->
 
 
 def canny(px: DataFrame, threshold1: float, threshold2: float, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """Edges (255) of one-channel 8U images.  An edge may run through a whole image, so an image is one task's."""
+    """Edges (255) of one-channel 8U images.  Elements are worked on tile by tile, and edges followed across tiles (:mod:`.edges`)."""
     low, high = sorted((threshold1, threshold2))
     taps = [taps_of(sobel_kernel(1 - k, k, aperture)) for k in (0, 1)]
 
+    def derivatives(block: Block) -> list[Block]:
+        return [b.like(saturated(b.data, "16S")) for b in (weighted(block, t, "REPLICATE") for t in taps)]
+
     def program(block: Block) -> Block:
-        gx, gy = (saturated(weighted(block, t, "REPLICATE").data[..., 0], "16S") for t in taps)
+        gx, gy = (b.data[..., 0] for b in derivatives(block))
         return block.like(_edges(gx, gy, low, high, l2)[..., None])
 
-    return blocks.on_blocks(px, program, "8U")
+    if blocks.is_dense(px):
+        return blocks.on_blocks(px, program, "8U")
+    return across_tiles(px, aperture // 2 + 1, ["v"], lambda held: _detected(*together(*derivatives(held[0])), low, high, l2))
 
 
-def canny_derivatives(derivatives: DataFrame, threshold1: float, threshold2: float, l2: bool = False) -> DataFrame:
-    """Edges from given 16S derivatives ``gx`` and ``gy`` of each element."""
-    import pyarrow as pa
+def _detected(gx: Block, gy: Block, low: float, high: float, l2: bool) -> tuple[Block, Block]:
+    """Edge elements of a tile and its margin, and the strong ones."""
+    m = strength(gx.data[..., 0], gy.data[..., 0], l2)
+    thin = thinned(gx.data[..., 0], gy.data[..., 0], m, low)
+    return gx.like(thin[..., None]), gx.like((thin & (m > np.float32(high)))[..., None])
 
-    low, high = sorted((threshold1, threshold2))
 
-    def run(batches):
-        for batch in batches:
-            for k, (gx, gy), _ in blocks.tile_blocks(batch, None, ["gx", "gy"]):
-                edges = _edges(gx.data[..., 0], gy.data[..., 0], low, high, l2)[0]
-                y, x = (p.ravel().astype(np.int32) for p in np.indices(edges.shape))
-                ids, zero = np.full(len(y), batch.column(0)[k].as_py()), np.zeros(len(y), np.int32)
-                sizes = [pa.array(np.full(len(y), v, np.int32)) for v in edges.shape]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *sizes, pa.array(y), pa.array(x), pa.array(zero), pa.array(edges.ravel())], ["img_id", "h", "w", "y", "x", "c", "v"])
-
-    return blocks.tiles(derivatives, None, ["gx", "gy"]).mapInArrow(run, "img_id bigint, h int, w int, y int, x int, c int, v int")
+def canny_derivatives(derivatives: DataFrame, threshold1: float, threshold2: float, l2: bool = False) -> DataFrame:
+    """Edges from given 16S derivatives ``gx`` and ``gy`` of each element, tile by tile."""
+    low, high = sorted((threshold1, threshold2))
+    return across_tiles(derivatives, 1, ["gx", "gy"], lambda held: _detected(*held, low, high, l2))

@@ -80,6 +80,45 @@ def test_long_and_winding_edges(spark):
     assert found[:32].sum() == cut[:32].sum() and not found[40:].any()
 
 
+@pytest.mark.parametrize("l2", [False, True])
+def test_edges_across_tiles(spark, monkeypatch, l2):
+    """Small tiles, so that edges wind through many; the same as in one tile."""
+    monkeypatch.setattr(blocks, "TILE", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (h, w) in enumerate([(50, 41), (8, 8), (3, 60), (1, 1), (33, 17)]):
+        y, x = np.mgrid[:h, :w]
+        waves = 90 * np.sin(x / 5 + np.cos(y / 6) * 2) + 90 * np.sin(y / 7) + rng.normal(0, 12, (h, w)) + 128
+        rows.append((k, h, w, 1, np.clip(waves, 0, 255).astype(int).ravel().tolist()))
+    dense = spark.createDataFrame(rows, "img_id bigint, h int, w int, cn int, data array<int>")
+    high = 300 if l2 else 400
+    want = by_place(arrays.pixels(stencils.canny(dense, 60, high, l2=l2)))
+    got = stencils.canny(arrays.pixels(dense, colocate=False), 60, high, l2=l2)
+    assert by_place(got) == want and {0, 255} == set(want.values())
+    weak = by_place(arrays.pixels(stencils.canny(dense, 60, 60, l2=l2)))
+    strong = by_place(arrays.pixels(stencils.canny(dense, high, high, l2=l2)))
+    assert sum(strong.values()) < sum(want.values()) < sum(weak.values())
+    gx, gy = (arrays.pixels(stencils.sobel(dense, 1 - k, k, "16S", border="REPLICATE"), colocate=False).withColumnRenamed("v", n) for k, n in ((0, "gx"), (1, "gy")))
+    assert by_place(stencils.canny_derivatives(gx.join(gy, arrays.KEY), 60, high, l2=l2)) == want
+
+
+def test_one_edge_through_all_tiles(spark, monkeypatch):
+    """A snake with one strong element: its weak part is kept to its end, through every tile."""
+    monkeypatch.setattr(blocks, "TILE", 8)
+    size = 40
+    gx, gy = np.zeros((2, size, size), int)
+    for n, y in enumerate(range(2, size - 2, 6)):
+        if y + 6 < size - 2:
+            gx[y : y + 7, size - 3 if n % 2 == 0 else 2] = 100
+        gx[y], gy[y, 2 : size - 2] = 0, 100
+    gy[2, 4] = 900
+    gx = [(0, size, size, y, x, 0, int(gx[y, x]), int(gy[y, x])) for y in range(size) for x in range(size)]
+    px = spark.createDataFrame(gx, "img_id bigint, h int, w int, y int, x int, c int, gx int, gy int")
+    got = {(r.y, r.x) for r in stencils.canny_derivatives(px, 50, 500).filter("v = 255").collect()}
+    alone = {(r.y, r.x) for r in stencils.canny_derivatives(px.withColumn("gy", F.least("gy", F.lit(100))), 50, 500).filter("v = 255").collect()}
+    assert not alone and (2, 4) in got and max(y for y, _ in got) == 32 and len(got) > 200
+
+
 def test_every_dense_operator_is_registered(spark):
     dense = images(spark, [(8, 6, 1)])
     for op, args in {"box_filter": ((3, 3), "8U"), "resize": ("8U", (3, 4)), "canny": (100, 40), "copy_make_border": (1, 1, 1, 1, "WRAP", "8U")}.items():
