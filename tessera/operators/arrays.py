@@ -3,8 +3,8 @@
 *dense*: ``img_id, h, w, cn, data`` - one row an array, rows first, channels interleaved.
 *pixels*: ``img_id, h, w, y, x, c, v`` - one row an element.
 
-:func:`pixels` deals elements out by array, and every later join and grouping has the
-array's id among its keys, so neighbourhoods meet without another shuffle.
+Operators that need neighbourhoods deal elements out by array and tile themselves; all
+joins and groupings have the array's id among their keys.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ def dense(frame: DataFrame, img_id: str, data: Column | str, h: int, w: int, cn:
     return frame.select(F.col(img_id).cast("bigint").alias("img_id"), F.lit(h).alias("h"), F.lit(w).alias("w"), F.lit(cn).alias("cn"), column.alias("data"))
 
 
-def pixels(arrays: DataFrame, colocate: bool = True) -> DataFrame:
-    """The element form of dense arrays."""
+def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:
+    """The element form of dense arrays; *colocate* deals elements out by array, for several joins by place of small arrays."""
     each = arrays.select("img_id", "h", "w", "cn", F.posexplode("data").alias("i", "v"))
     per_row = F.col("w") * F.col("cn")
     out = each.select("img_id", "h", "w", F.floor(F.col("i") / per_row).cast("int").alias("y"), F.floor(F.col("i") % per_row / F.col("cn")).cast("int").alias("x"), (F.col("i") % F.col("cn")).cast("int").alias("c"), "v")

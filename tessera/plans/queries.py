@@ -378,7 +378,7 @@ _OTSU = """h as (select img_id, v, count(*) as n from px group by 1, 2),
 s as (select img_id, v, sum(n) over w as wb, sum(n*v) over w as sb, sum(n) over (partition by img_id) as t, sum(n*v) over (partition by img_id) as s from h window w as (partition by img_id order by v)),
 b as (select img_id, v, case when t > wb then cast(wb as double) * cast(t-wb as double) * (cast(sb as double)/wb - cast(s-sb as double)/(t-wb)) * (cast(sb as double)/wb - cast(s-sb as double)/(t-wb)) else 0 end as d from s),
 r as (select img_id, case when d > 0 then v else 0 end as t, row_number() over (partition by img_id order by d desc, v) as k from b)"""
-simple("threshold_otsu", lambda p: levels.auto_threshold(p, "OTSU", 255, "BINARY"), sql.query(sql.px(), _OTSU, final="select img_id, y, x, c, case when v > t then 255 else 0 end as v from px join (select * from r where k = 1) r using (img_id)"))
+whole("threshold_otsu", lambda p: levels.auto_threshold(p, "OTSU", 255, "BINARY"), sql.query(sql.px(), _OTSU, final="select img_id, y, x, c, case when v > t then 255 else 0 end as v from px join (select * from r where k = 1) r using (img_id)"))
 
 _TRIANGLE = """h as (select img_id, v, count(*) as n from px group by 1, 2),
 e as (select img_id, case when min(v) > 0 then min(v) - 1 else min(v) end as l, case when max(v) < 255 then max(v) + 1 else max(v) end as r, max(n) as top from h group by 1),
@@ -388,9 +388,11 @@ g as (select *, case when flip then 255 - r else l end as lo, case when flip the
 d as (select g.*, k.k as i, cast(top as double) * k.k + cast(lo - hi as double) * coalesce((select n from h where h.img_id = g.img_id and h.v = (case when flip then 255 - k.k else k.k end)), 0) as d from g join range(256) k(k) on k.k > lo and k.k <= hi),
 b as (select img_id, i, d, row_number() over (partition by img_id order by d desc, i) as o from d),
 t as (select g.img_id, case when flip then 255 - (coalesce(case when d > 0 then i end, lo) - 1) else coalesce(case when d > 0 then i end, lo) - 1 end as t from g left join (select * from b where o = 1) b using (img_id))"""
-simple("threshold_triangle", lambda p: levels.auto_threshold(p, "TRIANGLE", 255, "BINARY"), sql.query(sql.px(), _TRIANGLE, final="select img_id, y, x, c, case when v > t then 255 else 0 end as v from px join t using (img_id)"))
-simple("lut", lambda p: levels.lut(p, [(i * 7 + 3) % 256 for i in range(256)]), sql.query(sql.px(), final="select img_id, y, x, c, (v * 7 + 3) % 256 as v from px"))
-simple("lut_channels", lambda p: levels.lut(p, [[255 - i for i in range(256)], [i // 2 for i in range(256)], [i ^ 15 for i in range(256)], list(range(256))]), sql.query(sql.px(4, 4, 4), final="select img_id, y, x, c, case c when 0 then 255 - v when 1 then v // 2 when 2 then xor(v, 15) else v end as v from px"), h=4, w=4, cn=4)
+whole("threshold_triangle", lambda p: levels.auto_threshold(p, "TRIANGLE", 255, "BINARY"), sql.query(sql.px(), _TRIANGLE, final="select img_id, y, x, c, case when v > t then 255 else 0 end as v from px join t using (img_id)"))
+for _method in ("otsu", "triangle"):
+    simple(f"threshold_{_method}_elements", lambda p, m=_method.upper(): levels.auto_threshold(p, m, 255, "BINARY"), ORACLES[f"threshold_{_method}"])
+whole("lut", lambda p: levels.lut(p, [(i * 7 + 3) % 256 for i in range(256)]), sql.query(sql.px(), final="select img_id, y, x, c, (v * 7 + 3) % 256 as v from px"))
+whole("lut_channels", lambda p: levels.lut(p, [[255 - i for i in range(256)], [i // 2 for i in range(256)], [i ^ 15 for i in range(256)], list(range(256))]), sql.query(sql.px(4, 4, 4), final="select img_id, y, x, c, case c when 0 then 255 - v when 1 then v // 2 when 2 then xor(v, 15) else v end as v from px"), h=4, w=4, cn=4)
 
 # -- colour ----------------------------------------------------------------
 
@@ -549,7 +551,7 @@ _ONES = [[1.0] * 3] * 3
 def box_threshold(spark, sf):
     """Smoothed and thresholded fixture images."""
     smooth = stencils.box_filter(images(spark, sf), (3, 3), "8U")
-    return out(levels.threshold(arrays.pixels(smooth, colocate=False), 127, 255, "BINARY"))
+    return out(elements(levels.threshold(smooth, 127, 255, "BINARY")))
 
 
 for _mode in ("CONSTANT", "REPLICATE", "REFLECT", "REFLECT_101"):
@@ -640,5 +642,5 @@ whole("warp_affine_linear", lambda p: geometry.warp_affine(p, _MAP, "8U", invers
 def image_pipeline(spark, sf):
     """Resize, gray and threshold in one plan."""
     three = images(spark, sf, 4, 4, 4).withColumns({"data": F.filter("data", lambda v, i: i % 4 < 3), "cn": F.lit(3)})
-    small = arrays.pixels(geometry.resize(three, "8U", (6, 3), interpolation="NEAREST"))
-    return out(levels.threshold(color.cvt_color(small, "BGR2GRAY"), 96, 255, "BINARY"))
+    small = geometry.resize(three, "8U", (6, 3), interpolation="NEAREST")
+    return out(elements(levels.threshold(color.cvt_color(small, "BGR2GRAY"), 96, 255, "BINARY")))
