@@ -89,7 +89,9 @@ class TrieBPE:
             if len(b) > 3:
                 ends.setdefault(b[-4:], set()).add(len(b))
         self._lengths = {b: (*sorted(n, reverse=True), 3, 2, 1) for b, n in ends.items()}
+        #: Whether two tokens stay apart, by both numbers side by side in as many bits as the vocabulary needs.
         self._stable: dict[int, bool] = {}
+        self._bits = max(ids.values(), default=0).bit_length()
         cut = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._specials = re.compile(f"({cut})") if cut else None
         self._pieces = regex.compile(PRETOKEN).findall
@@ -131,7 +133,7 @@ class TrieBPE:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether tokens *a* and *b* stay as they are when written side by side."""
-        key = a << 20 | b
+        key = a << self._bits | b
         known = self._stable.get(key)
         if known is None:
             if len(self._stable) > 1_000_000:
@@ -145,7 +147,7 @@ class TrieBPE:
         """Ids of each word.  Sorted distinct words are the trie's paths in depth-first order."""
         token, stable, seen, lengths = self.token.get, self.stable, self._stable.get, self._lengths.get
         out: dict[bytes, list[int]] = {}
-        path, states, short = b"", [-1], (3, 2, 1)
+        path, states, short, bits = b"", [-1], (3, 2, 1), self._bits
         for word in sorted(set(words)):
             n, shared, most = len(word), 0, min(len(word), len(path))
             while shared < most and word[shared] == path[shared]:
@@ -157,7 +159,7 @@ class TrieBPE:
                     if start >= 0 and (t := token(word[start:end])) is not None:
                         if not start:
                             break
-                        ok = seen(states[start] << 20 | t)
+                        ok = seen(states[start] << bits | t)
                         if ok or ok is None and stable(states[start], t):
                             break
                 states.append(t)

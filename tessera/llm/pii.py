@@ -19,11 +19,11 @@ again until none meet, from wider forms as rounds go on; after ``ROUNDS`` rounds
 
 All of it is DataFrame functions.  A text is taken apart into its mentions and the gaps
 between them and joined again, so there is no Python on the executors.  All patterns take time in
-proportion to the text, and none recurses over it; local parts of addresses have at most 64 characters.
+proportion to the text, and none recurses over it.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are
-unchanged.  Repeated rows are treated alike.  Null ids are allowed.  All columns are kept;
-helper columns have names of their own.
+unchanged.  Repeated rows are treated alike.  Null ids are allowed.  All columns are kept,
+whatever their names: they travel in one struct beside the helper columns.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .common import cut
 KEY = "surrogates"
 
 # Patterns of entities, most particular first.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
 PHONE = "|".join([
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
@@ -48,7 +48,7 @@ PHONE = "|".join([
     # national, with a leading zero
     r"(?<![\w+.-])\(?0(?=(?:\D?\D?\d){8,11}(?!\d))\d{2,4}\)?[ /-]\d{2,8}(?:[ -]\d{2,4}){0,3}(?!\w)|(?<![\w+.-])0[1-9](?:[ .]\d{2}){4}(?![\w]|\.\d)",
 ])
-CARD = r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-]|\.\d)"
+CARD = r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 # Countries that have IBANs.
 IBAN_COUNTRIES = """AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ
@@ -100,7 +100,7 @@ def kind_of(mention: Column) -> Column:
     return (
         F.when(mention.contains("@"), "email").when(mention.rlike(r"^\p{Lu}?\p{L}+\.? \p{Lu}\p{Ll}"), "name").when(mention.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(mention.rlike(r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})$"), "card").otherwise("phone")
+        .when(mention.rlike(r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})$"), "card").otherwise("phone")
     )
 
 
@@ -311,13 +311,14 @@ def _redrawn(docs: DataFrame, again: DataFrame, text_column: str, id_column: str
 def replace(docs: DataFrame, key: str = KEY, text_column: str = "text", id_column: str = "doc_id", counts: bool = False) -> DataFrame:
     """The rows with surrogates in their texts; with *counts*, also ``n_entities`` and ``entity_kinds`` (distinct, sorted, comma-joined)."""
     again = redraws(docs, key, text_column)
-    text = F.col(f"`{text_column}`")
-    rows, redrawn = docs, not again.isEmpty()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    text = F.col("_doc").getField(text_column)
+    redrawn = not again.isEmpty()
+    rows = own
     if redrawn:
         by_row = _redrawn(docs, again, text_column, id_column)
-        rows = docs.join(by_row, docs[id_column].eqNullSafe(by_row["_row"]) & (F.xxhash64(docs[text_column]) == by_row["_hash"]), "left")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    parts = rows.select(*own, *[F.col("_redrawn")] * redrawn, described(mentions(text)).alias("_found"))
+        rows = own.join(by_row, F.col("_doc").getField(id_column).eqNullSafe(F.col("_row")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    parts = rows.select("_doc", *[F.col("_redrawn")] * redrawn, described(mentions(text)).alias("_found"))
     tries = (lambda e: F.coalesce(F.try_element_at(F.col("_redrawn"), e)["tries"], F.lit(0))) if redrawn else (lambda _: F.lit(0))
     gender = (lambda e: F.try_element_at(F.col("_redrawn"), e)["gender"]) if redrawn else (lambda _: F.lit(None).cast("string"))
     parts = parts.withColumn("_made", surrogates(F.col("_found"), key, tries, gender))
@@ -338,4 +339,4 @@ def replace(docs: DataFrame, key: str = KEY, text_column: str = "text", id_colum
     joined = F.array_join(F.zip_with(gaps, F.concat(F.col("_made"), F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
     changed = F.when(F.size("_found") > 0, joined).otherwise(text)
     extra = [F.size("_found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.col("_found.kind"))), ",").alias("entity_kinds")] if counts else []
-    return parts.select(*[(changed if c == text_column else F.col(f"`{c}`")).alias(c) for c in docs.columns], *extra)
+    return parts.select(*[(changed if c == text_column else F.col("_doc").getField(c)).alias(c) for c in docs.columns], *extra)

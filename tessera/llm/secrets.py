@@ -114,23 +114,29 @@ class MarkovRatio:
 
     def secrets(self, token: str, threshold: float) -> list[tuple[int, int]]:
         """Runs widened or narrowed to whole pieces, by which side has more of the piece, that pass the threshold."""
-        pieces, out = [m.span() for m in _PIECE.finditer(token)], []
+        pieces, out, at = [m.span() for m in _PIECE.finditer(token)], [], 0
+        inside = lambda k: 2 * (min(pieces[k][1], e) - max(pieces[k][0], s)) >= pieces[k][1] - pieces[k][0]
         for s, e in self.runs(token):
+            # runs and pieces are both in order: those before this run are left behind
+            while at < len(pieces) and pieces[at][1] <= s:
+                at += 1
             if e - s < LEAST // 2:
                 continue
-            held = [(a, b) for a, b in pieces if a < e and s < b]
-            while held and 2 * (min(held[0][1], e) - max(held[0][0], s)) < held[0][1] - held[0][0]:
-                held = held[1:]
-            while held and 2 * (min(held[-1][1], e) - max(held[-1][0], s)) < held[-1][1] - held[-1][0]:
-                held = held[:-1]
+            first, last = at, at
+            while last < len(pieces) and pieces[last][0] < e:
+                last += 1
+            while first < last and not inside(first):
+                first += 1
+            while first < last and not inside(last - 1):
+                last -= 1
             # a separator at an end is not part of a secret, but for padding
-            while held and token[held[0][0]] in "/_=-":
-                held = held[1:]
-            while held and token[held[-1][0]] in "/_-":
-                held = held[:-1]
-            if not held:
+            while first < last and token[pieces[first][0]] in "/_=-":
+                first += 1
+            while first < last and token[pieces[last - 1][0]] in "/_-":
+                last -= 1
+            if first == last:
                 continue
-            a, b = held[0][0], held[-1][1]
+            a, b = pieces[first][0], pieces[last - 1][1]
             part = token[a:b]
             if b - a >= LEAST and len(set(part)) >= DIFFERENT and not _PLAIN.fullmatch(part) and self.score(part) >= threshold:
                 out.append((a, b))
@@ -157,15 +163,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def markov_spans(text: str, model: MarkovRatio, base: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """Spans of random runs in tokens, outside the base spans."""
-    out = []
+    out, taken, before = [], [], 0
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     for m in TOKEN.finditer(text):
         if _PLAIN.fullmatch(m[0]) or _UUID.fullmatch(m[0]):
             continue
-        at, parts = m.start(), []
-        for s, _, e in base:
-            if s < m.end() and at < e:
-                parts.append((at, s))
-                at = e
+        # tokens and taken spans are both in order
+        while before < len(taken) and taken[before][1] <= m.start():
+            before += 1
+        at, parts, k = m.start(), [], before
+        while k < len(taken) and taken[k][0] < m.end():
+            parts.append((at, taken[k][0]))
+            at, k = taken[k][1], k + 1
         for a, b in [*parts, (at, m.end())]:
             if b - a >= LEAST:
                 out += [(a + s, 3, a + e) for s, e in model.secrets(text[a:b], threshold)]

@@ -91,3 +91,14 @@ def test_many_names_in_one_family_stay_distinct(spark):
     found = replaced(spark, [f"Mrs {g} Smith" for g in given])
     assert len({r.text for r in found.values()}) == len(given) and len({r.text.split()[2] for r in found.values()}) == 1
     assert not {r.text.split()[1] for r in found.values()} & set(given)
+
+
+def test_columns_of_any_name_and_whole_addresses(spark):
+    rows = [(1, "jöhn@exämple.com and " + "a" * 70 + "@example.com, card 3782 822463 10005", "a", "b", 5, "d", "e", "f"), (2, None, *["x", "y", 6, "z", None, "w"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found string, _made string, _row long, _hash string, _names string, _doc string")
+    got = {r.doc_id: r for r in pii.replace(docs, counts=True).collect()}
+    assert [got[1][c] for c in docs.columns[2:]] == list(rows[0][2:]) and [got[2][c] for c in docs.columns[2:]] == list(rows[1][2:])
+    assert got[1].entity_kinds == "card,email" and got[1].n_entities == 3 and got[2].text is None
+    assert "jöhn" not in got[1].text and "ö" not in got[1].text and "a" * 20 not in got[1].text and "3782 822463" not in got[1].text
+    first, second = got[1].text.split(" and ")
+    assert first.endswith(".example.org") and first.count("@") == 1 and len(second.split("@")[0]) == 70

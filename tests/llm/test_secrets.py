@@ -61,3 +61,16 @@ def test_runs_of_few_characters_and_uuids(spark):
     model = secrets.train(spark)
     for text in ("aaaaaaaaaaaaaaaaaaa1", "123e4567-e89b-12d3-a456-426614174000", "C73BCDCC-2669-4Bf6-81d3-E4AE73FB11FD"):
         assert not secrets.markov_spans(text, model, secrets.base_spans(text))
+
+
+def test_time_is_linear(spark):
+    import time
+
+    model = secrets.train(spark)
+    path = "usr/local/Zx81kQpLw03vNmT7/" * 200_000  # one token of 5 MB
+    many = " ".join(f"{k:016x}" for k in range(40_000))
+    for text in (path, many):
+        began = time.perf_counter()
+        base = secrets.base_spans(text)
+        secrets.markov_spans(text, model, base)
+        assert time.perf_counter() - began < 30
