@@ -1,6 +1,7 @@
 """Row-wise normalisations, activations and position rotation, over columns or arrays.
 
-Window forms take rows of a relation; array forms keep a whole vector in one row and need
+Relational forms take rows of a relation: a state is added up by row, in parts, and goes back to
+the rows by a join, so a row may have any number of values.  Array forms keep a whole vector in one row and need
 no shuffle.
 """
 
@@ -8,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.depths import TensorError, half
 
@@ -37,12 +37,38 @@ def silu(v: Column) -> Column:
     return x / (1 + F.exp(-x))
 
 
+#: Width of the steps by which exponents are rescaled; exp of a step is far from overflow.
+STEP = 64.0
+
+
+def _beside(frame: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
+    """*frame* with the state of its keys, null keys among them; one row of state a key, so a long row is split over tasks."""
+    named = state.withColumnsRenamed({k: f"_k{n}" for n, k in enumerate(keys)})
+    met = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    return frame.join(named, met, "left").drop(*[f"_k{n}" for n in range(len(keys))])
+
+
+def _softmax(frame: DataFrame, keys: list[str], x: Column, shown: Column) -> DataFrame:
+    """*frame* with ``softmax`` over the *shown* rows of each key, and 0 in the others.
+
+    The sum of exponentials is kept by steps of the exponent: each step's sum is rescaled by its own step and is added
+    up in any order, in parts, before the shuffle.  The steps of a key then meet at the greatest one.  What is not
+    a number, or infinite, makes its key's results so.
+    """
+    bad = F.isnan(x) | (x == float("inf"))
+    step = F.when(~bad & (x > float("-inf")), F.floor(x / STEP).cast("double"))
+    parts = frame.filter(shown & x.isNotNull()).groupBy(*keys, step.alias("_step")).agg(F.sum(F.exp(x - F.coalesce(step, F.lit(0.0)) * STEP)).alias("_part"), F.max(bad).alias("_bad"))
+    steps = F.collect_list(F.when(F.col("_step").isNotNull(), F.struct("_step", "_part")))
+    met = parts.groupBy(*keys).agg(steps.alias("_parts"), F.max("_step").alias("_top"), F.max("_bad").alias("_bad"))
+    total = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["_part"] * F.exp((p["_step"] - F.col("_top")) * STEP))
+    state = met.select(*keys, "_top", F.when(F.col("_bad"), float("nan")).otherwise(total).alias("_total"))
+    made = F.when(F.col("_top").isNull() | F.isnan("_total"), F.lit(float("nan"))).otherwise(F.exp(x - F.col("_top") * STEP) / F.col("_total"))
+    return _beside(frame, keys, state).withColumn("softmax", F.when(shown & x.isNull(), None).when(shown, made).otherwise(0.0)).drop("_top", "_total")
+
+
 def softmax(frame: DataFrame, row: list[str], value: str = "v", scale: float = 1.0) -> DataFrame:
-    """Adds ``softmax`` over the rows that share the *row* columns."""
-    w = Window.partitionBy(*row)
-    x = F.col(value).cast("double") * scale
-    e = frame.withColumn("_e", F.exp(x - F.max(x).over(w)))
-    return e.withColumn("softmax", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    """Adds ``softmax`` over the rows that share the *row* columns, of any number."""
+    return _softmax(frame, row, F.col(value).cast("double") * scale, F.lit(True))
 
 
 def softmax_array(data: Column) -> Column:
@@ -60,18 +86,14 @@ def scaled_by_sum(values: Column) -> Column:
 
 def causal_softmax(frame: DataFrame, row: list[str], r: str, col: str, value: str = "v", scale: float = 1.0) -> DataFrame:
     """Softmax of the scaled columns up to the row's own index; the others are 0."""
-    seen = F.col(col) <= F.col(r)
-    w = Window.partitionBy(*row, r)
-    x = F.when(seen, F.col(value).cast("double") * scale)
-    e = frame.withColumn("_e", F.when(seen, F.exp(x - F.max(x).over(w))).otherwise(0.0))
-    return e.withColumn("softmax", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    return _softmax(frame, [*row, r], F.col(value).cast("double") * scale, F.col(col) <= F.col(r))
 
 
 def rmsnorm(frame: DataFrame, row: list[str], weight: Column, value: str = "v", eps: float = 1e-6, scale: float = 1.0) -> DataFrame:
     """Adds ``rmsnorm``: the value over the root of the row's mean square, times weight (an int8 weight has a *scale*)."""
-    w = Window.partitionBy(*row)
     x = F.col(value).cast("double")
-    return frame.withColumn("rmsnorm", x / F.sqrt(F.avg(x * x).over(w) + eps) * (weight.cast("double") * scale))
+    held = _beside(frame, row, frame.groupBy(*row).agg(F.avg(x * x).alias("_square")))
+    return held.withColumn("rmsnorm", x / F.sqrt(F.col("_square") + eps) * (weight.cast("double") * scale)).drop("_square")
 
 
 def rope_array(data: Column, position: Column, dim: int, base: float = 10000.0) -> Column:
