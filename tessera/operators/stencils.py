@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.borders import DEFAULT, check_filter
 from ..functions.depths import TensorError
-from . import blocks
+from . import blocks, transforms
 from .blocks import Block, Program, reach, saturated, shifted, together, weighted
 from .edges import across_tiles, components
 
@@ -31,10 +31,23 @@ def taps_of(kernel: list[list[float]], anchor: tuple[int, int] = (-1, -1)) -> Ta
 
 
 def filter2d(px: DataFrame, kernel: list[list[float]], depth: str, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: str = DEFAULT) -> DataFrame:
-    """Correlation with a literal kernel; the result is 8U or 32F."""
+    """Correlation with a literal kernel; the result is 8U or 32F.
+
+    Kernels of ``transforms.LARGE`` taps or more go through Fourier transforms, with the same 8U results.
+    """
     if depth not in ("8U", "32F"):
         raise TensorError(f"filter2d does not give {depth}")
-    return _weighted(px, taps_of(kernel, anchor), depth, border, lambda acc: acc + delta if delta else acc)
+    check_filter(border)
+    taps = taps_of(kernel, anchor)
+
+    def program(block: Block) -> Block:
+        made = transforms.correlated(block, taps, border, depth, delta) if transforms.large(taps) else None
+        if made is None:
+            acc = weighted(block, taps, border)
+            made = acc.like(saturated(acc.data + delta if delta else acc.data, depth))
+        return made
+
+    return blocks.on_blocks(px, program, depth, max(reach(taps)))
 
 
 def _weighted(px: DataFrame, taps: Taps, depth: str, border: str, finish) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from tessera.operators import blocks, stencils
+from tessera.operators import blocks, stencils, transforms
 from tessera.operators.blocks import Block, saturated, weighted
 
 RNG = np.random.default_rng(8)
@@ -99,3 +99,31 @@ def test_cost_hardly_grows_with_the_window(monkeypatch):
             best[k] = min(times)
         # direct windows cost a hundred and a thousand times one of 3 x 3
         assert best[31] < 20 * best[3] and best[101] < 80 * best[3]
+
+
+@pytest.mark.parametrize("border", BORDERS[:4])
+def test_large_kernels(monkeypatch, border):
+    monkeypatch.setattr(transforms, "STRIP_ROWS", 37)
+    v = image(70, 55, 2, 2)
+    for kernel, delta in ((RNG.normal(0, 0.02, (23, 31)), 90.0), (np.full((21, 21), 1 / 441), 0.0), (RNG.integers(-1, 2, (25, 19)) * 0.25, 3.0)):
+        taps = stencils.taps_of(kernel.tolist(), (3, 11))
+        assert transforms.large(stencils.taps_of(np.ones((20, 20)).tolist())) and not transforms.large(stencils.taps_of([[1.0] * 19] * 19))
+        sums = weighted(Block(v, 70, 55), taps, border).data + delta
+        run = program(monkeypatch, lambda: stencils.filter2d(None, kernel.tolist(), "8U", (3, 11), delta, border))  # noqa: B023
+        assert (run(Block(v, 70, 55)).data == saturated(sums, "8U")).all()
+        made = transforms.correlated(Block(v, 70, 55), taps, border, "32F", delta)
+        assert np.allclose(made.data, sums, atol=1e-6, rtol=1e-6)
+    assert [transforms.good_size(n) for n in (1, 7, 11, 97, 1025)] == [1, 8, 12, 100, 1080]
+
+
+def test_transform_cost(monkeypatch):
+    v, best = image(480, 640, 1), {}
+    for k in (15, 63):
+        run = program(monkeypatch, lambda: stencils.filter2d(None, RNG.random((k, k)).tolist(), "32F"))  # noqa: B023
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run(Block(v, 480, 640))
+            times.append(time.perf_counter() - began)
+        best[k] = min(times)
+    assert best[63] < 3 * best[15]  # eighteen times the taps
