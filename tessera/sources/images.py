@@ -1,6 +1,7 @@
 """Image files as arrays, and arrays as image files.
 
-PNG, JPEG, BMP and GIF go through Spark's image source; PPM, PGM and HDR through its binary files.
+PNG, JPEG, BMP and GIF go through Spark's image source; PPM, PGM and HDR through its binary files, each with a
+glob of its own names, so that no file is read twice.
 Arrays are in BGR order, as elsewhere in the library.
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.depths import TensorError
+from ..operators.blocks import _numbers
+from . import jpeg
 
 UNCHANGED, GRAYSCALE, COLOR = -1, 0, 1
 SCHEMA = "path string, h int, w int, cn int, data array<int>"
@@ -66,9 +69,12 @@ def parse_hdr(content: bytes) -> tuple[int, int, int, bytes] | None:
     head, gap, body = content.partition(b"\n\n")
     size, _, body = body.partition(b"\n")
     fields = size.split()
-    if not gap or not head.startswith((b"#?RADIANCE", b"#?RGBE")) or len(fields) != 4 or fields[0] != b"-Y" or fields[2] != b"+X":
+    if not gap or not head.startswith((b"#?RADIANCE", b"#?RGBE")) or len(fields) != 4 or fields[0] != b"-Y" or fields[2] != b"+X" or not (fields[1].isdigit() and fields[3].isdigit()):
         return None
     h, w = int(fields[1]), int(fields[3])
+    # a row has two bytes a channel for every 127 places at least, and its mark
+    if h == 0 or w == 0 or h * (4 + 8 * -(-w // 127)) > len(body) and h * w * 4 > len(body):
+        return None
     rows, at = np.zeros((h, 4, w), np.uint8), 0
     if not (8 <= w < 32768 and body[:2] == b"\x02\x02"):
         if len(body) < h * w * 4:
@@ -95,19 +101,41 @@ def parse_hdr(content: bytes) -> tuple[int, int, int, bytes] | None:
     return h, w, 3, np.ascontiguousarray(seen.transpose(0, 2, 1)[..., ::-1]).tobytes()
 
 
-#: Files that are read as bytes, by the ends of their names.
-_PARSERS = {r"\.(ppm|pgm|pnm)$": parse_pnm, r"\.hdr$": parse_hdr}
+#: Ends of names of files that are parsed here, and of those that Spark's image source reads.
+PARSED, DECODED = ("ppm", "pgm", "pnm", "hdr"), ("png", "jpg", "jpeg", "bmp", "gif", "wbmp", "tif", "tiff")
+#: Files of other names that are asked for by path; if there are more, all files are read once more.
+OTHERS = 10_000
+
+
+def parse(content: bytes) -> tuple[int, int, int, bytes] | None:
+    """A picture of a format that its leading bytes tell."""
+    return parse_hdr(content) if content.startswith(b"#?") else parse_pnm(content)
+
+
+def _ends(names: tuple[str, ...]) -> str:
+    """A glob of file names with one of these ends, in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in n) for n in names) + "}"
 
 
 def imread(spark: SparkSession, path: str, flags: int = COLOR) -> DataFrame:
-    """Dense 8U arrays of the files under *path*; a file that is no image gives an empty array and no failure."""
+    """Dense 8U arrays of the files under *path*; a file that is no image gives an empty array and no failure.
+
+    Each file's content is read once, by the reader that its name tells; other names are listed first and go through Spark's image source.
+    """
     if flags not in (UNCHANGED, GRAYSCALE, COLOR):
         raise TensorError(f"unknown flag {flags}")
-    files = spark.read.format("binaryFile").load(path)
-    plain = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*").filter(~F.lower("origin").rlike("|".join(_PARSERS)))
-    decoded = _elements(plain.select("origin", "height", "width", "nChannels", "data"), lambda h, w, cn, data: (h, w, cn, bytes(data)) if h and h > 0 else None)
-    for name, parse in _PARSERS.items():
-        decoded = decoded.unionByName(_elements(files.filter(F.lower("path").rlike(name)).select("path", "content"), parse))
+    pictures = lambda source: _elements(source.select("image.*").select("origin", "height", "width", "nChannels", "data"), lambda h, w, cn, data: (h, w, cn, bytes(data)) if h and h > 0 else None)
+    reader = lambda kind: spark.read.format(kind).option("dropInvalid", "false")
+    decoded = pictures(reader("image").option("pathGlobFilter", _ends(DECODED)).load(path))
+    decoded = decoded.unionByName(_elements(reader("binaryFile").option("pathGlobFilter", _ends(PARSED)).load(path).select("path", "content"), parse))
+    known = rf"\.({'|'.join(PARSED + DECODED)})$"
+    # only names are read here: a binary file's content is not, where it is not asked for
+    other = [r.path for r in reader("binaryFile").load(path).select("path").filter(~F.lower("path").rlike(known)).limit(OTHERS + 1).collect()]
+    if len(other) > OTHERS:
+        rest = reader("image").load(path).filter(~F.lower("image.origin").rlike(known))
+        decoded = decoded.unionByName(pictures(rest))
+    elif other:
+        decoded = decoded.unionByName(pictures(reader("image").load(other)))
     return _as_flags(decoded, flags)
 
 
@@ -147,55 +175,6 @@ def _three(h: int, w: int, cn: int, data: bytes) -> np.ndarray:
     return pixels[..., :3] if cn > 2 else np.repeat(pixels[..., :1], 3, axis=2)
 
 
-def encode_jpg(h: int, w: int, cn: int, data: bytes, step: float = 2.0) -> bytes:
-    """A baseline JPEG, gray or YCbCr without subsampling; *step* is how fast quantisation grows with frequency.
-
-    Its code tables give all symbols of a kind one length, so they follow from a rule.
-    """
-    pixels = np.frombuffer(data, np.uint8).reshape(h, w, cn).astype(np.float64)
-    if cn > 2:
-        b, g, r = pixels[..., 0], pixels[..., 1], pixels[..., 2]
-        luma = 0.299 * r + 0.587 * g + 0.114 * b
-        planes = np.stack([luma - 128, (b - luma) / 1.772, (r - luma) / 1.402])
-    else:
-        planes = pixels[..., 0][None] - 128
-    planes = np.pad(planes, ((0, 0), (0, -h % 8), (0, -w % 8)), mode="edge")
-    k = np.arange(8)
-    cosines = np.sqrt(np.where(k == 0, 1, 2) / 8)[:, None] * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
-    table = np.clip(np.rint(1 + step * (k[:, None] + k)), 1, 255)
-    blocks = planes.reshape(len(planes), planes.shape[1] // 8, 8, planes.shape[2] // 8, 8).transpose(1, 3, 0, 2, 4)
-    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
-    found = np.rint(cosines @ blocks @ cosines.T / table).astype(int).reshape(-1, len(planes), 64)[..., order]
-    found[1:, :, 0] -= found[:-1, :, 0].copy()
-    ac = [0, *(run << 4 | size for run in range(16) for size in range(1, 11)), 0xF0]
-    code = {symbol: f"{i:08b}" for i, symbol in enumerate(ac)}
-    bits = []
-
-    def amount(v: int) -> str:
-        return f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if (size := abs(v).bit_length()) else ""
-
-    for block in found.reshape(-1, 64):
-        first = int(block[0])
-        bits.append(f"{abs(first).bit_length():04b}{amount(first)}")
-        last = 0
-        for at in np.flatnonzero(block[1:]) + 1:
-            run, v = int(at) - last - 1, int(block[at])
-            bits.append(code[0xF0] * (run // 16) + code[run % 16 << 4 | abs(v).bit_length()] + amount(v))
-            last = int(at)
-        if last < 63:
-            bits.append(code[0])
-    stream = np.packbits(np.frombuffer("".join(bits).encode().ljust(-(-sum(map(len, bits)) // 8) * 8, b"1"), np.uint8) - 48).tobytes()
-    part = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
-    kinds = range(1, len(planes) + 1)
-    lengths = lambda n, symbols: bytes(len(symbols) if i == n else 0 for i in range(1, 17)) + bytes(symbols)
-    return b"".join([
-        b"\xff\xd8", part(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0"), part(0xDB, b"\0" + bytes(table.astype(np.uint8).ravel()[order])),
-        part(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([c, 0x11, 0]) for c in kinds)),
-        part(0xC4, b"\x00" + lengths(4, range(12))), part(0xC4, b"\x10" + lengths(8, ac)),
-        part(0xDA, bytes([len(planes)]) + b"".join(bytes([c, 0]) for c in kinds) + b"\0\x3f\0"), stream.replace(b"\xff", b"\xff\0"), b"\xff\xd9",
-    ])
-
-
 def _turned(cn: int, data: bytes) -> bytes:
     if cn < 3:
         return data
@@ -204,24 +183,27 @@ def _turned(cn: int, data: bytes) -> bytes:
     return bytes(out)
 
 
-ENCODERS = {"png": encode_png, "bmp": encode_bmp, "jpg": encode_jpg}
+ENCODERS = {"png": encode_png, "bmp": encode_bmp, "jpg": jpeg.encode, "jpeg": jpeg.encode}
 
 
-def encoded(arrays: DataFrame, kind: str = "png") -> DataFrame:
-    """``img_id, content``: files of dense 8U arrays; null where an array cannot be a picture."""
+def encoded(arrays: DataFrame, kind: str = "png", quality: int = jpeg.QUALITY) -> DataFrame:
+    """``img_id, content``: files of dense 8U arrays, of integers or bytes; null where an array cannot be a picture.  JPEG files take a *quality* of 1 to 100."""
     import pyarrow as pa
 
     if kind not in ENCODERS:
         raise TensorError(f"no encoder for {kind!r}")
-    encode = ENCODERS[kind]
+    if not 1 <= quality <= 100:
+        raise TensorError(f"quality {quality} not in 1..100")
+    encode = (lambda *a: jpeg.encode(*a, quality)) if kind in ("jpg", "jpeg") else ENCODERS[kind]
 
     def run(batches):
         for batch in batches:
             out = []
-            for h, w, cn, data in zip(*[batch.column(c) for c in ("h", "w", "cn", "data")], strict=True):
-                h, w, cn, values = h.as_py(), w.as_py(), cn.as_py(), data.as_py()
-                fits = 1 <= cn <= 4 and len(values) == h * w * cn > 0 and 0 <= min(values) and max(values) <= 255
-                out.append(encode(h, w, cn, bytes(values)) if fits else None)
+            for k in range(len(batch)):
+                h, w, cn = (batch.column(c)[k].as_py() for c in ("h", "w", "cn"))
+                values = _numbers(batch.column("data").slice(k, 1))
+                fits = 1 <= cn <= 4 and len(values) == h * w * cn > 0 and values.min() >= 0 and values.max() <= 255
+                out.append(encode(h, w, cn, values.astype(np.uint8).tobytes()) if fits else None)
             yield pa.RecordBatch.from_arrays([batch.column("img_id"), pa.array(out, pa.binary())], ["img_id", "content"])
 
     return arrays.select("img_id", "h", "w", "cn", "data").mapInArrow(run, "img_id bigint, content binary")
@@ -261,10 +243,10 @@ class _FileWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
-def imwrite(arrays: DataFrame, folder: str, kind: str = "png") -> None:
+def imwrite(arrays: DataFrame, folder: str, kind: str = "png", quality: int = jpeg.QUALITY) -> None:
     """Writes dense 8U arrays as image files named by their ids."""
     arrays.sparkSession.dataSource.register(ImageSink)
-    encoded(arrays, kind).write.format("tessera_images").mode("append").option("extension", kind).save(folder)
+    encoded(arrays, kind, quality).write.format("tessera_images").mode("append").option("extension", kind).save(folder)
 
 
 def show(arrays: DataFrame, img_id: int) -> bytes | None:
