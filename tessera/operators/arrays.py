@@ -23,9 +23,40 @@ def dense(frame: DataFrame, img_id: str, data: Column | str, h: int, w: int, cn:
     return frame.select(F.col(img_id).cast("bigint").alias("img_id"), F.lit(h).alias("h"), F.lit(w).alias("w"), F.lit(cn).alias("cn"), column.alias("data"))
 
 
+def is_bytes(arrays: DataFrame) -> bool:
+    """Whether dense arrays hold their elements as bytes."""
+    return arrays.schema["data"].dataType.simpleString() == "binary"
+
+
+def length(arrays: DataFrame) -> Column:
+    """How many elements an array holds."""
+    return F.octet_length("data") if is_bytes(arrays) else F.size("data")
+
+
+def listed(arrays: DataFrame) -> DataFrame:
+    """Dense arrays with bytes as integers; others as they are."""
+    if not is_bytes(arrays):
+        return arrays
+    import numpy as np
+    import pyarrow as pa
+
+    at = arrays.columns.index("data")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'data' else f.dataType.simpleString()}" for f in arrays.schema.fields)
+    return arrays.mapInArrow(run, kinds)
+
+
 def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:
     """The element form of dense arrays; *colocate* deals elements out by array, for several joins by place of small arrays."""
-    each = arrays.select("img_id", "h", "w", "cn", F.posexplode("data").alias("i", "v"))
+    each = listed(arrays).select("img_id", "h", "w", "cn", F.posexplode("data").alias("i", "v"))
     per_row = F.col("w") * F.col("cn")
     out = each.select("img_id", "h", "w", F.floor(F.col("i") / per_row).cast("int").alias("y"), F.floor(F.col("i") % per_row / F.col("cn")).cast("int").alias("x"), (F.col("i") % F.col("cn")).cast("int").alias("c"), "v")
     return out.repartition("img_id") if colocate else out
@@ -78,7 +109,8 @@ def copy_size(arrays: DataFrame, other: DataFrame) -> DataFrame:
 
 def _sized(arrays: DataFrame, h: Column, w: Column) -> DataFrame:
     total = h * w * F.col("cn")
-    kept = F.when(F.size("data") >= total, F.slice("data", F.lit(1), total)).otherwise(F.raise_error(F.lit("set_size: more elements than the array holds")))
+    some = F.substring(F.col("data"), F.lit(1), total) if is_bytes(arrays) else F.slice("data", F.lit(1), total)
+    kept = F.when(length(arrays) >= total, some).otherwise(F.raise_error(F.lit("set_size: more elements than the array holds")))
     return arrays.withColumns({"data": kept, "h": h, "w": w})
 
 
@@ -106,6 +138,7 @@ def _reread(arrays: DataFrame, depth: str, to: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    arrays = listed(arrays)
     old, new, kind = BYTES[depth], BYTES[to], STORAGE[to]
     types = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
     source, target = _KINDS[depth], _KINDS[to]
@@ -131,12 +164,13 @@ def shape_string(arrays: DataFrame, channel_first: bool = False) -> Column:
     if channel_first:
         shape = F.when(F.col("cn") > 1, F.array("cn", "h", "w")).otherwise(shape)
     text = F.concat(F.lit("["), F.array_join(shape.cast("array<string>"), " x "), F.lit("]"))
-    return F.when(F.size("data") == 0, "[]").otherwise(text)
+    return F.when(length(arrays) == 0, "[]").otherwise(text)
 
 
-def printed(arrays: DataFrame, length: int = -1) -> DataFrame:
+def printed(arrays: DataFrame, count: int = -1) -> DataFrame:
     """``img_id`` and ``text``: the shape of each array and its first elements, or all of them."""
-    some = F.col("data") if length < 0 else F.slice("data", 1, length)
+    arrays = listed(arrays)
+    some = F.col("data") if count < 0 else F.slice("data", 1, count)
     values = F.concat(F.lit("value = "), F.array_join(F.transform(some.cast("array<string>"), lambda v: F.concat(v, F.lit(","))), ""))
     text = F.concat(F.lit("shape = "), shape_string(arrays, True), F.lit("\n"), values)
     return arrays.select("img_id", F.when(F.size("data") == 0, "mat is empty").otherwise(text).alias("text"))
@@ -157,12 +191,12 @@ def window(px: DataFrame, rows: tuple[int, int] | None = None, cols: tuple[int,
 def at(arrays: DataFrame, y: int, x: int, c: int = 0) -> DataFrame:
     """``img_id`` and the element ``v`` at a place; null outside."""
     inside = (F.lit(y) < F.col("h")) & (F.lit(x) < F.col("w")) & (F.lit(c) < F.col("cn"))
-    return arrays.select("img_id", F.when(inside, F.get("data", (F.lit(y) * F.col("w") + x) * F.col("cn") + c)).alias("v"))
+    return listed(arrays).select("img_id", F.when(inside, F.get("data", (F.lit(y) * F.col("w") + x) * F.col("cn") + c)).alias("v"))
 
 
 def metadata(arrays: DataFrame, depth: str) -> DataFrame:
     """Shape, totals and element sizes of each array."""
-    return arrays.select("img_id", F.array("h", "w").alias("shape"), F.col("cn").alias("channels"), (F.col("h") * F.col("w")).cast("bigint").alias("total"), (F.lit(BYTES[depth]) * F.col("cn")).alias("elem_size"), F.lit(BYTES[depth]).alias("elem_size1"), (F.size("data") == 0).alias("is_empty"))
+    return arrays.select("img_id", F.array("h", "w").alias("shape"), F.col("cn").alias("channels"), (F.col("h") * F.col("w")).cast("bigint").alias("total"), (F.lit(BYTES[depth]) * F.col("cn")).alias("elem_size"), F.lit(BYTES[depth]).alias("elem_size1"), (length(arrays) == 0).alias("is_empty"))
 
 
 def transpose(px: DataFrame) -> DataFrame:
@@ -189,7 +223,7 @@ def transpose_nd(arrays: DataFrame, shape: list[int], axes: list[int]) -> DataFr
             left = F.floor(left / new[k]).cast("int")
         return out.cast("int")
 
-    return arrays.select("img_id", F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda i: F.get("data", old(i))).alias("data"))
+    return listed(arrays).select("img_id", F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda i: F.get("data", old(i))).alias("data"))
 
 
 def merge(parts: list[DataFrame]) -> DataFrame:

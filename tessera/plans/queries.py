@@ -280,6 +280,31 @@ def reshape_at(spark, sf):
     return arrays.at(arrays.reshape(images(spark, sf), 4, 16), 3, 5)
 
 
+register("fill_lanes", "select vec_id as img_id, cast(k // 8 as int) as y, cast(k // 4 % 2 as int) as x, cast(k % 4 as int) as c, case k % 4 when 0 then 7 when 1 then 255 when 2 then 0 else 3 end as v from embeddings, range(16) r(k)")(
+    lambda spark, sf: out(arrays.pixels(arrays.fill(table(spark, sf, "embeddings"), "vec_id", 2, 2, 4, (7, 300, -5, 2.5), "8U")))
+)
+whole("set_size", lambda p: arrays.set_size(p, 4, 5), sql.query(final=f"select img_id, cast(i // 5 as int) as y, cast(i % 5 as int) as x, 0 as c, {sql.FIRST} as v from raw where i < 20"))
+simple("reinterpret_signed", lambda p: arrays.reinterpret(p, "8U", "8S"), sql.query(sql.px(), final="select img_id, y, x, c, case when v >= 128 then v - 256 else v end as v from px"))
+
+
+@register("reinterpret_wider", sql.query(sql.px(4, 4, 4), final="select img_id, y, x, cast(c // 2 as int) as c, cast(sum(v * case c % 2 when 0 then 1 else 256 end) as int) as v from px group by all"))
+def reinterpret_wider(spark, sf):
+    return out(arrays.pixels(arrays.reinterpret(images(spark, sf, 4, 4, 4), "8U", "16U")))
+
+
+@register("printed", sql.query(final=f"select img_id, 'shape = [4 x 4 x 4]' || chr(10) || 'value = ' || string_agg(cast({sql.FIRST} as varchar) || ',', '' order by i) as text from raw where i < 6 group by img_id"))
+def printed(spark, sf):
+    return arrays.printed(images(spark, sf, 4, 4, 4), 6)
+
+
+_HALF_STEP = "pow(2.0, greatest(floor(log2(abs(cast(e as double)))), -14) - 10)"
+
+
+@register("half_precision", sql.query(final=f"select img_id, cast(i as int) as i, case when e = 0 then 0.0::double else round_even(cast(e as double) / {_HALF_STEP}, 0) * {_HALF_STEP} end as v from raw"))
+def half_precision(spark, sf):
+    return operands(spark, sf).select("img_id", "i", neural.align_precision(F.col("f"), "fp16").cast("double").alias("v"))
+
+
 @register("to_chw", sql.query(sql.px(4, 4, 4), final="select img_id, cast((c * 4 + y) * 4 + x as bigint) as i, v from px"))
 def to_chw(spark, sf):
     return arrays.to_chw(pixels(spark, sf, 4, 4, 4))
@@ -305,6 +330,22 @@ for _ta in (False, True):
         )
 
 
+@register("gemm_leading_axes", sql.query(_MATS, final=f"select a.mat_id as n0, a.i, b.j, {_ROUND} from a join (select i, j, v from b where mat_id = 1) b on a.j = b.i group by 1, 2, 3"))
+def gemm_leading_axes(spark, sf):
+    """One matrix, with a leading axis of one, times every matrix of an axis."""
+    a, b = matrices(spark, sf).withColumnRenamed("mat_id", "n0"), matrices(spark, sf, True).filter("mat_id = 1").withColumn("n0", F.lit(0)).drop("mat_id")
+    return _rounded(linalg.gemm_batched(a, b, (table(spark, sf, "embeddings").count(),), (1,)), "n0", "i", "j")
+
+
+@register("gemm_dense", ORACLES["gemm_nn"])
+def gemm_dense(spark, sf):
+    """Dense arrays, cut into tiles where they are."""
+    e = table(spark, sf, "embeddings")
+    a, b = arrays.dense(e, "vec_id", "embedding", 8, 8), arrays.dense(e, "vec_id", F.reverse("embedding"), 8, 8)
+    found = arrays.pixels(linalg.gemm(a, b)).select(F.col("img_id").alias("mat_id"), F.col("y").alias("i"), F.col("x").alias("j"), "v")
+    return _rounded(found, "mat_id", "i", "j")
+
+
 @register("gemm_packed", sql.query(_MATS, final=f"select a.mat_id, a.i, b.j, {_ROUND} from a join (select i, j, v from b where mat_id = 0) b on a.j = b.i group by 1, 2, 3"))
 def gemm_packed(spark, sf):
     b = linalg.pack_b(matrices(spark, sf, True).filter("mat_id = 0").drop("mat_id"))

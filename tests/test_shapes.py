@@ -66,3 +66,17 @@ def test_large_shared_operands_are_dealt_out(spark, monkeypatch):
         monkeypatch.setattr(linalg, "PACKED_TILES", most)
         got = {(r.mat_id, r.i, r.j): r.v for r in linalg.gemm(a, relation(spark, y), shared_b=True).collect()}
         assert got == {at: v for at, v in np.ndenumerate((x @ y))}
+
+
+def test_bytes_as_elements(spark):
+    """Every operator over dense arrays takes bytes as it takes integers."""
+    data = list(range(200, 224))
+    ints = dense(spark, data, 2, 3, 4)
+    raw = spark.createDataFrame([(0, 2, 3, 4, bytes(data))], "img_id bigint, h int, w int, cn int, data binary")
+    same = lambda f: [tuple(r) for r in f(raw).collect()] == [tuple(r) for r in f(ints).collect()]
+    for f in (
+        arrays.pixels, arrays.printed, lambda a: arrays.printed(a, 3), lambda a: arrays.at(a, 1, 2, 3), lambda a: arrays.metadata(a, "8U"), lambda a: a.select(arrays.shape_string(a, True)),
+        lambda a: arrays.transpose_nd(a, [2, 3, 4], [2, 0, 1]), lambda a: arrays.reinterpret(a, "8U", "16S"), lambda a: arrays.pixels(arrays.set_size(a, 1, 2)), lambda a: arrays.pixels(arrays.reshape(a, 3, 2)),
+    ):
+        assert same(f)
+    assert arrays.set_size(raw, 1, 2).first().data == bytes(data[:8])
