@@ -249,6 +249,29 @@ def together(a: Block, b: Block) -> tuple[Block, Block]:
 # -- Spark -----------------------------------------------------------------
 
 
+#: Bytes of small batches that are handed on together.
+TOGETHER = 8 << 20
+
+
+def few_batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """*run* with its small batches joined to larger ones, since each costs the same to hand on."""
+
+    def joined(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TOGETHER:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return joined
+
+
 def is_dense(frame: DataFrame) -> bool:
     return "data" in frame.columns
 
@@ -370,4 +393,4 @@ def _tiled(px: DataFrame, program: Program, kind: str, margin: int | None) -> Da
                 sizes = [pa.array(np.full(n, v, np.int32)) for v in (made.h, made.w)]
                 yield pa.RecordBatch.from_arrays([ids, *sizes, pa.array(y + made.y0), pa.array(x + made.x0), pa.array(c), pa.array(made.data.ravel().astype(types[kind]))], ["img_id", "h", "w", "y", "x", "c", "v"])
 
-    return tiles(px, margin, ["v"]).mapInArrow(run, f"img_id bigint, h int, w int, y int, x int, c int, v {kind}")
+    return tiles(px, margin, ["v"]).mapInArrow(few_batches(run), f"img_id bigint, h int, w int, y int, x int, c int, v {kind}")

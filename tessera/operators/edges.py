@@ -77,7 +77,7 @@ def _labelled(tiles: DataFrame, margin: int, values: list[str], detect: Detect,
                 lists = [places.astype(np.int32), label, np.unique(label[strong.ravel()[places]]), (y[edge] + own[0]).astype(np.int32), (x[edge] + own[2]).astype(np.int32), label[edge]]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in lists)], ["img_id", "h", "w", "ty", "tx", "places", "labels", "strong", "ys", "xs", "ends"])
 
-    return tiles.mapInArrow(run, f"{_TILE}, places array<int>, labels array<int>, strong array<int>, ys array<int>, xs array<int>, ends array<int>")
+    return tiles.mapInArrow(blocks.few_batches(run), f"{_TILE}, places array<int>, labels array<int>, strong array<int>, ys array<int>, xs array<int>, ends array<int>")
 
 
 def _joined_labels(tiles: DataFrame, size: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _drawn(tiles: DataFrame, size: int) -> DataFrame:
                 sizes = [np.full(n, image, np.int64), np.full(n, h, np.int32), np.full(n, w, np.int32), y + np.int32(ty * size), x + np.int32(tx * size), np.zeros(n, np.int32), out]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in sizes], ["img_id", "h", "w", "y", "x", "c", "v"])
 
-    return tiles.select(*_TILE.replace(" bigint", "").replace(" int", "").split(", "), "places", "labels", "strong", "good").mapInArrow(run, "img_id bigint, h int, w int, y int, x int, c int, v int")
+    return tiles.select(*_TILE.replace(" bigint", "").replace(" int", "").split(", "), "places", "labels", "strong", "good").mapInArrow(blocks.few_batches(run), "img_id bigint, h int, w int, y int, x int, c int, v int")
 
 
 def across_tiles(px: DataFrame, margin: int, values: list[str], detect: Detect) -> DataFrame:

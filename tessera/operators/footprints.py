@@ -102,9 +102,9 @@ def on_elements(px: DataFrame, mapping: Mapping, kind: str) -> DataFrame:
                 columns = [np.full(n, image, np.int64), np.full(n, mh, np.int32), np.full(n, mw, np.int32), yy + np.int32(own[0]), xx + np.int32(own[2]), cc, made.ravel().astype(made_kind)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["img_id", "h", "w", "y", "x", "c", "v"])
 
-    handed = blocks.tiles(px, 0, ["v"]).mapInArrow(parts, "img_id bigint, h int, w int, oy int, ox int, y int, x int, rows int, cols int, cn int, data binary")
+    handed = blocks.tiles(px, 0, ["v"]).mapInArrow(blocks.few_batches(parts), "img_id bigint, h int, w int, oy int, ox int, y int, x int, rows int, cols int, cn int, data binary")
     groups = handed.groupBy(*head).agg(F.collect_list(F.struct("y", "x", "rows", "cols", "cn", "data")).alias("parts"))
-    return groups.mapInArrow(tiles, f"img_id bigint, h int, w int, y int, x int, c int, v {kind}")
+    return groups.mapInArrow(blocks.few_batches(tiles), f"img_id bigint, h int, w int, y int, x int, c int, v {kind}")
 
 
 def on_frame(frame: DataFrame, mapping: Mapping, depth: str) -> DataFrame:

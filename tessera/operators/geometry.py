@@ -128,22 +128,44 @@ def warp_affine(px: DataFrame, matrix: list[list[float]], depth: str, dsize: tup
         ends = lambda u, n: folded_span(int(np.clip(np.floor(u.min()), -far, far)) - 1, int(np.clip(np.floor(u.max()), -far, far)) + 2, n, border)
         return (*ends(uy, h), *ends(ux, w))
 
-    def make(block: Block, part: Rectangle) -> np.ndarray:
-        cn = block.data.shape[3]
-        outside = saturated(np.array((lanes(value, min(cn, max(channels, 1)), depth) * cn)[:cn], np.float64), depth)
+    known: dict[tuple, tuple] = {}
+
+    def places(block: Block, part: Rectangle) -> tuple:
+        """What a part reads of images of this size: places of up to four corners, the last one standing for outside, and weights."""
         ux, uy = sources(np.arange(part[2], part[3], dtype=np.float64)[None, :], np.arange(part[0], part[1], dtype=np.float64)[:, None])
+        rows, cols = block.data.shape[1:3]
 
-        def fetched(py: np.ndarray, px_: np.ndarray, kind) -> np.ndarray:
+        def spot(py: np.ndarray, px_: np.ndarray) -> np.ndarray:
             (ys, in_y), (xs, in_x) = folded(py, block.h, border), folded(px_, block.w, border)
-            return np.where((in_y & in_x)[None, :, :, None], block.data[:, ys - block.y0, xs - block.x0], outside).astype(kind)
+            return np.where(in_y & in_x, (ys - block.y0) * cols + xs - block.x0, rows * cols).ravel()
 
         if interpolation == "NEAREST":
-            return fetched(np.floor(uy + 0.5).astype(np.int64), np.floor(ux + 0.5).astype(np.int64), block.data.dtype)
+            return [spot(np.floor(uy + 0.5).astype(np.int64), np.floor(ux + 0.5).astype(np.int64))], None, None
         bx, by = np.floor(ux).astype(np.int64), np.floor(uy).astype(np.int64)
-        wx, wy = (ux - bx)[None, :, :, None], (uy - by)[None, :, :, None]
-        p = [fetched(by + j, bx + i, np.float64) for j in (0, 1) for i in (0, 1)]
-        upper, lower = p[0] + (p[1] - p[0]) * wx, p[2] + (p[3] - p[2]) * wx
-        return saturated(upper + (lower - upper) * wy, depth)
+        return [spot(by + j, bx + i) for j in (0, 1) for i in (0, 1)], (ux - bx).reshape(1, -1, 1), (uy - by).reshape(1, -1, 1)
+
+    def make(block: Block, part: Rectangle) -> np.ndarray:
+        n, rows, cols, cn = block.data.shape
+        outside = saturated(np.array((lanes(value, min(cn, max(channels, 1)), depth) * cn)[:cn], np.float64), depth)
+        key = (block.h, block.w, block.y0, block.x0, rows, cols, part)
+        if key not in known:
+            known.clear()  # images of one size follow each other
+            known[key] = places(block, part)
+        at, wx, wy = known[key]
+        shape = (n, part[1] - part[0], part[3] - part[2], cn)
+        flat = np.empty((n, rows * cols + 1, cn), block.data.dtype if interpolation == "NEAREST" else np.float64)
+        flat[:, :-1], flat[:, -1] = block.data.reshape(n, -1, cn), outside
+        corners = [np.take(flat, k, axis=1) for k in at]
+        if wx is None:
+            return corners[0].reshape(shape)
+        for first, second in ((0, 1), (2, 3)):
+            corners[second] -= corners[first]
+            corners[second] *= wx
+            corners[first] += corners[second]
+        upper, _, lower, _ = corners
+        lower -= upper
+        lower *= wy
+        return saturated((upper + lower).reshape(shape), depth)
 
     return on_frame(px, Mapping(size, reads, make), depth)
 

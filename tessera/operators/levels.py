@@ -159,7 +159,7 @@ def _counted(px: DataFrame) -> DataFrame:
                 data = block.data.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([data.tobytes()], pa.binary()), pa.array([_counts(data).tolist()], pa.list_(pa.int64()))], ["img_id", "h", "w", "y", "x", "rows", "cols", "cn", "data", "counts"])
 
-    return blocks.tiles(px, 0, ["v"]).mapInArrow(run, "img_id bigint, h int, w int, y int, x int, rows int, cols int, cn int, data binary, counts array<bigint>")
+    return blocks.tiles(px, 0, ["v"]).mapInArrow(blocks.few_batches(run), "img_id bigint, h int, w int, y int, x int, rows int, cols int, cn int, data binary, counts array<bigint>")
 
 
 def _merged(level):
@@ -187,7 +187,7 @@ def _applied(tiles: DataFrame, maxval: float, kind: str) -> DataFrame:
                 columns = [np.full(n, image, np.int64), np.full(n, h, np.int32), np.full(n, w, np.int32), y + np.int32(y0), x + np.int32(x0), c, np.full(n, t, np.int32), made]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], [*KEY, "t", "v"])
 
-    return tiles.select("img_id", "h", "w", "y", "x", "rows", "cols", "cn", "t", "data").mapInArrow(run, "img_id bigint, h int, w int, y int, x int, c int, t int, v int")
+    return tiles.select("img_id", "h", "w", "y", "x", "rows", "cols", "cn", "t", "data").mapInArrow(blocks.few_batches(run), "img_id bigint, h int, w int, y int, x int, c int, t int, v int")
 
 
 def lut(px: DataFrame, table: list[float] | list[list[float]], depth: str = "8U") -> DataFrame:

@@ -351,24 +351,19 @@ def thinned(gx: np.ndarray, gy: np.ndarray, m: np.ndarray, low: float) -> np.nda
 
     Only elements above *low* are looked at.
     """
-    at = np.flatnonzero(m > np.float32(low))
-    x, y = gx.ravel()[at].astype(np.float64), gy.ravel()[at].astype(np.float64)
-    tg = np.where(x != 0, y / np.where(x == 0, 1.0, x), np.where(y >= 0, 1e308, -1e308))
-    t1, t3 = math.tan(math.pi / 8), math.tan(3 * math.pi / 8)
-    size = np.abs(tg)
-    sector = np.where(size < t1, 0, np.where(size > t3, 3, np.where(tg > 0, 1, 2)))
+    above = m > np.float32(low)
+    x, y = gx[above], gy[above]
+    ax, ay = np.abs(x).astype(np.float64), np.abs(y).astype(np.float64)
+    # tangents of 22.5 and 67.5 degrees; no quotient of integers is one
+    flat, steep = ay < math.tan(math.pi / 8) * ax, ay >= math.tan(3 * math.pi / 8) * ax
     # places in images with a margin of one, where strengths are 0
-    wide = np.pad(m, ((0, 0), (1, 1), (1, 1)))
-    rows, cols = m.shape[1:]
-    line, column = np.divmod(at, cols)
-    image, line = np.divmod(line, rows)
-    place = (image * (rows + 2) + line + 1) * (cols + 2) + column + 1
-    step = np.array([dy * (cols + 2) + dx for dy, dx in _AHEAD])[sector]
-    flat, here = wide.ravel(), m.ravel()[at]
-    ahead, behind = flat[place + step], flat[place - step]
-    straight = (sector == 0) | (sector == 3)
+    around = ((0, 0), (1, 1), (1, 1))
+    wide, place = np.pad(m, around).ravel(), np.flatnonzero(np.pad(above, around))
+    steps = np.array([dy * (m.shape[2] + 2) + dx for dy, dx in _AHEAD])
+    step = np.where(steep, steps[3], np.where(flat, steps[0], np.where((x < 0) == (y < 0), steps[1], steps[2])))
+    here, ahead, behind = m[above], wide[place + step], wide[place - step]
     out = np.zeros(m.shape, bool)
-    out.ravel()[at] = ((here > ahead) | ((here == ahead) & straight)) & (here > behind)
+    out[above] = ((here > ahead) | ((here == ahead) & (flat | steep))) & (here > behind)
     return out
 
 

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import _numbers, few_batches
+
 #: Rows and columns of a tile.
 SIDE = 128
 #: Output tiles whose partial products a task adds up before it hands them on.
@@ -54,15 +56,13 @@ def of_elements(m: DataFrame, keys: list[str], trans: bool, side: int = SIDE) ->
                 tile[y, x] = v
                 yield _table([tuple(batch.column(n)[k].as_py() for n in range(len(names)))], [batch.schema.field(n) for n in range(len(names))], [tile])
 
-    return groups.mapInArrow(run, f"{_keys(groups, names)}, {_TILE}")
+    return groups.mapInArrow(few_batches(run), f"{_keys(groups, names)}, {_TILE}")
 
 
 def of_dense(arrays: DataFrame, trans: bool, side: int = SIDE) -> DataFrame:
     """Tiles of dense one-channel arrays, cut where they are, with the key ``mat_id``."""
     import pyarrow as pa
 
-    from .blocks import _numbers
-
     fields = [pa.field("mat_id", pa.int64()), pa.field("ti", pa.int32()), pa.field("tj", pa.int32())]
 
     def run(batches):
@@ -75,7 +75,7 @@ def of_dense(arrays: DataFrame, trans: bool, side: int = SIDE) -> DataFrame:
                 for s in spots:
                     yield _table([s], fields, [whole[s[1] * side : (s[1] + 1) * side, s[2] * side : (s[2] + 1) * side]])
 
-    return arrays.select(F.col("img_id").alias("mat_id"), "h", "w", "data").mapInArrow(run, f"mat_id bigint, ti int, tj int, {_TILE}")
+    return arrays.select(F.col("img_id").alias("mat_id"), "h", "w", "data").mapInArrow(few_batches(run), f"mat_id bigint, ti int, tj int, {_TILE}")
 
 
 def _keys(frame: DataFrame, names: list[str]) -> str:
@@ -125,8 +125,8 @@ def multiply(left: DataFrame, right: DataFrame, met: list[Column] | list[str], k
         if last is not None:
             yield _table([last], fields, [total])
 
-    parts = pairs.mapInArrow(products, schema)
-    return parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(sums, schema)
+    parts = pairs.mapInArrow(few_batches(products), schema)
+    return parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(few_batches(sums), schema)
 
 
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def elements(found: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(i + np.int32(ti * side)), pa.array(j + np.int32(tj * side)), pa.array(values)], [*keys, "i", "j", "v"])
 
     listed = f"{_keys(found, keys)}, " if keys else ""
-    return found.select(*keys, "ti", "tj", "rows", "cols", "data").mapInArrow(run, f"{listed}i int, j int, v float")
+    return found.select(*keys, "ti", "tj", "rows", "cols", "data").mapInArrow(few_batches(run), f"{listed}i int, j int, v float")
 
 
 def dense(found: DataFrame, side: int = SIDE) -> DataFrame:
@@ -177,4 +177,4 @@ def dense(found: DataFrame, side: int = SIDE) -> DataFrame:
                 sizes = [pa.array([v], pa.int32()) for v in (*whole.shape, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *sizes, pa.ListArray.from_arrays(pa.array([0, whole.size], pa.int32()), pa.array(whole.ravel()))], ["img_id", "h", "w", "cn", "data"])
 
-    return groups.mapInArrow(run, "img_id bigint, h int, w int, cn int, data array<float>")
+    return groups.mapInArrow(few_batches(run), "img_id bigint, h int, w int, cn int, data array<float>")
