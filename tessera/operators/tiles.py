@@ -4,7 +4,7 @@ A tile is a row of batch keys, ``ti``, ``tj``, its size and its elements as litt
 Tiles of a left and a right matrix meet by the inner tile, are multiplied where they meet, and
 partial products of an output tile are added up: in the task that made them, then after one
 exchange by output tile, a row at a time in key order.  So tiles are shuffled, in proportion to the
-products of tiles at most, and no task holds more than ``HELD`` tiles.  An inner tile with too many
+products of tiles at most, and a task holds ``HELD`` tiles, or as many small ones as have few bytes.  An inner tile with too many
 partners is split by Spark's skew join, which copies the other side to each part.
 
 Missing elements count as 0; a tile ends at the last row and column that it has.
@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import _numbers, few_batches
+from .blocks import TOGETHER, _numbers, few_batches
 
 #: Rows and columns of a tile.
 SIDE = 128
-#: Output tiles whose partial products a task adds up before it hands them on.
+#: Output tiles whose partial products a task adds up at least before it hands them on.
 HELD = 64
 _TILE = "rows int, cols int, data binary"
 
@@ -39,6 +39,21 @@ def _table(keys: list[tuple], fields, found: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([*columns, *sizes, data], [*(f.name for f in fields), "rows", "cols", "data"])
 
 
+def _rows(batch, width: int) -> list[tuple]:
+    """The first columns of a batch, row by row."""
+    return list(zip(*(batch.column(n).to_pylist() for n in range(width)), strict=True))
+
+
+def _tables(keys: list[tuple], fields, found: list[np.ndarray]):
+    """Tiles as Arrow batches of ``TOGETHER`` bytes or little more."""
+    first, size = 0, 0
+    for k, tile in enumerate(found):
+        size += tile.nbytes
+        if size >= TOGETHER or k == len(found) - 1:
+            yield _table(keys[first : k + 1], fields, found[first : k + 1])
+            first, size = k + 1, 0
+
+
 def of_elements(m: DataFrame, keys: list[str], trans: bool, side: int = SIDE) -> DataFrame:
     """Tiles of ``i, j, v`` elements; one exchange."""
     row, col = ("j", "i") if trans else ("i", "j")
@@ -50,11 +65,15 @@ def of_elements(m: DataFrame, keys: list[str], trans: bool, side: int = SIDE) ->
 
     def run(batches):
         for batch in batches:
-            for k in range(len(batch)):
-                y, x, v = (batch.column(len(names)).slice(k, 1).flatten().field(n).to_numpy(zero_copy_only=False) for n in range(3))
-                tile = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
-                tile[y, x] = v
-                yield _table([tuple(batch.column(n)[k].as_py() for n in range(len(names)))], [batch.schema.field(n) for n in range(len(names))], [tile])
+            lists, fields = batch.column(len(names)), [batch.schema.field(n) for n in range(len(names))]
+            y, x, v = (lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in range(3))
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            found = []
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                tile = np.zeros((int(y[s:e].max()) + 1, int(x[s:e].max()) + 1))
+                tile[y[s:e], x[s:e]] = v[s:e]
+                found.append(tile)
+            yield from _tables(_rows(batch, len(names)), fields, found)
 
     return groups.mapInArrow(few_batches(run), f"{_keys(groups, names)}, {_TILE}")
 
@@ -72,8 +91,7 @@ def of_dense(arrays: DataFrame, trans: bool, side: int = SIDE) -> DataFrame:
                 whole = _numbers(batch.column(3).slice(k, 1)).astype("<f8").reshape(h, w)
                 whole = whole.T if trans else whole
                 spots = [(mat, y, x) for y in range(-(-whole.shape[0] // side)) for x in range(-(-whole.shape[1] // side))]
-                for s in spots:
-                    yield _table([s], fields, [whole[s[1] * side : (s[1] + 1) * side, s[2] * side : (s[2] + 1) * side]])
+                yield from _tables(spots, fields, [whole[y * side : (y + 1) * side, x * side : (x + 1) * side] for _, y, x in spots])
 
     return arrays.select(F.col("img_id").alias("mat_id"), "h", "w", "data").mapInArrow(few_batches(run), f"mat_id bigint, ti int, tj int, {_TILE}")
 
@@ -98,30 +116,38 @@ def multiply(left: DataFrame, right: DataFrame, met: list[Column] | list[str], k
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             fields = [batch.schema.field(n) for n in range(width)]
-            keyed = list(zip(*(batch.column(n).to_pylist() for n in range(width)), strict=True))
-            for k, key in enumerate(keyed):
-                a, b = (_matrix(*(batch.column(width + at + n)[k].as_py() for n in range(2)), batch.column(width + at + 2)[k].as_buffer()) for at in (0, 3))
+            sizes = [batch.column(width + n).to_pylist() for n in (0, 1, 3, 4)]
+            left, right = batch.column(width + 2), batch.column(width + 5)
+            for k, key in enumerate(_rows(batch, width)):
+                a, b = _matrix(sizes[0][k], sizes[1][k], left[k].as_buffer()), _matrix(sizes[2][k], sizes[3][k], right[k].as_buffer())
                 inner = min(a.shape[1], b.shape[0])
                 made = a[:, :inner] @ b[:inner]
                 held[key] = added(held[key], made) if key in held else made
-                if len(held) >= HELD:
-                    yield _table(list(held), fields, list(held.values()))
+                # small tiles are many: what is held is bounded in bytes
+                if len(held) >= HELD and len(held) * made.nbytes >= TOGETHER:
+                    yield from _tables(list(held), fields, list(held.values()))
                     held = {}
         if held:
-            yield _table(list(held), fields, list(held.values()))
+            yield from _tables(list(held), fields, list(held.values()))
 
     def sums(batches):
         last, total, fields = None, None, None
         for batch in batches:
             fields = [batch.schema.field(n) for n in range(width)]
-            for k, key in enumerate(zip(*(batch.column(n).to_pylist() for n in range(width)), strict=True)):
-                tile = _matrix(batch.column(width)[k].as_py(), batch.column(width + 1)[k].as_py(), batch.column(width + 2)[k].as_buffer())
+            rows, cols, data = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2)
+            keys, found = [], []
+            for k, key in enumerate(_rows(batch, width)):
+                tile = _matrix(rows[k], cols[k], data[k].as_buffer())
                 if key == last:
                     total = added(total, tile)
                     continue
                 if last is not None:
-                    yield _table([last], fields, [total])
+                    keys.append(last)
+                    found.append(total)
                 last, total = key, tile
+            if total is not None:
+                total = total.copy()  # the batch may go
+            yield from _tables(keys, fields, found)
         if last is not None:
             yield _table([last], fields, [total])
 
@@ -145,15 +171,25 @@ def elements(found: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        places: dict[tuple[int, int], tuple] = {}
         for batch in batches:
-            for k in range(len(batch)):
-                ti, tj, rows, cols = (batch.column(len(keys) + n)[k].as_py() for n in range(4))
-                tile = _matrix(rows, cols, batch.column(len(keys) + 4)[k].as_buffer())
-                i, j = (p.ravel().astype(np.int32) for p in np.indices(tile.shape))
-                own = [pa.array([batch.column(n)[k].as_py()] * tile.size, batch.schema.field(n).type) for n in range(len(keys))]
+            ti, tj, rows, cols = (batch.column(len(keys) + n).to_pylist() for n in range(4))
+            out_i, out_j, out_v, data = [], [], [], batch.column(len(keys) + 4)
+            for k, shape in enumerate(zip(rows, cols, strict=True)):
+                if shape not in places:
+                    if len(places) > 100:
+                        places.clear()
+                    places[shape] = tuple(p.ravel().astype(np.int32) for p in np.indices(shape))
+                i, j = places[shape]
+                out_i.append(i + np.int32(ti[k] * side))
+                out_j.append(j + np.int32(tj[k] * side))
                 with np.errstate(over="ignore"):
-                    values = tile.ravel().astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(i + np.int32(ti * side)), pa.array(j + np.int32(tj * side)), pa.array(values)], [*keys, "i", "j", "v"])
+                    out_v.append(np.frombuffer(data[k].as_buffer(), "<f8").astype(np.float32))
+            if not out_v:
+                continue
+            at = pa.array(np.repeat(np.arange(len(batch)), [len(v) for v in out_v]))
+            own = [batch.column(n).take(at) for n in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(v)) for v in (out_i, out_j, out_v))], [*keys, "i", "j", "v"])
 
     listed = f"{_keys(found, keys)}, " if keys else ""
     return found.select(*keys, "ti", "tj", "rows", "cols", "data").mapInArrow(few_batches(run), f"{listed}i int, j int, v float")
