@@ -65,9 +65,9 @@ def gemm(a: DataFrame, b: DataFrame, trans_a: bool = False, trans_b: bool = Fals
     found = tiles.multiply(left, b if is_packed else _right(b, ["mat_id"], trans_b), met, {"mat_id": "mat_id"})
     if is_dense(a) and scales is None:
         return tiles.dense(found)
-    out = tiles.elements(found, ["mat_id"])
-    if scales is not None:
-        out = out.join(scales, "j").withColumn("v", (F.col("v").cast("double") * F.col("scale").cast("double")).cast("float"))
+    if scales is None:
+        return tiles.elements(found, ["mat_id"])
+    out = tiles.elements(found, ["mat_id"], kind="double").join(scales, "j").withColumn("v", (F.col("v") * F.col("scale").cast("double")).cast("float"))
     return out.select("mat_id", "i", "j", "v")
 
 

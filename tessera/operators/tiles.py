@@ -165,8 +165,9 @@ def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def elements(found: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
-    """``i, j, v`` of tiles, in 32F."""
+def elements(found: DataFrame, keys: list[str], side: int = SIDE, kind: str = "float") -> DataFrame:
+    """``i, j, v`` of tiles, as float or, before more is done to them, as double."""
+    number = {"float": np.float32, "double": np.float64}[kind]
 
     def run(batches):
         import pyarrow as pa
@@ -184,7 +185,7 @@ def elements(found: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
                 out_i.append(i + np.int32(ti[k] * side))
                 out_j.append(j + np.int32(tj[k] * side))
                 with np.errstate(over="ignore"):
-                    out_v.append(np.frombuffer(data[k].as_buffer(), "<f8").astype(np.float32))
+                    out_v.append(np.frombuffer(data[k].as_buffer(), "<f8").astype(number))
             if not out_v:
                 continue
             at = pa.array(np.repeat(np.arange(len(batch)), [len(v) for v in out_v]))
@@ -192,7 +193,7 @@ def elements(found: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(v)) for v in (out_i, out_j, out_v))], [*keys, "i", "j", "v"])
 
     listed = f"{_keys(found, keys)}, " if keys else ""
-    return found.select(*keys, "ti", "tj", "rows", "cols", "data").mapInArrow(few_batches(run), f"{listed}i int, j int, v float")
+    return found.select(*keys, "ti", "tj", "rows", "cols", "data").mapInArrow(few_batches(run), f"{listed}i int, j int, v {kind}")
 
 
 def dense(found: DataFrame, side: int = SIDE) -> DataFrame:
