@@ -54,13 +54,18 @@ def _tables(keys: list[tuple], fields, found: list[np.ndarray]):
             first, size = k + 1, 0
 
 
+def _tasks(frame: DataFrame) -> int:
+    """As many tasks as the session deals out to; a tile costs more than its bytes tell, so few bytes are not put together."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def of_elements(m: DataFrame, keys: list[str], trans: bool, side: int = SIDE) -> DataFrame:
     """Tiles of ``i, j, v`` elements; one exchange."""
     row, col = ("j", "i") if trans else ("i", "j")
     at = lambda c: F.floor(F.col(c) / side).cast("int")
     within = F.struct((F.col(row) % side).alias("y"), (F.col(col) % side).alias("x"), F.col("v").cast("double").alias("v"))
     each = m.select(*keys, at(row).alias("ti"), at(col).alias("tj"), within.alias("e"))
-    groups = each.groupBy(*keys, "ti", "tj").agg(F.collect_list("e").alias("at"))
+    groups = each.repartition(_tasks(m), *keys, "ti", "tj").groupBy(*keys, "ti", "tj").agg(F.collect_list("e").alias("at"))
     names = [*keys, "ti", "tj"]
 
     def run(batches):
@@ -152,7 +157,7 @@ def multiply(left: DataFrame, right: DataFrame, met: list[Column] | list[str], k
             yield _table([last], fields, [total])
 
     parts = pairs.mapInArrow(few_batches(products), schema)
-    return parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(few_batches(sums), schema)
+    return parts.repartition(_tasks(parts), *names).sortWithinPartitions(*names).mapInArrow(few_batches(sums), schema)
 
 
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
