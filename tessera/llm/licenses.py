@@ -8,8 +8,9 @@ rarest first, by their document frequency over the whole corpus, and filters lea
 that can reach the threshold, losing none:
 
 * prefix: a template of ``k`` words that needs ``t`` of them shares one of its first ``k - t + 1``;
-* length: a block with fewer than ``t`` words of any template cannot hold it;
-* positional: windows are looked at around places of prefix words only, where the words there suffice.
+* length: with fewer than ``t`` known words around a prefix word, no block there can hold the template;
+* positional: if that word is the first of the shared ones in the global order, the others are behind it, in the
+  template and in the block, so both have to have ``t`` words from there on.
 
 The templates' side is bounded by the list of templates, so it goes to the tasks; only word
 counts of template words, one row a word, come back.  Both passes are without a shuffle of text.
@@ -22,6 +23,7 @@ Repeated rows repeat results; only the id and text columns are read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -81,41 +83,32 @@ class TemplateIndex:
             for place, w in enumerate(order[: len(order) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates), place))
             self.templates.append((label, order, s, need))
-        self.least = min(need for *_, need in self.templates)
-
-    def find(self, block: set[bytes], telling: set[bytes] | frozenset[bytes] = frozenset()) -> dict[str, float]:
-        """Labels of the templates that the block holds, with all their words among *telling*, each with the largest containment."""
-        known = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
-        found: dict[str, float] = {}
-        if len(known) < self.least:
-            return found
-        seen = set()
-        for at, w in enumerate(known):
-            for t, place in self.prefix.get(w, ()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                label, order, words, need = self.templates[t]
-                if len(known) >= need and min(len(order) - place, len(known) - at) >= need:
-                    share = len(words & block)
-                    if share >= need and words & telling <= block:
-                        found[label] = max(found.get(label, 0.0), share / len(order))
-        return found
 
     def find_windows(self, words: list[bytes], telling: set[bytes] | frozenset[bytes] = frozenset()) -> dict[str, float]:
-        """As :meth:`find` with every window of *words* as a block, each template with its own window length.
+        """Labels of the templates that some window of *words* holds, with all their words among *telling*, each with the largest containment.
 
-        A window that holds a template has one of its prefix words, so only the surroundings of those
-        words are looked at, where the surroundings hold enough of the template at all.
+        A window that holds a template shares a prefix word with it; of all it shares, take the one that is first in
+        the global order.  Windows around a place of that word can hold the template only if there are as many known
+        words around it as are needed (length), and as many distinct ones from that word on in the global order
+        (positional).  Places that do not reach this are left out, and windows are counted around the others.
         """
-        near: dict[int, list[int]] = {}
+        known: list[int] = []
+        ranks: list[int] = []
+        near: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(words):
-            for t, _ in self.prefix.get(w, ()):
-                near.setdefault(t, []).append(i)
+            rank = self.rank.get(w)
+            if rank is None:
+                continue
+            for t, place in self.prefix.get(w, ()):
+                near.setdefault(t, []).append((len(known), place))
+            known.append(i)
+            ranks.append(rank)
         found: dict[str, float] = {}
-        for t, at in near.items():
+        for t, firsts in near.items():
             label, order, own, need = self.templates[t]
-            span, start = self.spans[t], 0
+            span = self.spans[t]
+            at = [known[k] for k, place in firsts if self._reaches(known, ranks, k, span, len(order) - place, need)]
+            start = 0
             for k, i in enumerate(at):
                 if k + 1 < len(at) and at[k + 1] - i < 2 * span:
                     continue
@@ -125,6 +118,15 @@ class TemplateIndex:
                 start = k + 1
         return found
 
+    @staticmethod
+    def _reaches(known: list[int], ranks: list[int], k: int, span: int, left: int, need: int) -> bool:
+        """Whether the known words around the *k*-th let a window of *span* words hold *need* of a template that has *left* words from there on."""
+        low, high = bisect_right(known, known[k] - span), bisect_left(known, known[k] + span)
+        if left < need or high - low < need:
+            return False
+        first = ranks[k]
+        return len({r for r in ranks[low:high] if r >= first}) >= need
+
 
 def _fullest(words: list[bytes], own: set[bytes], must: set[bytes], span: int, need: int) -> int:
     """The most distinct words of *own* in a window of *span* words that has all of *must*; 0 if fewer than *need*."""

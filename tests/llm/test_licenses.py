@@ -36,7 +36,7 @@ def test_windows_are_those_of_brute_force(seed):
     rng = random.Random(seed)
     vocabulary = [w for _, t in licenses.TEMPLATES[seed % 15 :][:2] for w in licenses.words_of(t.encode())] + [b"other"] * 3
     words = [rng.choice(vocabulary) for _ in range(120)]
-    index = licenses.TemplateIndex({})
+    index = licenses.TemplateIndex({w: rng.randrange(50) for w in vocabulary} if seed % 2 else {})
     want = {}
     for label, t in licenses.TEMPLATES:
         listed = licenses.words_of(t.encode())
@@ -48,6 +48,27 @@ def test_windows_are_those_of_brute_force(seed):
     assert index.find_windows(words, licenses.TELLING) == want
 
 
+def test_filters_leave_out_places_that_cannot_reach():
+    index = licenses.TemplateIndex({w: 100 for w in (b"the", b"of", b"this", b"is", b"under")})
+    (at,) = [k for k, (_, t) in enumerate(licenses.TEMPLATES) if t.startswith("Released under")]
+    _, order, _, need = index.templates[at]
+    span = index.spans[at]
+
+    def reaches(text):
+        words = licenses.words_of(text)
+        known = [i for i, w in enumerate(words) if w in index.rank]
+        ranks = [index.rank[words[i]] for i in known]
+        (k,) = [k for k, i in enumerate(known) if words[i] == order[0]]
+        return index._reaches(known, ranks, k, span, len(order), need)
+
+    first = order[0]
+    assert reaches(b" ".join([b"x", *order, b"x"]))
+    assert not reaches(b"x x " + first + b" x x")  # length: too few known words
+    assert not reaches(first + b" this is this is this")  # positional: too few distinct ones from there on
+    before = sorted((w for w in index.rank if index.rank[w] < index.rank[first]), key=index.rank.get)[:4]
+    assert not before or not reaches(b" ".join([*before, first]))  # positional: the others come earlier in the order
+
+
 def test_scattered_words_are_no_notice(spark):
     found = labels(spark, ["the boat was released in may and the driver lost his license under a bridge; der Mann ging mit dem Hund", " ".join(w + " x y z" for w in licenses.TEMPLATES[3][1].split())])
     assert found == {0: {""}, 1: {""}}
