@@ -3,7 +3,9 @@
 The word vocabulary drops white space and never merges across it, so a text's ids
 are the joined ids of its words.  Arrow splits a batch of texts and finds its distinct
 words; each worker asks the library once for a word and remembers the packed ids, within
-a bound; the ids of all texts are then gathered at once.  Ids are unsigned 32-bit integers.
+a bound; the ids of all texts are then gathered at once.  The memo has two halves: when the
+newer one is full, the older one goes, and a word that is met again moves to the newer one,
+so words that come again and again stay, however many come once.  Ids are unsigned 32-bit integers.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ import gc
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Bytes that a worker's memo of words may take, by an estimate of an entry's overhead.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 160 << 20
 _ENTRY_BYTES = 180
 #: Words joined to one text for the library.
 JOINED = 64
 #: Bytes of text looked at together.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
 
 #: Marks that are a token of their own after letters.
 _MARKS = ".,;:!?"
@@ -47,15 +50,29 @@ class WordTokens:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
+        self._former: dict[str, bytes] = {}
         self._held = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _known(self, words: list[str]) -> list[bytes | None]:
+        """Remembered ids of words; those of the former half are kept on."""
+        memo, former = self._memo, self._former
+        found = list(map(memo.get, words))
+        if former:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                if (x := former.get(words[i])) is not None:
+                    memo[words[i]] = found[i] = x
+        return found
+
+    def _new(self, words: list[str]) -> list[str]:
+        return [w for w, x in zip(words, self._known(words), strict=True) if x is None]
+
     def _letters(self, words: list[str]) -> None:
         """Remembers words of lower-case letters alone: each ends at its only token that ends a word."""
         found = self._encode([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
         ends = (np.flatnonzero(self._ends_word[flat]) + 1) * 4
         if len(ends) != len(words):
             self._memo.update((w, array("I", x).tobytes()) for w, x in zip(words, self._encode(words), strict=True))
@@ -73,9 +90,9 @@ class WordTokens:
         plain = words.filter(plain)
         core = pc.utf8_rtrim(plain, _MARKS)
         mark = _strings(pc.utf8_slice_codeunits(plain, -1).dictionary_encode().dictionary)
-        alone = [w for w in {*others, *mark} if w not in memo]
+        alone = self._new([*{*others, *mark}])
         memo.update((w, array("I", x).tobytes()) for w, x in zip(alone, self._encode(alone), strict=True))
-        if cores := [w for w in _strings(core.dictionary_encode().dictionary) if w not in memo]:
+        if cores := self._new(_strings(core.dictionary_encode().dictionary)):
             self._letters(cores)
         marked = pc.not_equal(core, plain)
         for w, c in zip(_strings(plain.filter(marked)), _strings(core.filter(marked)), strict=True):
@@ -87,9 +104,8 @@ class WordTokens:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if self._held > MEMO_BYTES:
-            self._memo.clear()
-            self._held = 0
+        if self._held > MEMO_BYTES // 2:
+            self._former, self._memo, self._held = self._memo, {}, 0
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         # a special token's text in capitals is not that token
@@ -100,24 +116,28 @@ class WordTokens:
         on = gc.isenabled()
         gc.disable()  # the lists here have no cycles, and collections would walk them again and again
         try:
-            found = list(map(self._memo.get, words))
+            known = len(self._memo)
+            found = self._known(words)
             if missing := [i for i, x in enumerate(found) if x is None]:
-                known = len(self._memo)
-                for i, x in zip(missing, self._remember(coded.dictionary.take(pa.array(missing))), strict=True):
+                new = self._remember(coded.dictionary.take(pa.array(missing)))
+                for i, x in zip(missing, new, strict=True):
                     found[i] = x
-                # the new words with their ids, and the words without marks that came with them
-                self._held += (len(self._memo) - known) * _ENTRY_BYTES + sum(4 * len(words[i]) + len(found[i]) for i in missing)
+                # the new words with their ids
+                self._held += 4 * sum(map(len, map(words.__getitem__, missing))) + sum(map(len, new))
+            # also words that are kept on, and words without marks that came with others
+            self._held += (len(self._memo) - known) * _ENTRY_BYTES
         finally:
             if on:
                 gc.enable()
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         table = np.frombuffer(b"".join(found), "<u4")
-        firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         which = coded.indices.to_numpy(zero_copy_only=False)
         sizes = lengths[which]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = table[np.repeat(firsts[which] - (ends - sizes), sizes) + np.arange(total)]
+        place = np.int32 if max(total, len(table)) < 1 << 31 else np.int64  # half the memory, where it holds all places
+        firsts = np.cumsum(lengths, dtype=place) - lengths
+        ids = table[np.repeat(firsts[which] - (ends.astype(place) - sizes), sizes) + np.arange(total, dtype=place)]
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         return ids, np.concatenate(([0], ends))[bounds - bounds[0]]
 

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, huffman, licenses, packing, secrets
+from tessera.llm import bpe, huffman, licenses, packing, secrets, word_tokens
 from tessera.llm.queries import tokenizer
 
 from .cases import by_id, documents, empty, rows, texts
@@ -216,3 +216,16 @@ def test_filters_lose_no_template(block, frequency):
         if any(len(own & set(words[i : i + span])) >= licenses.CONTAINMENT * len(own) - 1e-9 for i in range(len(words))):
             want.add(label)
     assert set(index.find_windows(words)) == want
+
+
+def test_frequent_words_stay_in_a_full_memo(monkeypatch):
+    frequent = [f"often{'abcdefghij'[i]}" for i in range(10)]
+    chunks = [[" ".join([*frequent, *(f"once{'abcdefghij'[k]}{'abcdefghij'[i]}{'abcdefghij'[j]}" for i in range(10) for j in range(10))])] for k in range(10)]
+    monkeypatch.setattr(word_tokens, "MEMO_BYTES", 150 * word_tokens._ENTRY_BYTES)
+    library, tokens, asked = Tokenizer.from_file(WORDS), word_tokens.WordTokens(WORDS), []
+    encode = tokens._encode
+    monkeypatch.setattr(tokens, "_encode", lambda texts: [asked.extend(t.split()) for t in texts] and encode(texts))
+    for chunk in chunks:
+        assert tokens.encode_batch(chunk) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in chunk]
+    assert max(asked.count(w) for w in frequent) == 1
+    assert sum(len(x) for x in vars(tokens).values() if isinstance(x, dict)) < 600
