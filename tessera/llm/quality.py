@@ -5,9 +5,9 @@ of the tests on a path from a root to a node.  An L1-penalised logistic regressi
 over the rules' truth values keeps few of them, and the kept rules with their
 weights compile to one Spark column expression, so scoring is a projection.
 
-Only the text enters a score.  Training reads at most ``TRAIN_ROWS`` labelled rows,
-those with the smallest hash of their id, so the bound and the rows do not depend
-on how data is laid out.
+Only the text enters a score.  Training reads every labelled row that is not held out:
+statistics, not texts, are joined with the labels, and dealt by hash to parts of about
+``PART_ROWS`` in a fixed order, so the trees do not depend on how data is laid out.
 
 Defined results: a null text counts as empty and gets the score of its statistics,
 all zero.  Where there are no labels to learn from, every score is 0.5; where all
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-#: Bound of the labelled rows used for fitting.
-TRAIN_ROWS = 6000
+#: Labelled rows of a part of the training table, about.
+PART_ROWS = 5000
 TREES = 16
 DEPTH = 3
 #: Weight of the L1 penalty.
@@ -115,7 +115,7 @@ def _paths(tree, names: list[str]) -> set[Rule]:
 
 
 def fit(sample: DataFrame, label: str, names: list[str], trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = 7) -> RuleEnsemble:
-    """An ensemble from rows with the statistics *names* and a 0/1 *label*; the caller bounds the rows."""
+    """An ensemble from rows with the statistics *names* and a 0/1 *label*."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
@@ -130,8 +130,9 @@ def fit(sample: DataFrame, label: str, names: list[str], trees: int = TREES, dep
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=48, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed).fit(vectors)
     rules = sorted({r for t in forest.trees for r in _paths(t, names)}, key=repr)
-    truth = rows.select("label", array_to_vector(F.array(*[F.when(r.column(), 1.0).otherwise(0.0) for r in rules])).alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(cut(truth))
+    # a byte a rule in the table
+    truth = cut(rows.select("label", F.array(*[F.coalesce(r.column(), F.lit(False)) for r in rules]).alias("truth")))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(truth.select("label", array_to_vector(F.col("truth").cast("array<double>")).alias("features")))
     kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients, strict=True) if w]
     return RuleEnsemble(float(lasso.intercept), kept)
 
@@ -141,16 +142,23 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % FOLDS == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", most: int = TRAIN_ROWS) -> RuleEnsemble:
-    """Fits on at most *most* labelled rows that are not held out."""
-    known = labels.select(F.col(id_column).alias("_id"), F.col(label).cast("double").alias("_label")).dropna()
-    chosen = known.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")  # at most *most* rows
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", most: int | None = None) -> RuleEnsemble:
+    """Fits on the labelled rows that are not held out; on the *most* with the smallest hash of their id, if that is given."""
+    known = labels.select(F.col(id_column).alias("_id"), F.col(label).cast("double").alias("_label")).dropna().filter(~held_out(F.col("_id")))
     names = list(statistics(F.col("text")))
+    open_docs = docs.filter(~held_out(F.col(id_column)))
+    if most is None:
+        found = with_statistics(open_docs, text_column, [F.col(id_column), F.xxhash64(text_of(docs, text_column))])
+        # an id that is labelled twice in the same way counts once
+        joined = found.join(known.distinct(), found["_keep0"] == known["_id"]).select("_label", "_id", F.col("_keep1").alias("_hash"), *names)
+        rows = cut(joined)
+        parts = max(1, math.ceil(rows.count() / PART_ROWS))
+        return fit(cut(rows.repartition(parts, "_id").sortWithinPartitions(F.xxhash64("_id"), "_id", "_hash", "_label")), "_label", names)
+    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
+    joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")  # at most *most* rows
     # ids may repeat among the documents; the bound holds all the same, by an order that layout does not change
     joined = joined.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_label").limit(2 * most)
-    sample = with_statistics(joined, "_text", [F.col("_label")])
-    return fit(cut(sample), "_keep0", names)
+    return fit(cut(with_statistics(joined, "_text", [F.col("_label")])), "_keep0", names)
 
 
 def score(docs: DataFrame, model: RuleEnsemble, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

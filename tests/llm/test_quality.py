@@ -3,6 +3,8 @@
 import math
 
 import regex
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 
@@ -60,3 +62,17 @@ def test_the_sample_does_not_depend_on_layout(spark):
     twice = docs.union(docs)
     one, other = quality.train(twice.repartition(2), labels, most=60), quality.train(twice.repartition(7, "lang"), labels.repartition(5), most=60)
     assert {r for r, _ in one.rules} == {r for r, _ in other.rules}
+
+
+def test_all_labelled_rows_are_read(spark):
+    """More rows of short lines that are good than the former bound, and of long lines that are not, by the largest hashes of their ids."""
+    ids = spark.range(24_000).filter(~quality.held_out(F.col("id")))
+    place = F.percent_rank().over(Window.orderBy(F.xxhash64("id"), "id"))
+    rows = ids.select(F.col("id").alias("doc_id"), (place < 0.45).alias("early"))
+    docs = rows.select("doc_id", F.when(F.col("early"), "one two three").otherwise("A line, of LONGER words: and 12345 marks.").alias("text"))
+    labels = rows.select("doc_id", F.when(F.col("early"), 1).otherwise(0).alias("quality"))
+    model = quality.train(docs.repartition(3), labels)
+    other = quality.train(docs.repartition(7), labels.repartition(2))
+    assert {r for r, _ in model.rules} == {r for r, _ in other.rules}
+    good, bad = (quality.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first().score for t in ("one two three", "A line, of LONGER words: and 12345 marks."))
+    assert good > 0.9 and bad < 0.1
