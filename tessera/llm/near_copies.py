@@ -9,7 +9,7 @@ Candidates come in three steps, and a link is made only after a check of the who
    ones first.  Two sets of ``n`` shingles that are similar enough share one of the first
    ``n - ceil(0.8 n) + 1`` of each, so sets meet in buckets of these; a bucket with one component has
    nothing to compare.  Any order that is the same for all sets loses nothing; the one here goes by
-   counts in a sample, in a table of fixed size.  Pairs are counted by the shingles that their
+   counts over all texts, in a table of fixed size.  Pairs are counted by the shingles that their
    prefixes share; with those, and all that is outside the prefix of the larger set, a pair has to reach
    what it needs.  Sets of buckets with more than ``DENSE`` go by an order of their own, by how many of
    them hold a shingle, and meet in buckets of size bands: a set with ``o`` shingles from the shared one on
@@ -55,9 +55,9 @@ ROUNDS = 3
 BAND = 1.02
 #: Words of 64 bits of the bitmap that crowded buckets compare as they meet.
 SIGN = 16
-#: Counters of the sample's shingles, and texts of the sample.
-COUNTERS = 1 << 18
-SAMPLE = 10_000
+#: Counters of shingles, and parts in which they are added up.
+COUNTERS = 1 << 19
+COUNTER_PARTS = 64
 #: Rows of 64-bit keys that are sent to all tasks; more are joined by a shuffle.
 SENT_KEYS = 1_000_000
 #: Texts whose sets a task holds at once.
@@ -88,25 +88,32 @@ def similar(a, b) -> bool:
 
 
 def _counters(frame: DataFrame):
-    """Texts of a sample that hold a shingle of each counter; a row a counter reaches the driver at most."""
+    """How many of all texts hold a shingle of each counter; a number a counter reaches the driver."""
     import numpy as np
     import pyarrow as pa
 
-    rows = frame.count()
-    share = min(1 << 16, math.ceil(SAMPLE / max(1, rows) * (1 << 16)))
-    sample = frame.filter(F.pmod(F.xxhash64("_text"), F.lit(1 << 16)) < share).select("_text")
+    schema, width = "part int, held binary", COUNTERS // COUNTER_PARTS
+
+    def packed(parts, held):
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([h.astype("<i8").tobytes() for h in held], pa.binary())], ["part", "held"])
 
     def run(batches):
         found = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for t in batch.column(0):
                 found[np.unique(shingle_set(t.as_py()) % np.uint64(COUNTERS))] += 1
-        held = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(found[held], pa.int64())], ["c", "n"])
-
-    counts = np.zeros(COUNTERS, np.uint8)
-    for c, n in sample.mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).filter("n > 3").collect():
-        counts[c] = n.bit_length()
+        if found.any():
+            yield packed(range(COUNTER_PARTS), found.reshape(COUNTER_PARTS, width))
+
+    def added(table):
+        total = np.zeros(width, np.int64)
+        for held in table.column("held"):
+            total += np.frombuffer(held.as_buffer(), "<i8")
+        return pa.Table.from_batches([packed([table.column("part")[0].as_py()], [total])])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in frame.select("_text").mapInArrow(tidy(run), schema).groupBy("part").applyInArrow(added, schema).collect():
+        counts[r.part * width : (r.part + 1) * width] = np.frombuffer(r.held, "<i8")
     return counts
 
 
@@ -360,11 +367,12 @@ class Links:
         sets = cut(self._texts_of(nodes).mapInArrow(tidy(run), "node long, items array<long>, sign array<long>"))
         each = sets.select("node", F.explode("items").alias("token"))
         counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-        # a shingle that one set has alone comes first and meets nothing
-        ranked = each.join(counts, "token", "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("held").isNull()).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "token")))).alias("ranked"))
+        # a shingle that one set has alone comes first and meets nothing; sets of such shingles only have no tokens
+        ranked = each.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+        ranked = ranked.join(sets.select("node", "sign", F.size("items").cast("long").alias("n")), "node").withColumn("alone", F.col("n") - F.size("ranked"))
         top, bottom = SIMILAR
         prefix = F.col("n") - F.ceil(F.col("n") * top / bottom - 1e-9) + 1 - F.col("alone")
-        return cut(ranked.join(sets.select("node", "sign"), "node").select("node", "n", "alone", "sign", F.transform(F.slice("ranked", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["token"]).alias("tokens")))
+        return cut(ranked.select("node", "n", "alone", "sign", F.transform(F.slice("ranked", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["token"]).alias("tokens")))
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dense: int = DENSE) -> DataFrame:

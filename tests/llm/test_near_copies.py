@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import near_copies
@@ -80,3 +81,13 @@ def test_sets_with_a_frequent_part_and_a_part_of_their_own_do_not_meet(spark):
     members = spark.createDataFrame([(t, at + i, node, n, root) for node, n, at, root, ts in rows for i, t in enumerate(ts)], "token long, at int, node long, n long, root long")
     links = object.__new__(near_copies.Links)
     assert {(r.a, r.b) for r in links._close(members).collect()} == {(50, 51)}
+
+
+def test_counters_count_all_texts(spark):
+    n = 30_000
+    docs = spark.range(n).select(F.concat(F.lit("the same first words of all "), F.col("id").cast("string")).alias("_text"))
+    counts = near_copies._counters(docs)
+    held = int(near_copies.shingle_set("the same first words of")[0] % near_copies.COUNTERS)
+    assert counts[held] == n
+    assert counts.sum() == sum(len(set((near_copies.shingle_set(r._text) % near_copies.COUNTERS).tolist())) for r in docs.collect())
+    assert not near_copies._counters(docs.limit(0)).any()
