@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The characters of ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\f\r"
+#: Rows of a few numbers in a partition of a gathered table.
+ROWS_A_TASK = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """*df*, one or more cut tables of a few numbers a row, in no more partitions than its counted rows need.
+
+    Joins and groups of tables of one partition need no shuffle; large tables keep their partitions.
+    """
+    return df.coalesce(max(1, -(-df.count() // ROWS_A_TASK)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """*df* written as Parquet to the shared folder and read again."""
     path = table_path(df.sparkSession, name)

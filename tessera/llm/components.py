@@ -2,7 +2,8 @@
 
 Every round replaces links by links to smaller nodes; rounds end when nothing
 changes, after about the logarithm of the longest chain.  Lineage is cut each
-round by a checkpoint, so a lost executor costs one round at most.
+round by a checkpoint, so a lost executor costs one round at most.  A link table that fits in
+one partition (:data:`.common.ROWS_A_TASK`) stays in it, and its rounds have no shuffle.
 """
 
 from __future__ import annotations
@@ -10,21 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gathered
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _both(links: DataFrame, first: str = "b", second: str = "a") -> DataFrame:
+    """Each link, and ``a``, ``b`` of columns *first* and *second*; no union, which would have more partitions."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col(first).alias("a"), F.col(second).alias("b")))
+    return links.select(F.explode(ways).alias("l")).select("l.a", "l.b")
+
+
+def _large(links: DataFrame, sent=lambda df: df) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour or itself."""
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both(links)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(sent(least), "a").select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, sent=lambda df: df) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("a").agg(F.min("b").alias("root"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a <> b")
-    return moved.union(least.select("a", F.col("root").alias("b"))).distinct()
+    moved = links.join(sent(least), "a").select(F.col("b").alias("a"), F.col("root").alias("b"), F.col("a").alias("own"))
+    return _both(moved, "own", "b").filter("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,10 +42,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    pairs = cut(pairs)
+    pairs = gathered(cut(pairs))
+    # Spark shuffles two tables of one partition to join them, but not for a broadcast
+    alone = pairs.rdd.getNumPartitions() == 1
+    sent = F.broadcast if alone else lambda df: df
     state = None
     while True:
-        pairs = cut(_small(_large(pairs)))
+        pairs = cut(_small(_large(pairs, sent), sent))
+        pairs = pairs.coalesce(1) if alone else pairs
         # stars: every node on the left appears once and no root is itself linked on
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if now == state or not now.n:

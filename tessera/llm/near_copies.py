@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, text_of, tidy, written
+from .common import cut, gathered, text_of, tidy, written
 from .components import components
 
 SHINGLE = 5
@@ -199,8 +199,12 @@ def _near_sizes(a: str, b: str):
 
 def _few(keys: DataFrame) -> DataFrame:
     """Distinct keys, to be broadcast where a count shows that they are few."""
-    keys = cut(keys.distinct())
-    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+    return _sent(cut(keys.distinct()))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A cut table, to be broadcast where a count shows that its rows are few."""
+    return F.broadcast(rows) if rows.count() <= SENT_KEYS else rows
 
 
 class Links:
@@ -242,9 +246,11 @@ class Links:
         import numpy as np
         import pyarrow as pa
 
-        pairs = cut(pairs.filter("a <> b").distinct())
+        pairs = gathered(cut(pairs.filter("a <> b").distinct()))
+        if pairs.isEmpty():
+            return False
         bits = self.sets.select("node", "n", "bits").join(_few(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "node", "left_semi")
-        sides = pairs.join(bits.withColumnsRenamed({"node": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"node": "b", "n": "m", "bits": "y"}), "b").filter(_near_sizes("n", "m"))
+        sides = _sent(pairs).join(bits.withColumnsRenamed({"node": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"node": "b", "n": "m", "bits": "y"}), "b").filter(_near_sizes("n", "m"))
 
         def could(batches):
             for batch in sliced(batches):
@@ -252,23 +258,23 @@ class Links:
                 keep = [may_be_similar(*v) for v in zip(x, n, y, m, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        near = cut(sides.mapInArrow(tidy(could), "a long, b long"))
+        near = gathered(cut(sides.mapInArrow(tidy(could), "a long, b long")))
         if near.isEmpty():
             return False
         sets = self._texts_of(near.select(F.explode(F.array("a", "b")).alias("node")))
-        both = near.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y")
+        both = _sent(near).join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y")
 
         def check(batches):
             for batch in sliced(batches):
                 keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        more = cut(both.mapInArrow(tidy(check), "a long, b long"))
+        more = gathered(cut(both.mapInArrow(tidy(check), "a long, b long")))
         if more.isEmpty():
             return False
         # stars stand for all links so far
         links = more if self.roots is None else more.union(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.roots = cut(components(links))
+        self.roots = _sent(gathered(cut(components(gathered(links)))))
         return True
 
     def rooted(self, frame: DataFrame) -> DataFrame:

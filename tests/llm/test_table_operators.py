@@ -52,6 +52,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_components_of_few_links_have_no_task_a_shuffle_partition(spark):
+    before, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "x long, y long").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("few links", "few links")
+        assert {r.root for r in components(links).collect()} == {0}
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("few links")]
+        stages = [context.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+        assert sum(s.numCompletedTasks for s in stages if s) < 200  # about 2,000 with a shuffle in every step of a round
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_fingerprint(text):
     words = [w for w in SPACE.split(text.translate({c: c + 32 for c in range(65, 91)})) if w]
     if not words:
