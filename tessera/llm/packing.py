@@ -34,6 +34,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces packed together in a task.
 WINDOW_PIECES = 60_000
+#: Bytes of text encoded together, and of a worker's memo of words: packing may follow stages whose executors are nearly full.
+CHUNK_BYTES, MEMO_BYTES = 2_000_000, 64 << 20
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -91,56 +93,64 @@ def pack_pieces(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int]
     return bins, offsets, used
 
 
+def packed_batches(batches: Iterator, id_column: str, tokenizer_path: str, capacity: int, end_id: int, ids: bool, base: int) -> Iterator:
+    """A task's Arrow batches of ids and texts as batches of packed pieces; sequences are numbered from *base*."""
+    import pyarrow as pa
+
+    names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]
+    tokens, width = load(tokenizer_path, MEMO_BYTES), 4 * capacity
+    key_type, keys, parts = None, [], []
+    # packed columns: start, length, crc32, tokens of the document
+    columns = [array("q") for _ in range(4)]
+
+    def flush():
+        nonlocal base
+        starts, lengths, crcs, totals = (np.frombuffer(c, np.int64) for c in columns)
+        sequence, offset = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        short, whole = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
+        bins, offsets, used = pack_pieces(lengths[short].tolist(), capacity)
+        sequence[short], offset[short] = np.array(bins, np.int64) + base, offsets
+        sequence[whole] = base + used + np.arange(len(whole))
+        base += used + len(whole)
+        made = [pa.array(keys, key_type), *[pa.array(c.copy()) for c in (starts, lengths, crcs, totals)], pa.array(sequence), pa.array(offset), *[pa.array(parts, pa.binary())] * ids]
+        return pa.RecordBatch.from_arrays(made, names)
+
+    for batch in batches:
+        key_type = batch.column(0).type
+        texts = batch.column(1)
+        for first, last in slices(texts, CHUNK_BYTES):
+            flat, at = with_end(*tokens.encode_array(texts.slice(first, last - first)), end_id)
+            packed, bounds = flat.astype("<u4").tobytes(), (at * 4).tolist()
+            for key, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), bounds, bounds[1:], strict=False):
+                for p in range(a, b, width):
+                    part = packed[p : min(p + width, b)]
+                    keys.append(key)
+                    for c, v in zip(columns, ((p - a) // 4, len(part) // 4, zlib.crc32(part), (b - a) // 4), strict=True):
+                        c.append(v)
+                    if ids:
+                        parts.append(part)
+            del flat, at, packed
+            if len(keys) >= WINDOW_PIECES:
+                yield flush()
+                keys, parts, columns = [], [], [array("q") for _ in range(4)]
+        del batch, texts  # before the next one comes
+    if keys:
+        yield flush()
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """One row a piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, and ``ids`` if asked for.
 
     Sequence ids are the task's number in the high bits and the bin's in the low ones.
     """
-    import pyarrow as pa
     from pyspark import TaskContext
 
     kind = docs.schema[id_column].dataType.simpleString()
     frame = docs.select(F.col(id_column).alias("_id"), text_of(docs, text_column).alias("_text"))
-    names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]
     schema = f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
 
     def run(batches):
-        tokens, width = load(tokenizer_path), 4 * capacity
-        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        key_type, keys, parts = None, [], []
-        # packed columns: start, length, crc32, tokens of the document
-        columns = [array("q") for _ in range(4)]
-
-        def flush():
-            nonlocal base
-            starts, lengths, crcs, totals = (np.frombuffer(c, np.int64) for c in columns)
-            sequence, offset = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            short, whole = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
-            bins, offsets, used = pack_pieces(lengths[short].tolist(), capacity)
-            sequence[short], offset[short] = np.array(bins, np.int64) + base, offsets
-            sequence[whole] = base + used + np.arange(len(whole))
-            base += used + len(whole)
-            made = [pa.array(keys, key_type), *[pa.array(c.copy()) for c in (starts, lengths, crcs, totals)], pa.array(sequence), pa.array(offset), *[pa.array(parts, pa.binary())] * ids]
-            return pa.RecordBatch.from_arrays(made, names)
-
-        for batch in batches:
-            key_type = batch.column(0).type
-            texts = batch.column(1)
-            for first, last in slices(texts):
-                flat, at = with_end(*tokens.encode_array(texts.slice(first, last - first)), end_id)
-                packed, bounds = flat.astype("<u4").tobytes(), (at * 4).tolist()
-                for key, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), bounds, bounds[1:], strict=False):
-                    for p in range(a, b, width):
-                        part = packed[p : min(p + width, b)]
-                        keys.append(key)
-                        for c, v in zip(columns, ((p - a) // 4, len(part) // 4, zlib.crc32(part), (b - a) // 4), strict=True):
-                            c.append(v)
-                        if ids:
-                            parts.append(part)
-                if len(keys) >= WINDOW_PIECES:
-                    yield flush()
-                    keys, parts, columns = [], [], [array("q") for _ in range(4)]
-        if keys:
-            yield flush()
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        yield from packed_batches(batches, id_column, tokenizer_path, capacity, end_id, ids, task << 40)
 
     return frame.mapInArrow(tidy(run), schema)

@@ -67,6 +67,8 @@ class WordTokens:
         self._memo: dict[str, bytes] = {}
         self._former: dict[str, bytes] = {}
         self._held = 0
+        #: Bytes that the memo may take, if not ``MEMO_BYTES``.
+        self.memo_bytes: int | None = None
         # words of letters go to the model itself if that gives the same: each letter, pairs, and a long word
         probes = [w for c in _LETTERS for w in (c, f"{c}a", f"a{c}", f"th{c}")] + ["".join(_LETTERS) * 4, "the", "information"]
         self._direct = False
@@ -134,7 +136,7 @@ class WordTokens:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if self._held > MEMO_BYTES // 2:
+        if self._held > (self.memo_bytes or MEMO_BYTES) // 2:
             self._former, self._memo, self._held = self._memo, {}, 0
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
@@ -201,9 +203,10 @@ def slices(texts, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
 _LOADED: dict[str, WordTokens] = {}
 
 
-def load(path: str) -> WordTokens:
-    """The tokenizer at *path*, once a worker."""
+def load(path: str, memo_bytes: int | None = None) -> WordTokens:
+    """The tokenizer at *path*, once a worker; its memo takes up to *memo_bytes* from now on, or ``MEMO_BYTES``."""
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = WordTokens(path)
+    _LOADED[path].memo_bytes = memo_bytes
     return _LOADED[path]

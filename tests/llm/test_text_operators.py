@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -70,6 +71,26 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack_documents(empty(spark), WORDS).count() == 0
 
 
+def test_packing_holds_little_beside_its_batch():
+    pa = pytest.importorskip("pyarrow")
+    letters = "abcdefghijklmnopqrst"
+    words = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in "aeiou"]
+    docs = [" ".join(words[(37 * i + 11 * j) % len(words)] for j in range(400)) for i in range(4000)]
+    word_tokens._LOADED.clear()
+    pool, made = pa.default_memory_pool(), 0
+    tracemalloc.start()
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], ["_id", "_text"])
+        before, held = tracemalloc.get_traced_memory()[0], pool.bytes_allocated()
+        for out in packing.packed_batches(iter([batch]), "doc_id", WORDS, 2048, 1, False, 0):
+            made += sum(out.column(2).to_pylist())
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert made == len(docs) + sum(map(len, word_tokens.load(WORDS).encode_batch(docs))) // 4
+    assert most < 40e6 and pool.bytes_allocated() <= held + 1e6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), max_size=8), st.integers(1, 30))
 def test_fill_is_closest(counts, capacity):
