@@ -10,13 +10,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\f\r"
-#: Rows of a few numbers in a partition of a gathered table.
+#: Rows of a few numbers in a partition of a gathered table, and numbers where rows hold lists of them.
 ROWS_A_TASK = 100_000
+NUMBERS_A_TASK = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +56,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """*df*, one or more cut tables of a few numbers a row, in no more partitions than its counted rows need.
+def gathered(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """*df*, one or more cut tables of a few numbers a row, or of *numbers*, in no more partitions than it needs by a count.
 
     Joins and groups of tables of one partition need no shuffle; large tables keep their partitions.
     """
-    return df.coalesce(max(1, -(-df.count() // ROWS_A_TASK)))
+    few = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)  # many small partitions are counted by few tasks
+    if numbers is None:
+        return df.coalesce(max(1, -(-few.count() // ROWS_A_TASK)))
+    total = few.agg(F.coalesce(F.sum(numbers.cast("long")), F.lit(0))).first()[0]
+    return df.coalesce(max(1, -(-total // NUMBERS_A_TASK)))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A cut table dealt out evenly to as many partitions as shuffles have, for a join of few rows that makes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, gathered, text_of, tidy, written
+from .common import cut, dealt, gathered, text_of, tidy, written
 from .components import components
 
 SHINGLE = 5
@@ -217,9 +217,10 @@ class Links:
         self.dense = dense
         text = text_of(docs, text_column)
         self.texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
-        self.named = cut(made.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least")))
-        copies = made.select("row", "key").join(self.named.select("key", "node"), "key").filter("row <> node").select("row")
-        self.sets = made.join(_few(copies), "row", "left_anti").withColumnRenamed("row", "node")
+        named = gathered(cut(made.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("held"))))
+        self.named = named.drop("held")
+        copies = made.select("row", "key").join(_sent(named.filter("held > 1").select("key", "node")), "key").filter("row <> node").select("row")
+        self.sets = made.join(_sent(gathered(cut(copies))), "row", "left_anti").withColumnRenamed("row", "node")
         self.roots: DataFrame | None = None
 
     def _texts_of(self, nodes: DataFrame) -> DataFrame:
@@ -288,8 +289,8 @@ class Links:
         rooted = self.rooted(sets)
         tokens = rooted.select("node", "root", F.posexplode("tokens").alias("at", "token"))
         several = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).filter("low < high").select("token", "held")
-        met = cut(tokens.select("token", "at", "node").join(several, "token"))
-        return cut(met.join(rooted.select("node", "n", "root"), "node"))
+        met = gathered(cut(tokens.select("token", "at", "node").join(several, "token")))
+        return gathered(cut(met.join(rooted.select("node", "n", "root"), "node")))
 
     def _star(self, left: DataFrame, salt: int) -> DataFrame:
         """Pairs of each member with one of its bucket."""
@@ -321,7 +322,7 @@ class Links:
 
     def run(self) -> None:
         """Finds links whose components are those of all pairs of near copies."""
-        prints = cut(self.sets.select("fp", "node"))
+        prints = gathered(cut(self.sets.select("fp", "node")))
         near = simhash.links(prints.select("fp").distinct())
         one = prints.groupBy("fp").agg(F.min("node").alias("node"))
         alike = prints.join(one.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
@@ -344,7 +345,7 @@ class Links:
             return
         # sets that share what many others have go by an order of their own
         own = self._reordered(crowd.select("node").distinct())
-        placed = lambda met, alone: met.join(alone, "node").withColumn("at", F.col("at") + F.col("alone"))
+        placed = lambda met, alone: dealt(cut(met.join(alone, "node").withColumn("at", F.col("at") + F.col("alone"))))
         shared = self._several(own)
         self.add(self._close(placed(shared.filter(F.col("held") <= self.dense), own.select("node", "alone"))))
         if shared.filter(F.col("held") > self.dense).isEmpty():
@@ -370,7 +371,7 @@ class Links:
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SIGN), pa.int32()), pa.array(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))), signs], ["node", "items", "sign"])
 
-        sets = cut(self._texts_of(nodes).mapInArrow(tidy(run), "node long, items array<long>, sign array<long>"))
+        sets = gathered(cut(self._texts_of(nodes).mapInArrow(tidy(run), "node long, items array<long>, sign array<long>")), F.size("items") + SIGN)
         each = sets.select("node", F.explode("items").alias("token"))
         counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
         # a shingle that one set has alone comes first and meets nothing; sets of such shingles only have no tokens
@@ -378,7 +379,8 @@ class Links:
         ranked = ranked.join(sets.select("node", "sign", F.size("items").cast("long").alias("n")), "node").withColumn("alone", F.col("n") - F.size("ranked"))
         top, bottom = SIMILAR
         prefix = F.col("n") - F.ceil(F.col("n") * top / bottom - 1e-9) + 1 - F.col("alone")
-        return cut(ranked.select("node", "n", "alone", "sign", F.transform(F.slice("ranked", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["token"]).alias("tokens")))
+        own = cut(ranked.select("node", "n", "alone", "sign", F.transform(F.slice("ranked", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["token"]).alias("tokens")))
+        return gathered(own, F.size("tokens") + SIGN)
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dense: int = DENSE) -> DataFrame:
@@ -386,7 +388,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     made = written(shingle_sets(docs, id_column, text_column), "shingle-sets")
     links = Links(docs, made, text_column, dense)
     links.run()
-    joined = cut(links.rooted(links.named))
+    joined = gathered(cut(links.rooted(links.named)))
     label = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return made.select("id", "text_hash", "key").join(label, "key").select(F.col("id").alias(id_column), "text_hash", "component_id")
 

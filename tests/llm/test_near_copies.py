@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import common, near_copies
 
 from .cases import by_id, documents, empty, rows
 
@@ -91,3 +91,26 @@ def test_counters_count_all_texts(spark):
     assert counts[held] == n
     assert counts.sum() == sum(len(set((near_copies.shingle_set(r._text) % near_copies.COUNTERS).tolist())) for r in docs.collect())
     assert not near_copies._counters(docs.limit(0)).any()
+
+
+def test_small_tables_stay_in_one_partition(spark):
+    held = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(held, "false")
+    try:
+        sets = spark.createDataFrame([(k, 10, [k % 5, 100 + k]) for k in range(40)], "node long, n long, tokens array<long>").repartition(8)
+        links = object.__new__(near_copies.Links)
+        links.roots = None
+        found = links._several(sets)
+        assert found.rdd.getNumPartitions() == 1
+        assert found.count() == 40 and {r.held for r in found.collect()} == {8}
+        assert len(links._star(found, 1).collect()) == 35
+    finally:
+        spark.conf.unset(held)
+
+
+def test_lists_are_gathered_by_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(common, "NUMBERS_A_TASK", 100)
+    df = spark.range(50).select(F.array_repeat("id", 10).alias("v")).repartition(20)
+    assert common.gathered(df, F.size("v")).rdd.getNumPartitions() == 5
+    assert common.gathered(df).rdd.getNumPartitions() == 1
+    assert common.gathered(df.limit(0), F.size("v")).count() == 0

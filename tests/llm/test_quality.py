@@ -76,3 +76,17 @@ def test_all_labelled_rows_are_read(spark):
     assert {r for r, _ in model.rules} == {r for r, _ in other.rules}
     good, bad = (quality.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first().score for t in ("one two three", "A line, of LONGER words: and 12345 marks."))
     assert good > 0.9 and bad < 0.1
+
+
+def test_a_fit_has_no_more_partitions_than_its_parts(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "PART_ROWS", 80)
+    kind, seen = type(docs), []
+    # a session may deal a key out to more partitions than it is asked for
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols, f=kind.repartition: f(self, max(n, 40) if cols else n, *cols))
+    monkeypatch.setattr(quality, "fit", lambda sample, label, names: seen.append((sample.rdd.getNumPartitions(), sample.count())))
+    quality.train(docs, labels)
+    (parts, rows), = seen
+    assert rows == labels.filter(~quality.held_out(F.col("doc_id"))).count()
+    assert parts == -(-rows // 80)
