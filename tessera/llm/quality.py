@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         parts = max(1, math.ceil(rows.count() / PART_ROWS))
         ordered = cut(rows.repartition(parts, "_id").sortWithinPartitions(F.xxhash64("_id"), "_id", "_hash", "_label"))
         # a fit has hundreds of passes, with a task a partition each; a session may deal a key out to more partitions than it is asked for
-        return fit(ordered.coalesce(parts), "_label", names)
+        return fit(ordered.coalesce(parts) if ordered.rdd.getNumPartitions() > parts else ordered, "_label", names)
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
     joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")  # at most *most* rows
     # ids may repeat among the documents; the bound holds all the same, by an order that layout does not change
